@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import hashlib
+import shutil
+import tempfile
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -19,26 +23,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ship(spark: SparkSession) -> None:
+    """Gives the executors this package's code, once a session, so that it needn't be installed there."""
+    context = spark.sparkContext
+    if not getattr(context, "_locusframe_shipped", False):
+        root = Path(__file__).resolve().parents[1]
+        at = tempfile.mkdtemp()  # the driver serves it to executors as long as it lives
+        atexit.register(shutil.rmtree, at, ignore_errors=True)
+        context.addPyFile(shutil.make_archive(f"{at}/locusframe", "zip", root.parent, root.name))
+        context._locusframe_shipped = True
+
+
 def partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions: the one knob that sizes buckets to the input."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts lineage with a reliable checkpoint in the folder that ``spark.checkpoint.dir`` names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; where it is unset, one inside the warehouse folder."""
+    return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
 
-    Only where the session names none is one set, inside its warehouse folder.
-    """
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cuts lineage with a reliable checkpoint in the shared folder."""
     spark = df.sparkSession
     context = spark.sparkContext._jsc.sc()
     if not context.getCheckpointDir().isDefined():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
+        context.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
 
-_SPACE = np.zeros(256, bool)
-_SPACE[list(SPACES)] = True
+_WORDS = np.ones(256, np.uint8)
+_WORDS[list(SPACES)] = 0
 _STEP = 1 << 22
 _ODD = 0x9E3779B97F4A7C15
 _POWERS: list[np.ndarray] = []
@@ -65,24 +81,28 @@ def _powers() -> list[np.ndarray]:
 class Words:
     """The words of many texts, without a Python object for each.
 
+    With ``classes`` (of all bytes; 0 is between words), words also end where the class changes.
+
     ``row`` (of each word's text), ``at`` (its number in that text), ``start`` and ``end`` (bytes in
     ``data``), ``hash`` (64 bits of the word's bytes), ``first`` (each text's first word; one more at the end).
     """
 
-    def __init__(self, texts: pa.Array):
+    def __init__(self, texts: pa.Array, classes: np.ndarray | None = None):
         texts = texts.fill_null("") if texts.null_count else texts
         texts = texts.cast(pa.large_string())
         offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
         data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]] if len(texts) else np.zeros(0, np.uint8)
         offsets = offsets - offsets[0]
         self.data, self.offsets = data, offsets
-        gap = np.ones(len(data) + 2, bool)
-        gap[1:-1] = _SPACE[data]
+        kind = np.zeros(len(data) + 2, np.uint8)
+        kind[1:-1] = (_WORDS if classes is None else classes)[data]
         cut = np.zeros(len(data) + 1, bool)
         cut[offsets] = True
-        word = ~gap[1:-1]
-        self.start = np.flatnonzero(word & (gap[:-2] | cut[:-1]))
-        self.end = np.flatnonzero(word & (gap[2:] | cut[1:])) + 1
+        change = kind[1:] != kind[:-1]
+        change |= cut
+        word = kind[1:-1] > 0
+        self.start = np.flatnonzero(word & change[:-1])
+        self.end = np.flatnonzero(word & change[1:]) + 1
         self.first = np.searchsorted(self.start, offsets)
         count = np.diff(self.first)
         self.row = np.repeat(np.arange(len(texts), dtype=np.int32), count)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, partitions
+from .common import checkpoint, partitions, ship
 
 BITS = 64
 #: Fingerprints of one key that are compared at once; longer runs are dealt out as pairs of blocks.
@@ -51,6 +51,7 @@ def simhash(text: bytes, shingle: int = 4, seed: int = 42) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
     """(id, fp): a signed 64-bit fingerprint for each row."""
+    ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
@@ -147,8 +148,8 @@ def _link_runs(batches, segs, most: int):
 
 def links(fps: DataFrame, max_distance: int = 4) -> DataFrame:
     """(a, b): links between the distinct fingerprints of ``fps`` (column fp) that connect every class."""
-    spark, segs = fps.sparkSession, segments(max_distance)
-    n = partitions(spark)
+    ship(fps.sparkSession)
+    segs, n = segments(max_distance), partitions(fps.sparkSession)
 
     def keyed(batches):
         for b in batches:
