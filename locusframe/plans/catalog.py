@@ -5,11 +5,805 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import sequence as Q
+from ..operators import access, normalize, rangejoin, scoring, tensor, track, variants
+from ..operators import windows as W
+from ..sources import sinks
+from . import projection as P
+from .projection import SHAPE, sql, sql_tiles
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(text: str | None = None, name: str | None = None):
+    def put(f):
+        _QUERIES[name or f.__name__] = f
+        if text:
+            _SQL[name or f.__name__] = text
+        return f
+
+    return put
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _windows(spark, sf, binsize, stepsize, **how) -> W.Windows:
+    return W.Windows.create_from_file(P.roi(spark, sf), binsize, stepsize, **how)
+
+
+_TILE = ["idx", "chrom", "start", "end", "strand"]
+_TILE_SQL = 'SELECT idx, chrom, start, "end", strand FROM t'
+_FLANK = 'SELECT idx, chrom, greatest(0, start - {f}) AS start, "end" + {f} AS "end", strand FROM t'
+
+
+# -- windows
+
+
+@query(sql(_TILE_SQL, "roi", t=sql_tiles("roi", 100, 100)))
+def tile_windows(spark, sf):
+    return _windows(spark, sf, 100, 100).df.select(_TILE)
+
+
+@query(sql(_TILE_SQL, "roi", t=sql_tiles("roi", 100, 30)))
+def tile_overlapping(spark, sf):
+    return _windows(spark, sf, 100, 30).df.select(_TILE)
+
+
+@query(sql(_FLANK.format(f=500), "roi", t=sql_tiles("roi", 100, 100)))
+def tile_flank(spark, sf):
+    return _windows(spark, sf, 100, 100, flank=500).flanked().select(_TILE)
+
+
+@query(sql(_TILE_SQL, "roi", t=sql_tiles("roi", 100, 100, False)))
+def tile_nopad(spark, sf):
+    return _windows(spark, sf, 100, 100, zero_padding=False).df.select(_TILE)
+
+
+@query(sql(_TILE_SQL, "roi", t=sql_tiles("roi", 400, 50)))
+def tile_short_regions(spark, sf):
+    """Regions shorter than a window: tails that begin before the region, or none."""
+    return _windows(spark, sf, 400, 50).df.select(_TILE)
+
+
+@query(sql(_TILE_SQL, "roi", t=sql_tiles("roi", 50, 120)))
+def tile_gaps(spark, sf):
+    """A step beyond the window size."""
+    return _windows(spark, sf, 50, 120).df.select(_TILE)
+
+
+@query(sql("""SELECT row_number() OVER (ORDER BY ord) - 1 AS idx, chrom, start, "end", strand FROM roi""", "roi"))
+def tile_collapse(spark, sf):
+    """Each region one window."""
+    return W.Windows.create_from_file(P.roi(spark, sf), collapse=True).df.select(_TILE)
+
+
+@query(sql('SELECT max("end" - start) AS binsize FROM roi', "roi"))
+def infer_binsize(spark, sf):
+    return P.roi(spark, sf).agg(F.max(F.col("end") - F.col("start")).alias("binsize"))
+
+
+@query(sql('SELECT idx, chrom, start, "end" FROM t', "roi", u=sql_tiles("roi", 250, 250), both_='SELECT chrom, start, "end", strand, ord FROM roi UNION ALL SELECT chrom, start, "end", strand, 1000000000 + idx FROM u', t=sql_tiles("both_", 100, 100)))
+def windows_union(spark, sf):
+    """A tiling followed by another's windows, tiled again."""
+    a, b = P.roi(spark, sf), _windows(spark, sf, 250, 250)
+    again = b.df.select("chrom", "start", "end", "strand", (F.col("idx") + 1_000_000_000).alias("ord"))
+    tiles = W.tile(a, 100, 100).unionByName(W.tile(again, 100, 100))
+    return W.numbered(tiles).select("idx", "chrom", "start", "end")
+
+
+@query(sql('SELECT chrom, max("end") AS length, min(ord) AS ord FROM roi GROUP BY chrom', "roi"))
+def genome_size(spark, sf):
+    return W.genome_size(P.roi(spark, sf))
+
+
+@query(sql("SELECT row_number() OVER (ORDER BY ord) - 1 AS idx, chrom, CAST(0 AS BIGINT) AS start, length AS \"end\" FROM s", "roi", s='SELECT chrom, max("end") AS length, min(ord) AS ord FROM roi GROUP BY chrom'))
+def windows_from_genome(spark, sf):
+    return W.Windows.create_from_genomesize(W.genome_size(P.roi(spark, sf))).df.select("idx", "chrom", "start", "end")
+
+
+@query(sql("SELECT row_number() OVER (ORDER BY idx) - 1 AS idx, chrom, start, \"end\", strand FROM t WHERE chrom IN ('chr1', 'chr3') AND chrom NOT IN ('chr3')", "roi", t=sql_tiles("roi", 100, 100)))
+def filter_chrom(spark, sf):
+    return _windows(spark, sf, 100, 100).filter_by_region(include=["chr1", "chr3"], exclude="chr3").df.select(_TILE)
+
+
+@query(sql('SELECT row_number() OVER (ORDER BY idx) - 1 AS idx, chrom, start, "end", strand FROM t WHERE "end" + 50 > 100000 AND start - 50 < 900000', "roi", t=sql_tiles("roi", 100, 100)))
+def filter_range(spark, sf):
+    return _windows(spark, sf, 100, 100, flank=50).filter_by_region(start=100_000, end=900_000).df.select(_TILE)
+
+
+@query(sql('SELECT ord, chrom, CAST(ceil(start / 25) * 25 AS BIGINT) AS start, CAST(floor("end" / 25) * 25 AS BIGINT) AS "end", coalesce(score, \'0\') AS score FROM roi', "roi"))
+def trim_bed(spark, sf):
+    return W.trim_to_multiple(P.roi(spark, sf), 25).select("ord", "chrom", "start", "end", "score")
+
+
+@query(sql("SELECT idx, chrom || ':' || start || '-' || \"end\" AS label FROM t", "roi", t=sql_tiles("roi", 100, 100)))
+def iv_format(spark, sf):
+    return _windows(spark, sf, 100, 100).labels()
+
+
+@query(sql("SELECT ord, chrom, start - 200 AS start, \"end\" FROM roi", "roi"))
+def iv_parse(spark, sf):
+    text = F.concat("chrom", F.lit(":"), (F.col("start") - 200).cast("string"), F.lit("-"), F.col("end").cast("string"))
+    return P.roi(spark, sf).select("ord", W.parse_label(text).alias("p")).select("ord", "p.*")
+
+
+@query(sql("SELECT idx, chrom, greatest(0, start - 5) AS start, \"end\" + 5 AS \"end\", '-' AS name, '-' AS score, strand FROM t", "roi", t=sql_tiles("roi", 100, 100)))
+def windows_to_bed(spark, sf):
+    w = _windows(spark, sf, 100, 100, flank=5)
+    return w.flanked().select("idx", "chrom", "start", "end", F.lit("-").alias("name"), F.lit("-").alias("score"), "strand")
+
+
+@query()
+def windows_shuffled(spark, sf):
+    """A seeded order: rows only."""
+    return _windows(spark, sf, 100, 100, random_state=7).df.select(_TILE)
+
+
+# -- interval joins
+
+
+def _features(spark, sf) -> DataFrame:
+    return P.reads(spark, sf).select("chrom", F.col("reference_start").alias("start"), F.col("reference_end").alias("end"), F.when(F.col("is_reverse"), "-").otherwise("+").alias("strand"))
+
+
+_FEATS = """SELECT chrom, reference_start AS start, reference_end AS "end", CASE WHEN is_reverse THEN '-' ELSE '+' END AS strand FROM reads"""
+#: Regions and features meet on a grid, as DuckDB would else compare all of a chromosome.
+_GRID = 'SELECT {c}, unnest(range(start // 1000, ("end" - 1) // 1000 + 1)) AS g FROM {t}'
+_MET = """SELECT ord, r.chrom, r.start, r."end", f.start AS f_start, f."end" AS f_end, f.strand AS f_strand FROM rg r JOIN fg f ON r.chrom = f.chrom AND r.g = f.g AND r.start < f."end" AND f.start < r."end" AND r.g = greatest(r.start, f.start) // 1000"""
+_GRIDS = dict(feats=_FEATS, rg=_GRID.format(c="*", t="roi"), fg=_GRID.format(c="*", t="feats"), met=_MET)
+
+
+@query(sql("SELECT ord, chrom, start, f_start, f_end FROM met", "roi", "reads", **_GRIDS))
+def overlap_inner(spark, sf):
+    out = rangejoin.overlap_join(P.roi(spark, sf), _features(spark, sf), 1024)
+    return out.select("ord", "chrom", "start", F.col("r_start").alias("f_start"), F.col("r_end").alias("f_end"))
+
+
+@query(sql('SELECT ord, chrom, start, "end" FROM roi WHERE ord IN (SELECT ord FROM met)', "roi", "reads", **_GRIDS))
+def overlap_semi(spark, sf):
+    return rangejoin.overlap_semi(P.roi(spark, sf), _features(spark, sf), "ord", 1024).select("ord", "chrom", "start", "end")
+
+
+@query(sql('SELECT ord, chrom, start, "end" FROM roi WHERE ord NOT IN (SELECT ord FROM met)', "roi", "reads", **_GRIDS))
+def overlap_anti(spark, sf):
+    return rangejoin.overlap_semi(P.roi(spark, sf), _features(spark, sf), "ord", 1024, anti=True).select("ord", "chrom", "start", "end")
+
+
+@query(sql("SELECT ord, count(f_start) AS n, coalesce(sum(least(\"end\", f_end) - greatest(start, f_start)), 0) AS bases FROM (SELECT roi.ord, met.start, met.\"end\", f_start, f_end FROM roi LEFT JOIN met USING (ord)) GROUP BY ord", "roi", "reads", **_GRIDS))
+def overlap_left(spark, sf):
+    out = rangejoin.overlap_left(P.roi(spark, sf), _features(spark, sf), "ord", 1024)
+    bases = F.least("end", "r_end") - F.greatest("start", "r_start")
+    return out.groupBy("ord").agg(F.count("r_start").alias("n"), F.sum(F.when(F.col("r_start").isNotNull(), bases).otherwise(0)).alias("bases"))
+
+
+@query(sql("SELECT ord, CASE WHEN coalesce(bool_or(f_strand = '-'), false) THEN '-' ELSE '+' END AS annotated FROM roi LEFT JOIN met USING (ord) GROUP BY ord", "roi", "reads", **_GRIDS))
+def overlap_strand(spark, sf):
+    return rangejoin.annotate_strand(P.roi(spark, sf), _features(spark, sf), "ord", 1024).select("ord", "annotated")
+
+
+@query(sql('SELECT chrom, min(start) AS start, max("end") AS "end" FROM i GROUP BY chrom, n', "roi", o='SELECT *, max("end") OVER (PARTITION BY chrom ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM roi', i='SELECT *, sum(CASE WHEN start <= reach THEN 0 ELSE 1 END) OVER (PARTITION BY chrom ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n FROM o'))
+def merge_intervals(spark, sf):
+    return rangejoin.merge_intervals(P.roi(spark, sf))
+
+
+@query(sql("SELECT ord, (SELECT max(f.start) FROM feats f WHERE f.chrom = roi.chrom AND f.start <= roi.start) AS nearest FROM roi", "roi", "reads", feats=_FEATS))
+def nearest_before(spark, sf):
+    found = rangejoin.nearest_before(P.roi(spark, sf).select("ord", "chrom", "start"), _features(spark, sf), "ord", F.col("start"))
+    return found.select("ord", F.col("value").cast("long").alias("nearest"))
+
+
+# -- reads
+
+
+_USABLE = "SELECT * FROM reads WHERE NOT is_unmapped AND mapq >= {q} AND (NOT is_paired OR (is_proper_pair AND next_chrom = chrom))"
+_FIVE = "CASE WHEN is_paired AND is_reverse THEN greatest(reference_end, next_reference_start + query_length) WHEN is_paired THEN least(reference_start, next_reference_start) WHEN is_reverse THEN reference_end ELSE reference_start END"
+_MIDDLE = "CASE WHEN is_paired AND is_read2 THEN NULL WHEN is_paired THEN least(reference_start, next_reference_start) + abs(template_length) // 2 WHEN is_reverse THEN reference_end ELSE reference_start END"
+
+
+def _counts_sql(place: str, strand: str, q: int = 0) -> dict[str, str]:
+    held = f"SELECT chrom, {place} AS start, {strand} AS strand FROM u"
+    return dict(u=_USABLE.format(q=q), p=held, c="SELECT chrom, start, strand, CAST(count(*) AS DOUBLE) AS value FROM p WHERE start IS NOT NULL GROUP BY ALL")
+
+
+@query(sql("SELECT chrom, start, strand, value FROM c", "reads", **_counts_sql(_FIVE, "CAST(is_reverse AS INTEGER)", 10)))
+def read_5prime(spark, sf):
+    return track.read_track(P.reads(spark, sf), min_mapq=10).select("chrom", "start", "strand", "value")
+
+
+@query(sql("SELECT chrom, start, strand, value FROM c", "reads", **_counts_sql(_MIDDLE, "0")))
+def read_midpoint(spark, sf):
+    return track.read_track(P.reads(spark, sf), pairedend="midpoint", stranded=False).select("chrom", "start", "strand", "value")
+
+
+@query(sql("SELECT chrom, count(*) AS n FROM u GROUP BY chrom", "reads", u=_USABLE.format(q=20)))
+def read_filter(spark, sf):
+    return track.usable_reads(P.reads(spark, sf), 20).groupBy("chrom").agg(F.count("*").alias("n"))
+
+
+#: (idx, bin, strand, value) of reads per window, through window positions.
+_WPOS = 'SELECT idx, chrom, strand AS ws, "end" - start AS len, start AS w, unnest(range(start, "end")) AS p FROM t'
+_READ_BINS = "SELECT idx, (c.start - w) // 50 AS bin, c.strand, sum(value) AS value FROM wpos JOIN c ON wpos.chrom = c.chrom AND wpos.p = c.start GROUP BY ALL"
+
+
+@query(sql(_READ_BINS, "roi", "reads", t=sql_tiles("roi", 200, 200), wpos=_WPOS, **_counts_sql(_FIVE, "CAST(is_reverse AS INTEGER)")))
+def read_bins_stranded(spark, sf):
+    w = _windows(spark, sf, 200, 200)
+    cells = track.collapse(track.window_runs(w.df, track.read_track(P.reads(spark, sf)), 1024), 50, "sum", True, "zero")
+    return cells.select("idx", "bin", "strand", "value")
+
+
+@query(sql("SELECT idx, sum(value) AS value FROM wpos JOIN c ON wpos.chrom = c.chrom AND wpos.p = c.start GROUP BY idx", "roi", "reads", t=sql_tiles("roi", 200, 200), wpos=_WPOS, **_counts_sql(_FIVE, "0")))
+def read_count_unstranded(spark, sf):
+    """One value a window: resolution None."""
+    w = _windows(spark, sf, 200, 200)
+    signal = track.read_track(P.reads(spark, sf), stranded=False)
+    return track.collapse(track.window_runs(w.df, signal, 1024), None, "sum").select("idx", "value")
+
+
+@query(sql("SELECT idx, CASE WHEN ws = '-' THEN ceil(len / 50) - 1 - (c.start - w) // 50 ELSE (c.start - w) // 50 END::BIGINT AS bin, CASE WHEN ws = '-' THEN 1 - c.strand ELSE c.strand END AS strand, sum(value) AS value FROM wpos JOIN c ON wpos.chrom = c.chrom AND wpos.p = c.start GROUP BY ALL", "roi", "reads", t=sql_tiles("roi", 200, 200), wpos=_WPOS, **_counts_sql(_FIVE, "CAST(is_reverse AS INTEGER)")))
+def read_oriented(spark, sf):
+    """Minus-strand windows turned around along positions and strands."""
+    w = _windows(spark, sf, 200, 200)
+    cells = track.collapse(track.window_runs(w.df, track.read_track(P.reads(spark, sf)), 1024), 50, "sum", True, "zero")
+    return track.oriented(cells, w.df, 50, True).select("idx", "bin", "strand", "value")
+
+
+# -- painted features
+
+_BASE = 'SELECT chrom, p, arg_max(value, ord) AS v, arg_max(name, ord) AS name FROM (SELECT chrom, value, name, ord, unnest(range(start, "end")) AS p FROM runs) GROUP BY chrom, p'
+_GENOME = 'SELECT chrom, CAST(0 AS BIGINT) AS start, max("end") AS "end", \'.\' AS strand, min(ord) AS ord FROM runs GROUP BY chrom'
+_CELLS = {"base": _BASE, "genome": _GENOME, "t": sql_tiles("genome", 120, 60), "wpos": _WPOS}
+
+
+def _genome_windows(spark, sf, binsize=120, stepsize=60, **how) -> W.Windows:
+    size = W.genome_size(P.runs(spark, sf)).select("chrom", F.lit(0).cast("long").alias("start"), F.col("length").alias("end"), F.lit(".").alias("strand"), "ord")
+    return W.Windows.create_from_file(size, binsize, stepsize, **how)
+
+
+def _painted(spark, sf, mode="bedgraph", **how) -> DataFrame:
+    return track.feature_track(P.runs(spark, sf), mode, bin_size=256, **how)
+
+
+@query(sql("SELECT chrom, count(*) AS bases, round(sum(v), 4) AS total, max(v) AS top FROM base GROUP BY chrom", "runs", base=_BASE))
+def paint_lastwins(spark, sf):
+    """Later rows of a file overwrite earlier ones, base by base."""
+    n = F.col("end") - F.col("start")
+    return _painted(spark, sf).groupBy("chrom").agg(F.sum(n).alias("bases"), F.round(F.sum(F.col("value") * n), 4).alias("total"), F.max("value").alias("top"))
+
+
+@query(sql("SELECT idx, (p - w) // 40 AS bin, 1.0::DOUBLE AS value FROM wpos JOIN base USING (chrom, p) GROUP BY ALL", "runs", **_CELLS))
+def paint_binary(spark, sf):
+    w = _genome_windows(spark, sf)
+    return track.collapse(track.window_runs(w.df, _painted(spark, sf, "binary"), 256), 40, "max").select("idx", "bin", "value")
+
+
+@query(sql("SELECT idx, (p - w) // 40 AS bin, max(CAST(floor(v) AS INTEGER))::DOUBLE AS value FROM wpos JOIN base USING (chrom, p) GROUP BY ALL", "runs", **_CELLS))
+def paint_score(spark, sf):
+    features = P.runs(spark, sf).withColumn("score", F.floor(F.col("score").cast("double")).cast("string"))
+    w = _genome_windows(spark, sf)
+    return track.collapse(track.window_runs(w.df, track.feature_track(features, "score", bin_size=256), 256), 40, "max").select("idx", "bin", "value")
+
+
+@query(sql("SELECT idx, (p - w) // 40 AS bin, name AS condition, 1.0::DOUBLE AS value FROM wpos JOIN base USING (chrom, p) GROUP BY ALL", "runs", **_CELLS))
+def paint_categories(spark, sf):
+    w = _genome_windows(spark, sf)
+    return track.collapse(track.window_runs(w.df, _painted(spark, sf, "name_category"), 256), 40, "max").select("idx", "bin", "condition", "value")
+
+
+@query(sql("SELECT idx, count(*) AS bases FROM wpos JOIN base USING (chrom, p) WHERE v <> 0 GROUP BY idx, len HAVING count(*) / len >= 0.9", "runs", **_CELLS))
+def paint_minoverlap(spark, sf):
+    """Windows of which at least nine tenths have signal."""
+    w, runs = _genome_windows(spark, sf), _painted(spark, sf)
+    kept = track.with_minoverlap(w.df, runs, 0.9, 256)
+    clipped = track.window_runs(kept, runs, 256).where("value <> 0")
+    return clipped.groupBy("idx").agg(F.sum(F.col("e") - F.col("s")).alias("bases"))
+
+
+def _collapse_sql(value: str, extra: str = "") -> str:
+    return f"SELECT idx, (p - w) // 40 AS bin, {value} AS value FROM wpos JOIN base USING (chrom, p){extra} GROUP BY idx, bin"
+
+
+def _run_query(how):
+    def f(spark, sf):
+        cells = track.collapse(track.window_runs(_genome_windows(spark, sf).df, _painted(spark, sf), 256), 40, how, tail="zero")
+        return cells.select("idx", "bin", F.round("value", 6).alias("value"))
+
+    return f
+
+
+for _how, _value in (("sum", "round(sum(v), 6)"), ("mean", "round(sum(v) / 40, 6)"), ("max", "round(CASE WHEN count(*) < 40 THEN greatest(max(v), 0) ELSE max(v) END, 6)")):
+    query(sql(_collapse_sql(_value), "runs", **_CELLS), f"run_{_how}")(_run_query(_how))
+
+#: Windows of 100 at resolution 40 repeat their first 20 positions.
+_CYCLE = {"base": _BASE, "genome": _GENOME, "t": sql_tiles("genome", 100, 100, False), "wpos": "SELECT idx, chrom, start AS w, unnest(range(0, 120)) AS q FROM t"}
+
+
+@query(sql("SELECT idx, q // 40 AS bin, round(sum(v) / 40, 6) AS value FROM (SELECT idx, chrom, q, w + q % 100 AS p FROM wpos) JOIN base USING (chrom, p) GROUP BY ALL", "runs", **_CYCLE))
+def run_cyclic_tail(spark, sf):
+    w = _genome_windows(spark, sf, 100, 100, zero_padding=False)
+    cells = track.collapse(track.window_runs(w.df, _painted(spark, sf), 256), 40, "mean")
+    return cells.select("idx", "bin", F.round("value", 6).alias("value"))
+
+
+@query(sql("SELECT idx, round(sum(v) / any_value(len), 6) AS value FROM wpos JOIN base USING (chrom, p) GROUP BY idx", "runs", **_CELLS))
+def resolution_none(spark, sf):
+    cells = track.collapse(track.window_runs(_genome_windows(spark, sf).df, _painted(spark, sf), 256), None, "mean")
+    return cells.select("idx", F.round("value", 6).alias("value"))
+
+
+@query()
+def run_custom_collapser(spark, sf):
+    """A user's function over the positions of each bin."""
+    cells = track.collapse(track.window_runs(_genome_windows(spark, sf, 500, 500).df, _painted(spark, sf), 256), None, lambda a: a.max(0) - a.min(0))
+    return cells.select("idx", F.round("value", 4).alias("value"))
+
+
+@query(sql("SELECT chrom AS condition, round(sum(v), 4) AS total FROM base GROUP BY chrom", "runs", base=_BASE))
+def total_sum(spark, sf):
+    return track.total(_by_chrom(spark, sf)).select("condition", F.round("total", 4).alias("total"))
+
+
+def _by_chrom(spark, sf) -> DataFrame:
+    """Each chromosome's signal as a condition of its own."""
+    return _painted(spark, sf).withColumn("condition", F.col("chrom"))
+
+
+def _signal(spark, sf) -> normalize.Signal:
+    return normalize.Signal.of(_by_chrom(spark, sf), W.genome_size(P.runs(spark, sf)))
+
+
+_STATS = {"base": _BASE, "genome": _GENOME, "n": 'SELECT sum("end") AS n FROM genome', "m": "SELECT chrom, sum(v) / any_value(n) AS mean, sqrt((sum(v * v) - any_value(n) * (sum(v) / any_value(n)) ** 2) / (any_value(n) - 1)) AS sd FROM base, n GROUP BY chrom"}
+_LOGS = {**_STATS, "base": "SELECT chrom, p, ln(v + 1) AS v FROM (" + _BASE + ")"}
+
+
+@query(sql("SELECT chrom AS condition, round(mean, 6) AS mean, round(sd, 6) AS sd FROM m", "runs", **_STATS))
+def weighted_mean_sd(spark, sf):
+    x = _signal(spark, sf)
+    return track.moments(x.runs, x.cells).select("condition", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"))
+
+
+def _summary(x: normalize.Signal) -> DataFrame:
+    """Per condition: sums over runs, the extremes, and what background became."""
+    n = F.col("end") - F.col("start")
+    out = x.runs.groupBy("condition").agg(F.round(F.sum(F.col("value") * n), 3).alias("total"), F.round(F.min("value"), 6).alias("low"), F.round(F.max("value"), 6).alias("high"))
+    return out.join(x.zero, "condition").select("condition", "total", "low", "high", F.round("background", 6).alias("background"))
+
+
+def _summary_sql(value: str, zero: str) -> str:
+    return f"SELECT chrom AS condition, round(sum({value}), 3) AS total, round(min({value}), 6) AS low, round(max({value}), 6) AS high, round(any_value({zero}), 6) AS background"
+
+
+@query(sql(_summary_sql("ln(v + 1)", "0.0::DOUBLE") + " FROM base GROUP BY chrom", "runs", base=_BASE))
+def log1p(spark, sf):
+    return _summary(normalize.normalize(_signal(spark, sf), [normalize.log_transform]))
+
+
+@query(sql(_summary_sql("(v - mean) / sd", "-mean / sd") + " FROM base JOIN m USING (chrom) GROUP BY chrom", "runs", **_STATS))
+def zscore(spark, sf):
+    return _summary(normalize.normalize(_signal(spark, sf), ["zscore"]))
+
+
+@query(sql(_summary_sql("(v - mean) / sd", "-mean / sd") + " FROM base JOIN m USING (chrom) GROUP BY chrom", "runs", **_LOGS))
+def zscorelog(spark, sf):
+    return _summary(normalize.normalize(_signal(spark, sf), ["zscorelog"]))
+
+
+@query(sql(_summary_sql("v / 40", "0.0::DOUBLE") + " FROM base GROUP BY chrom", "runs", base=_BASE))
+def region_length_norm(spark, sf):
+    return _summary(normalize.normalize(_signal(spark, sf), ["binsizenorm"], 40))
+
+
+@query(sql(_summary_sql("v * 1000 / 40 / per", "0.0::DOUBLE") + " FROM base JOIN (SELECT chrom, sum(v * 1000 / 40) / 1e6 AS per FROM base GROUP BY chrom) USING (chrom) GROUP BY chrom", "runs", base=_BASE))
+def tpm(spark, sf):
+    return _summary(normalize.normalize(_signal(spark, sf), ["tpm"], 40))
+
+
+@query(sql(_summary_sql("least(v, q)", "0.0::DOUBLE") + " FROM base JOIN q USING (chrom) GROUP BY chrom", "runs", base=_BASE, genome=_GENOME, n='SELECT sum("end") AS n FROM genome', everything="SELECT chrom, v FROM base UNION ALL SELECT chrom, unnest(list_resize(CAST([] AS DOUBLE[]), CAST(n - k AS BIGINT), 0.0::DOUBLE)) AS v FROM (SELECT chrom, count(*) AS k FROM base GROUP BY chrom), n", q="SELECT chrom, quantile_cont(v, 0.99) AS q FROM everything GROUP BY chrom"))
+def pct_trim(spark, sf):
+    return _summary(normalize.normalize(_signal(spark, sf), ["perctrim"]))
+
+
+@query(sql("SELECT DISTINCT name AS category FROM runs", "runs"))
+def distinct_categories(spark, sf):
+    return track.feature_values(P.runs(spark, sf), "name_category").select("category").distinct()
+
+
+@query(sql("SELECT chrom, p - 10000 AS pos, v AS value FROM base WHERE p >= 10000 AND p < 10500", "runs", base=_BASE))
+def interval_access(spark, sf):
+    """A track between two positions of each chromosome, at nucleotide resolution."""
+    chroms = P.runs(spark, sf).select("chrom").distinct()
+    asked = chroms.select(F.xxhash64("chrom").alias("idx"), "chrom", F.lit(10000).cast("long").alias("start"), F.lit(10500).cast("long").alias("end"), F.lit(".").alias("strand"))
+    clipped = track.region_reads(asked, _painted(spark, sf), 256)
+    return clipped.join(asked.select("idx", "chrom"), "idx").select("chrom", F.explode(F.sequence(F.col("s"), F.col("e") - 1)).alias("pos"), "value")
+
+
+@query(sql("SELECT chrom, p // 50 * 50 AS start, p // 50 * 50 + 50 AS \"end\", round(sum(v) / 50, 4) AS value FROM base, (SELECT max(p) AS top FROM base) WHERE p < (SELECT max(\"end\") FROM genome g WHERE g.chrom = base.chrom) // 50 * 50 GROUP BY ALL HAVING round(sum(v) / 50, 4) <> 0", "runs", base=_BASE, genome=_GENOME))
+def array_to_track(spark, sf):
+    """Windows' values laid back on the genome as runs."""
+    w = _genome_windows(spark, sf, 50, 50, zero_padding=False)
+    cells = track.collapse(track.window_runs(w.df, _painted(spark, sf), 256), 50, "mean")
+    out = track.from_windows(cells.withColumn("value", F.round("value", 4)), w.df, 50, 400)
+    return out.where("value <> 0").select("chrom", "start", "end", "value")
+
+
+@query(sql("SELECT idx, list_sum(v)::DOUBLE AS total, len(v)::BIGINT AS size FROM (SELECT idx, list(round(coalesce(value, 0), 2) ORDER BY bin) AS v FROM (SELECT idx, unnest(range(0, 3)) AS bin FROM t) LEFT JOIN c USING (idx, bin) GROUP BY idx)", "runs", **_CELLS, c=_collapse_sql("max(v)")).replace("list_sum(v)::DOUBLE", "round(list_sum(v), 2)"))
+def dense_windows(spark, sf):
+    """Flat arrays of all cells of each window."""
+    w = _genome_windows(spark, sf)
+    cells = track.collapse(track.window_runs(w.df, _painted(spark, sf), 256), 40, "max")
+    rows = track.dense(cells, w.df, 3, ["signal"])
+    return rows.select("idx", F.round(F.aggregate("values", F.lit(0.0), lambda a, x: a + F.round(x, 2)), 2).alias("total"), F.size("values").cast("long").alias("size"))
+
+
+# -- subsets
+
+
+@query(sql("SELECT chrom, count(*) AS n FROM t WHERE chrom NOT IN ('chr2') GROUP BY chrom", "roi", t=sql_tiles("roi", 100, 100)))
+def split_train(spark, sf):
+    return access.split_train_test(_windows(spark, sf, 100, 100).df, ["chr2"])[0].groupBy("chrom").agg(F.count("*").alias("n"))
+
+
+@query(sql("SELECT chrom, count(*) AS n FROM t WHERE chrom IN ('chr2') GROUP BY chrom", "roi", t=sql_tiles("roi", 100, 100)))
+def split_test(spark, sf):
+    return access.split_train_test({"x": _windows(spark, sf, 100, 100).df}, ["chr2"])[1]["x"].groupBy("chrom").agg(F.count("*").alias("n"))
+
+
+@query(sql("SELECT idx, sum(value) AS value FROM wpos JOIN c ON wpos.chrom = c.chrom AND wpos.p = c.start GROUP BY idx", "roi", "reads", t=sql_tiles("(SELECT * FROM roi WHERE chrom = 'chr1')", 64, 64), wpos=_WPOS, **_counts_sql(_FIVE, "0")))
+def view_subset(spark, sf):
+    """The same signal under other windows, of one chromosome."""
+    view = W.Windows.create_from_file(access.subset(P.roi(spark, sf), include="chr1"), 64, 64)
+    return track.collapse(track.window_runs(view.df, track.read_track(P.reads(spark, sf), stranded=False), 1024), None, "sum").select("idx", "value")
+
+
+@query(sql("SELECT idx FROM a WHERE chrom = 'chr1' OR chrom = 'chr2' INTERSECT SELECT idx FROM a WHERE \"end\" - start = 100", "roi", a=sql_tiles("roi", 100, 100)))
+def index_sets(spark, sf):
+    w = _windows(spark, sf, 100, 100).df
+    return access.common_indices([[access.subset(w, "chr1"), access.subset(w, "chr2")], [w.where(F.col("end") - F.col("start") == 100)]])
+
+
+@query(sql("SELECT condition, y, p FROM preds WHERE regexp_matches(condition, '^(en|d)')", "preds"))
+def condition_filter(spark, sf):
+    return access.matching_conditions(P.predictions(spark, sf), "^(en|d)")
+
+
+# -- sequences
+
+
+@query(sql("SELECT idx, len(seq) AS n, sum(CASE c WHEN 'A' THEN 1 ELSE 0 END)::BIGINT AS a, sum(CASE c WHEN 'N' THEN 1 ELSE 0 END)::BIGINT AS unknown FROM (SELECT idx, seq, unnest(string_split(seq, '')) AS c FROM seqs) GROUP BY idx, seq", "seqs"))
+def dna_index(spark, sf):
+    i = Q.letter_index(F.col("seq"))
+    held = P.sequences(spark, sf).select("idx", "seq", i.alias("i")).where("seq <> ''")
+    count = lambda v: F.size(F.filter("i", lambda x: x == v)).cast("long")
+    return held.select("idx", F.length("seq").cast("long").alias("n"), count(0).alias("a"), count(-1).alias("unknown"))
+
+
+_LETTER = "CASE {c} WHEN 'A' THEN 0 WHEN 'C' THEN 1 WHEN 'G' THEN 2 WHEN 'T' THEN 3 ELSE -1 END"
+_LETTERS = f"SELECT idx, lang, p, {_LETTER.format(c='c')} AS v FROM (SELECT idx, lang, unnest(string_split(seq, '')) AS c, unnest(range(0, len(seq))) AS p FROM seqs WHERE seq <> '')"
+_PAIRS = "SELECT idx, lang, p, CASE WHEN v < 0 OR w < 0 THEN -1 ELSE 4 * v + w END AS k FROM (SELECT *, lead(v) OVER (PARTITION BY idx ORDER BY p) AS w FROM letters) WHERE w IS NOT NULL"
+
+
+@query(sql("SELECT lang, k AS kmer, count(*) AS n FROM pairs GROUP BY lang, k", "seqs", letters=_LETTERS, pairs=_PAIRS))
+def kmer_count(spark, sf):
+    """Dinucleotide counts by language, unknown ones as -1."""
+    per = P.sequences(spark, sf).select("lang", F.explode(Q.kmers(F.col("seq"), 2)).alias("kmer"))
+    return per.groupBy("lang", "kmer").agg(F.count("*").alias("n"))
+
+
+@query(sql("SELECT idx, k AS kmer, count(*) AS n FROM pairs WHERE k >= 0 GROUP BY idx, k", "seqs", letters=_LETTERS, pairs=_PAIRS))
+def kmer_matrix(spark, sf):
+    """The k-mer count matrix: one-hot windows summed over positions, in sparse form."""
+    per = P.sequences(spark, sf).select("idx", F.explode(Q.kmers(F.col("seq"), 2)).alias("kmer")).where("kmer >= 0")
+    return per.groupBy("idx", "kmer").agg(F.count("*").alias("n"))
+
+
+@query(sql("SELECT idx, sum(CASE WHEN v = 0 THEN 1 ELSE 0 END)::BIGINT AS n0, sum(CASE WHEN v = 3 THEN 1 ELSE 0 END)::BIGINT AS n3 FROM letters WHERE p < 200 GROUP BY idx", "seqs", letters=_LETTERS))
+def onehot_sum(spark, sf):
+    """Column sums of the one-hot encoding of a sequence's first 200 letters."""
+    hot = Q.one_hot(Q.kmers(F.substring("seq", 1, 200)))
+    held = P.sequences(spark, sf).where("seq <> ''").select("idx", hot.alias("h"))
+    col = lambda j: F.aggregate("h", F.lit(0).cast("long"), lambda a, r: a + F.get(r, j))
+    return held.select("idx", col(0).alias("n0"), col(3).alias("n3"))
+
+
+@query(sql("SELECT idx, md5(reverse(translate(seq, 'ACGT', 'TGCA'))) AS digest FROM seqs", "seqs"))
+def revcomp(spark, sf):
+    return P.sequences(spark, sf).select("idx", F.md5(Q.reverse_complement(F.col("seq"))).alias("digest"))
+
+
+@query(sql("SELECT idx, k AS kmer, count(*) AS n FROM (SELECT idx, CASE WHEN k < 0 THEN k ELSE 4 * (3 - k % 4) + 3 - k // 4 END AS k FROM pairs) GROUP BY idx, k", "seqs", letters=_LETTERS, pairs=_PAIRS))
+def rc_kmers(spark, sf):
+    """k-mers of the opposite strand."""
+    per = P.sequences(spark, sf).select("idx", F.explode(Q.rc_kmers(Q.kmers(F.col("seq"), 2), 2)).alias("kmer"))
+    return per.groupBy("idx", "kmer").agg(F.count("*").alias("n"))
+
+
+@query(sql("SELECT idx, rpad(substr(seq, 1, 300), 300, '.') AS seq FROM seqs", "seqs"))
+def seq_pad(spark, sf):
+    return P.sequences(spark, sf).select("idx", Q.pad(F.col("seq"), 300).alias("seq"))
+
+
+@query(sql("SELECT idx, rpad(substr(seq, CAST(idx % 100 + 1 AS BIGINT), 150), 150, 'N') AS context FROM seqs WHERE length(seq) // 4096 >= (idx % 100) // 4096 AND length(seq) > 0", "seqs"))
+def seq_window(spark, sf):
+    """150 letters from a place in each sequence, through chunks; N beyond the end."""
+    seqs = P.sequences(spark, sf)
+    rows = seqs.select("idx", "chrom", F.pmod("idx", F.lit(100)).alias("start")).withColumn("end", F.col("start") + 150)
+    return variants.with_context(rows, variants.chunked(seqs.select("chrom", "seq")), "idx").select("idx", "context")
+
+
+_MOTIF = [[1.0, -1.0, 0.0, -2.0], [-1.0, 2.0, 0.0, -1.0], [0.0, -1.0, 3.0, 1.0]]
+_ROW = lambda c, w: "CASE " + c + " " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(w)) + " ELSE 0.0 END"
+_FORWARD = " + ".join(_ROW(c, w) for c, w in zip(("a", "b", "c"), _MOTIF))
+_BACKWARD = " + ".join(_ROW(c, w[::-1]) for c, w in zip(("a", "b", "c"), _MOTIF[::-1]))
+_TRIPLES = "SELECT idx, p, v AS a, lead(v) OVER w AS b, lead(v, 2) OVER w AS c FROM letters WINDOW w AS (PARTITION BY idx ORDER BY p)"
+
+
+@query(sql(f"SELECT idx, max(s)::DOUBLE AS best, sum(s)::DOUBLE AS total FROM (SELECT idx, greatest({_FORWARD}, {_BACKWARD}) AS s FROM triples WHERE c IS NOT NULL) GROUP BY idx", "seqs", letters=_LETTERS, triples=_TRIPLES))
+def motif_scan(spark, sf):
+    """A motif's best score on either strand, at each place."""
+    scan = Q.scan_both_strands(Q.kmers(F.col("seq")), _MOTIF)
+    held = P.sequences(spark, sf).where("length(seq) >= 3").select("idx", scan.alias("s"))
+    return held.select("idx", F.array_max("s").alias("best"), F.aggregate("s", F.lit(0.0), lambda a, x: a + x).alias("total"))
+
+
+# -- tensors
+
+
+def _cells(spark, sf) -> DataFrame:
+    return tensor.unstack(P.tensors(spark, sf), SHAPE)
+
+
+def _reduced(how):
+    return lambda spark, sf: tensor.reduce_dim(_cells(spark, sf), how).select("idx", "condition", F.round("value", 6).alias("value"))
+
+
+for _how, _fn in (("sum", "sum"), ("mean", "avg"), ("max", "max")):
+    query(sql(f"SELECT idx, condition, round({_fn}(value), 6) AS value FROM tens GROUP BY idx, condition", "tens"), f"reduce_dim_{_how}")(_reduced(_how))
+
+
+@query(sql("SELECT idx, pos, round(sum(value), 6) AS value FROM tens GROUP BY idx, pos", "tens"))
+def reduce_dim_axes(spark, sf):
+    return tensor.reduce_dim(_cells(spark, sf), "sum", (2, 3)).select("idx", "pos", F.round("value", 6).alias("value"))
+
+
+@query(sql("SELECT idx, (condition * 32 + strand * 16 + pos)::INTEGER AS place, value FROM tens", "tens"))
+def transpose(spark, sf):
+    turned = tensor.transpose(F.col("values"), SHAPE, (2, 1, 0))
+    return P.tensors(spark, sf).select("idx", F.posexplode(turned).alias("place", "value"))
+
+
+@query(sql("SELECT idx, ((15 - pos) * 4 + (1 - strand) * 2 + condition)::INTEGER AS place, value FROM tens", "tens"))
+def flip_strands(spark, sf):
+    return P.tensors(spark, sf).select("idx", F.posexplode(tensor.flip(F.col("values"), SHAPE)).alias("place", "value"))
+
+
+@query(sql("SELECT idx, pos, strand, condition, value FROM tens WHERE strand = 0", "tens"))
+def squeeze(spark, sf):
+    """One strand's values, whose dimension then goes."""
+    one = P.tensors(spark, sf).select("idx", F.filter("values", lambda x, i: F.pmod(F.floor(i / 2), F.lit(2)) == 0).alias("values"))
+    assert tensor.squeeze((1, 16, 1, 2), 2) == (1, 16, 2)
+    return tensor.unstack(one, (16, 1, 2))
+
+
+@query(sql("SELECT idx, pos, strand, condition, CASE WHEN label % 3 = 0 THEN 0.0 WHEN label % 3 = 1 THEN 1.7976931348623157e308 ELSE value END AS value FROM tens JOIN (SELECT vec_id AS idx, label FROM embeddings) USING (idx)", "tens"))
+def nan_to_num(spark, sf):
+    kind = F.pmod("label", F.lit(3))
+    rows = tensor.unstack(P.tensors(spark, sf).withColumn("values", F.when(kind == 0, F.transform("values", lambda x: F.lit(float("nan")))).when(kind == 1, F.transform("values", lambda x: F.lit(float("inf")))).otherwise(F.col("values"))), SHAPE)
+    return rows.withColumn("value", tensor.nan_to_num(F.col("value")))
+
+
+@query(sql("SELECT * FROM (SELECT idx, strand, condition, pos, round(avg(value) OVER w, 6) AS value, count(*) OVER w AS n FROM tens WINDOW w AS (PARTITION BY idx, strand, condition ORDER BY pos ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)) WHERE n = 5", "tens").replace("SELECT * FROM", "SELECT idx, strand, condition, pos, value FROM", 1))
+def local_average(spark, sf):
+    return tensor.local_average(_cells(spark, sf), 5).select("idx", "strand", "condition", "pos", F.round("value", 6).alias("value"))
+
+
+@query(sql("SELECT idx, idx // 32 AS batch, round(sum(value), 5) AS total FROM tens GROUP BY idx", "tens"))
+def batch_ids(spark, sf):
+    rows = tensor.batches(P.tensors(spark, sf), 32)
+    return rows.select("idx", "batch", F.round(F.aggregate("values", F.lit(0.0), lambda a, x: a + x), 5).alias("total"))
+
+
+@query(sql("SELECT idx, round(sum(value), 5) AS x, label AS y FROM tens JOIN (SELECT vec_id AS idx, label FROM embeddings) USING (idx) GROUP BY idx, label", "tens"))
+def zip_datasets(spark, sf):
+    """Inputs and outputs side by side, by row number."""
+    rows = P.tensors(spark, sf)
+    both = tensor.zipped({"x": rows.select("idx", "values"), "y": rows.select("idx", F.array(F.col("label")).alias("values"))})
+    return both.select("idx", F.round(F.aggregate("x", F.lit(0.0), lambda a, v: a + v), 5).alias("x"), F.get("y", F.lit(0)).alias("y"))
+
+
+@query(sql("SELECT pos, condition, round(max(abs(value)), 6) AS value FROM tens GROUP BY pos, condition", "tens"))
+def attribution_merge(spark, sf):
+    """Overlapping windows' attributions: the greatest magnitude for each position."""
+    return tensor.max_abs(_cells(spark, sf), ["pos", "condition"]).withColumn("value", F.round("value", 6))
+
+
+@query(sql("SELECT idx, pos * 3 + r AS place, value FROM tens, (SELECT unnest(range(0, 3)) AS r) WHERE strand = 0 AND condition = 0", "tens").replace("pos * 3 + r AS place", "(pos * 3 + r)::INTEGER AS place"))
+def upsample(spark, sf):
+    first = F.filter("values", lambda x, i: F.pmod(i, F.lit(4)) == 0)
+    return P.tensors(spark, sf).select("idx", F.posexplode(tensor.upsample(first, 3)).alias("place", "value"))
+
+
+@query()
+def random_scale(spark, sf):
+    return tensor.random_scale(_cells(spark, sf), 0.1, 3)
+
+
+@query()
+def random_orientation(spark, sf):
+    return tensor.random_orientation(P.tensors(spark, sf), SHAPE, 3)
+
+
+@query()
+def random_shift(spark, sf):
+    return tensor.random_shift(P.tensors(spark, sf), SHAPE, 4, 3)
+
+
+@query()
+def model_predictions(spark, sf):
+    """A linear model over Arrow batches."""
+    import numpy as np
+
+    weights = np.linspace(-1, 1, 128).reshape(64, 2)
+    return tensor.predict(P.tensors(spark, sf), lambda x: x @ weights, 2)
+
+
+# -- variants
+
+_B = 10
+_VSQL = {
+    "good": f"SELECT *, pos - {_B // 2} + 1 - 1 AS start FROM vars WHERE length(ref) = 1 AND length(alt) = 1 AND ref IN ('A','C','G','T') AND alt IN ('A','C','G','T') AND pos - {_B // 2} >= 0",
+    "ctx": f"SELECT *, rpad(substr(seq, CAST(start + 1 AS BIGINT), {_B}), {_B}, 'N') AS context FROM good",
+    "alle": f"SELECT *, substr(context, {_B // 2}, 1) = ref AS ref_match FROM ctx",
+    "pair": f"SELECT *, context AS ref_seq, CASE WHEN ref_match THEN substr(context, 1, {_B // 2 - 1}) || alt || substr(context, {_B // 2 + 1}) ELSE context END AS alt_seq FROM alle",
+}
+
+
+def _contexts(spark, sf) -> DataFrame:
+    chunks = variants.chunked(P.sequences(spark, sf).select("chrom", "seq"))
+    return variants.with_alleles(variants.with_context(variants.admissible(P.variants(spark, sf), _B), chunks, "ord"), _B)
+
+
+@query(sql("SELECT ord, chrom, pos, ref, alt, start FROM good", "seqs", "vars", **_VSQL))
+def variant_filter(spark, sf):
+    return variants.admissible(P.variants(spark, sf), _B).select("ord", "chrom", "pos", "ref", "alt", "start")
+
+
+@query(sql("SELECT count(*) AS n FROM good", "seqs", "vars", **_VSQL))
+def variant_count(spark, sf):
+    return variants.admissible(P.variants(spark, sf), _B).agg(F.count("*").alias("n"))
+
+
+@query(sql("SELECT ord, context, ref_match, ref_seq, alt_seq FROM pair", "seqs", "vars", **_VSQL))
+def variant_context(spark, sf):
+    return _contexts(spark, sf).select("ord", "context", "ref_match", "ref_seq", "alt_seq")
+
+
+@query(sql(f"SELECT ord, substr(context, 1, {_B // 2 - 1}) || ref || substr(context, {_B // 2 + 1}) AS ref_seq, substr(context, 1, {_B // 2 - 1}) || alt || substr(context, {_B // 2 + 1}) AS alt_seq FROM alle", "seqs", "vars", **_VSQL))
+def variant_both_alleles(spark, sf):
+    chunks = variants.chunked(P.sequences(spark, sf).select("chrom", "seq"))
+    rows = variants.with_context(variants.admissible(P.variants(spark, sf), _B), chunks, "ord")
+    return variants.with_alleles(rows, _B, ignore_reference_match=True).select("ord", "ref_seq", "alt_seq")
+
+
+@query(sql("SELECT ord, CASE WHEN ord % 2 = 0 THEN reverse(translate(ref_seq, 'ACGT', 'TGCA')) ELSE ref_seq END AS ref_seq, CASE WHEN ord % 2 = 0 THEN reverse(translate(alt_seq, 'ACGT', 'TGCA')) ELSE alt_seq END AS alt_seq FROM pair", "seqs", "vars", **_VSQL))
+def variant_strand(spark, sf):
+    """Contexts under a minus-strand annotation, here of sequences with even numbers, are turned."""
+    notes = P.sequences(spark, sf).select("chrom", F.lit(0).cast("long").alias("start"), F.greatest(F.length("seq"), F.lit(1)).cast("long").alias("end"), F.when(F.col("idx") % 2 == 0, "-").otherwise("+").alias("strand"))
+    return variants.turned(_contexts(spark, sf), notes, "ord").select("ord", "ref_seq", "alt_seq")
+
+
+def _linear_model(k):
+    import numpy as np
+
+    return np.stack([(k == 2).sum(1) + 1.0, (k >= 0).sum(1) + 1.0], 1)
+
+
+_COUNT_G = "(length({c}) - length(replace({c}, 'G', '')) + 1)"
+_KNOWN = "(length(replace({c}, 'N', '')) + 1)"
+
+
+@query(sql("SELECT ord, name, chrom, pos - 1 AS pos, ref, alt, ref_match, " + ", ".join(f"{f.format(c=a + '_seq')}::FLOAT AS {a}_{n}" for a in ("ref", "alt") for n, f in (("g", _COUNT_G), ("known", _KNOWN))) + ", " + ", ".join(f"({f.format(c='alt_seq')} - {f.format(c='ref_seq')})::FLOAT AS diff_{n}, round(ln({f.format(c='alt_seq')}::FLOAT::DOUBLE / {f.format(c='ref_seq')}::FLOAT::DOUBLE + 1e-7), 6) AS logodds_{n}" for n, f in (("g", _COUNT_G), ("known", _KNOWN))) + " FROM pair", "seqs", "vars", **_VSQL))
+def variant_effect(spark, sf):
+    """Both alleles' scores by a model of letter counts, with differences and log odds."""
+    rows = variants.stream(P.variants(spark, sf), P.sequences(spark, sf).select("chrom", "seq"), _B)
+    out = variants.predict_effects(rows, _linear_model, ["g", "known"])
+    return out.withColumns({f"logodds_{c}": F.round(F.col(f"logodds_{c}").cast("double"), 6) for c in ("g", "known")})
+
+
+@query(sql("SELECT chrom, pos - 1 AS start, pos AS \"end\", name || '_' || ref || '>' || alt AS name FROM good", "seqs", "vars", **_VSQL))
+def variant_bed(spark, sf):
+    good = variants.admissible(P.variants(spark, sf), _B).withColumn("pos", F.col("pos") - 1)
+    return variants.bed_rows(good)
+
+
+# -- scores
+
+_TH = "SELECT condition, p AS score, sum(y)::BIGINT AS pos, sum(1 - y)::BIGINT AS neg FROM preds GROUP BY condition, p"
+_CUM = "SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER (PARTITION BY condition) AS np, sum(neg) OVER (PARTITION BY condition) AS nn FROM th WINDOW w AS (PARTITION BY condition ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+_CURVES = {"th": _TH, "cum": _CUM}
+
+
+def _rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(F.col(c).cast("double"), 9) for c in columns})
+
+
+@query(sql("SELECT condition, round(sum(pos * (nn - fp + neg / 2)) / nullif(any_value(np * nn), 0), 9)::DOUBLE AS value FROM cum GROUP BY condition", "preds", **_CURVES))
+def roc_auc(spark, sf):
+    return _rounded(scoring.score(P.predictions(spark, sf), "auROC"), "value")
+
+
+@query(sql("SELECT condition, round(sum(pos * tp / (tp + fp)) / nullif(any_value(np), 0), 9)::DOUBLE AS value FROM cum GROUP BY condition", "preds", **_CURVES))
+def avg_precision(spark, sf):
+    return _rounded(scoring.score(P.predictions(spark, sf), "auPRC"), "value")
+
+
+@query(sql("SELECT condition, score, round(fp / nullif(nn, 0), 9)::DOUBLE AS fpr, round(tp / nullif(np, 0), 9)::DOUBLE AS tpr FROM cum", "preds", **_CURVES))
+def roc_curve(spark, sf):
+    return _rounded(scoring.score(P.predictions(spark, sf), "roc"), "fpr", "tpr")
+
+
+@query(sql("SELECT condition, score, round(tp / (tp + fp), 9)::DOUBLE AS precision, round(tp / nullif(np, 0), 9)::DOUBLE AS recall FROM cum", "preds", **_CURVES))
+def pr_curve(spark, sf):
+    return _rounded(scoring.score(P.predictions(spark, sf), "prc"), "precision", "recall")
+
+
+for _name, _key, _fn in (("pearson", "pearson", "corr(y, p)"), ("var_explained", "var_explained", "1 - var_pop(y - p) / var_pop(y)"), ("mse", "mse", "avg((y - p) * (y - p))"), ("mae", "mae", "avg(abs(y - p))")):
+    query(sql(f"SELECT condition, round({_fn}, 6) AS value FROM regr GROUP BY condition", "regr"), _name)(lambda spark, sf, k=_key: scoring.score(P.regression(spark, sf), k).select("condition", F.round("value", 6).alias("value")))
+
+
+@query(sql("SELECT 'across' AS condition, round(avg((y - p) * (y - p)), 6) AS value FROM regr", "regr"))
+def score_across(spark, sf):
+    return scoring.score(P.regression(spark, sf), "MSE", percondition=False).select("condition", F.round("value", 6).alias("value"))
+
+
+@query(sql("SELECT condition, round(max(abs(y - p)), 6) AS value FROM regr GROUP BY condition", "regr"))
+def score_custom(spark, sf):
+    import numpy as np
+
+    return scoring.score(P.regression(spark, sf), lambda y, p: np.abs(y - p).max()).select("condition", F.round("value", 6).alias("value"))
+
+
+@query(sql("SELECT condition, round(avg((y - p) * (y - p)) FILTER (event_id % 4 <> 0), 6) AS value FROM regr GROUP BY condition", "regr"))
+def masked_loss(spark, sf):
+    """Missing targets, here each fourth, don't count."""
+    rows = P.regression(spark, sf).withColumn("y", F.when(F.col("event_id") % 4 == 0, F.lit(float("nan"))).otherwise(F.col("y")))
+    return scoring.masked_loss(rows).select("condition", F.round("value", 6).alias("value"))
+
+
+def _models(spark, sf) -> DataFrame:
+    scores = scoring.score(P.regression(spark, sf), "mae")
+    return scores.select(F.concat(F.lit("model_"), "condition").alias("model"), F.lit("out").alias("layer"), "condition", F.round("value", 6).alias("value"))
+
+
+_SCORES = "SELECT 'model_' || condition AS model, 'out' AS layer, condition, round(avg(abs(y - p)), 6) AS value FROM regr GROUP BY condition"
+
+
+@query(sql("SELECT model, layer, condition, value FROM s WHERE contains(model, 'i')", "regr", s=_SCORES))
+def model_comparison(spark, sf):
+    return access.compared(_models(spark, sf), "i")
+
+
+@query(sql("SELECT model || '-' || layer || '-' || condition AS key FROM s", "regr", s=_SCORES))
+def json_scores(spark, sf):
+    return sinks.score_json(_models(spark, sf)).select(F.get_json_object("json", "$.key").alias("key"))
+
+
+@query(sql("SELECT chrom, w + bin * 40 AS start, w + bin * 40 + 40 AS \"end\", round(value, 4) AS score FROM c JOIN (SELECT idx, chrom, start AS w, \"end\" - start AS len FROM t) USING (idx) WHERE bin < len // 40", "runs", **_CELLS, c=_collapse_sql("max(v)")))
+def export_bed_rows(spark, sf):
+    w = _genome_windows(spark, sf)
+    cells = track.collapse(track.window_runs(w.df, _painted(spark, sf), 256), 40, "max")
+    return sinks.bed_rows(w.df, cells, 40).select("chrom", "start", "end", F.round("score", 4).alias("score"))
+
+
+@query(sql("SELECT chrom, start, sum(value) AS value FROM c GROUP BY chrom, start", "reads", **_counts_sql(_FIVE, "CAST(is_reverse AS INTEGER)")))
+def export_bedgraph_rows(spark, sf):
+    """Strand-summed signal as bedGraph rows."""
+    return sinks.bedgraph_rows(track.read_track(P.reads(spark, sf))).select("chrom", "start", "value")
