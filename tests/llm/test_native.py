@@ -1,0 +1,190 @@
+"""The operators that are DataFrame functions only: rules, decontamination, URLs, personal data; and line chunks."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from locusframe.llm import decontam, lines, pii, rules, urls
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+PLAIN = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+
+
+def lower(s):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in s)
+
+
+def no_python(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow", plan), plan
+
+
+def test_rules_measures(docs, corpus):
+    got = rules.judged(docs.withColumns({"n": F.lit(1), "digest": F.lit("x"), "host": F.lit("y")}))
+    no_python(got)
+    want = []
+    for d, t, _ in corpus:
+        t = t or ""
+        w, held = WORD.findall(t), [x for x in t.split("\n") if WORD.search(x)]
+        c = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+        again = {i + j for i in range(len(w) - 2) if c[tuple(w[i : i + 3])] > 1 for j in range(3)}
+        failed = len(w) < 50 or 100 * len(again) > 50 * len(w)
+        want.append((str(d), len(w), sum(map(len, w)), sum(x in rules.SYMBOLS for x in t), len(held) - len(set(held)), len(again), failed))
+    assert sorted((str(r.doc_id), r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in got.collect()) == sorted(want)
+
+
+def test_rules_reject_depleted_documents(spark):
+    rng = random.Random(3)
+    unique = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(9)) for _ in range(n))
+    menu = unique(60)
+    rows = [(i, menu + "\n" + unique(10 if i % 2 else 200), "h") for i in range(30)] + [(100 + i, unique(80), "h") for i in range(30)]
+    rows += [(200 + i, rows[31][1], "h") for i in range(50)]  # copies of a clean document
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in rules.judged(docs).collect()}
+    assert [i for i, r in got.items() if not r.kept] == [i for i in range(30) if i % 2]
+    assert {got[i].n_removed for i in range(30)} == {60} and got[200].n_removed == 0
+    kept = rules.accepted(docs)
+    no_python(kept)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(i for i, r in got.items() if r.kept)
+
+
+def test_rules_empty(empty):
+    assert rules.judged(empty).count() == 0 and rules.accepted(empty).count() == 0
+
+
+def brute_hits(corpus, items, window):
+    wins = defaultdict(set)
+    for i, t in items:
+        w = PLAIN.findall(lower(t or ""))
+        for j in range(max(1, len(w) - window + 1) if w else 0):
+            wins[tuple(w[j : j + window])].add(i)
+    out = []
+    for d, t, _ in corpus:
+        w, hit, names = PLAIN.findall(lower(t or "")), set(), set()
+        for n in {len(k) for k in wins}:
+            for j in range(len(w) - n + 1):
+                if tuple(w[j : j + n]) in wins:
+                    hit |= set(range(j, j + n))
+                    names |= wins[tuple(w[j : j + n])]
+        out.append((str(d), len(w), len(hit), ",".join(sorted(map(str, names))), bool(hit) and 20 * len(hit) >= len(w)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("window,k", [(13, 5), (6, 3), (4, 4)])
+def test_decontamination_matches_brute_force(spark, docs, corpus, window, k):
+    texts = [t for _, t, _ in corpus if t]
+    items = [(0, texts[0]), (1, texts[3].upper()), (2, " ".join(WORD.findall(texts[7])[3:30])), (3, "one"), (4, ""), (5, None), (6, "One, two. THREE"), (7, texts[3]), (7, texts[3]), (10, "É naïve"), (11, " ".join(WORD.findall(texts[-2])[500:520]))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontam.report(docs.withColumns({"digest": F.lit(1), "h": F.lit(2)}), bench, window, k)
+    no_python(got)
+    want = brute_hits(corpus, items, window)
+    assert sorted((str(r.doc_id), r.n_words, r.n_hit, ",".join(r["items"]), r.contaminated) for r in got.collect()) == want
+    clean = decontam.clean(docs, bench, window, k)
+    assert clean.columns == docs.columns
+    assert sorted(str(r.doc_id) for r in clean.collect()) == [w[0] for w in want if not w[4]]
+
+
+def test_decontamination_empty(spark, docs, empty):
+    none = spark.createDataFrame([], "item_id long, text string")
+    assert decontam.report(docs, none).where("contaminated").count() == 0
+    assert decontam.report(empty, none).count() == 0
+
+
+def test_urls(spark):
+    pages = [(1, "http://a.b.org/es/x"), (2, "https://Example.ORG/es/1?q#f"), (3, "http://example.org/en/12"), (4, "http://m.example.org/en/2"), (5, "no scheme"), (6, None), (7, "x://com/de/"), (8, "http://notexample.org/es/"), (9, "http://shop.com/fr/?a=/de/"), (9, "http://shop.com/fr/?a=/de/"), (10, "http://org"), (11, "ftp://xcom/de/"), (12, "http://example.net/a\nb/"), (13, "")]
+    table = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("COM", "/de/", "block"), ("example.net", "/a\n", "block"), ("example.net", "/a\n", "allow"), (None, "/", "block")]
+    got = urls.judge(spark.createDataFrame(pages, "page_id long, url string").withColumns({"rule": F.lit(0), "labels": F.lit(1)}), urls.rules_table(spark, table))
+    no_python(got)
+    want = {1: ("a.b.org", "/es/x", "org/", "allow"), 2: ("example.org", "/es/1", "example.org/es/", "block"), 3: ("example.org", "/en/12", "example.org/en/1", "block"), 4: ("m.example.org", "/en/2", "org/", "allow"), 5: ("", "", None, "allow"), 6: ("", "", None, "allow"), 7: ("com", "/de/", "com/de/", "block"), 8: ("notexample.org", "/es/", "org/", "allow"), 9: ("shop.com", "/fr/", "com/fr/", "allow"), 10: ("org", "", None, "allow"), 11: ("xcom", "/de/", None, "allow"), 12: ("example.net", "/a\nb/", "example.net/a\n", "block"), 13: ("", "", None, "allow")}
+    rows = got.collect()
+    assert len(rows) == len(pages) and all((r.host, r.path, r.rule, r.verdict) == want[r.page_id] for r in rows)
+    none = spark.createDataFrame([], "host string, path string, verdict string")
+    assert {r.verdict for r in urls.judge(spark.createDataFrame(pages, "page_id long, url string"), none).collect()} == {"allow"}
+
+
+KINDS = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
+
+
+def brute_spans(text):
+    out = []
+    for r, (k, p) in enumerate(KINDS):
+        for m in re.finditer(p, text or ""):
+            d = [int(c) for c in m.group() if c in "0123456789"]
+            luhn = sum(x if i % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for i, x in enumerate(d[::-1])) % 10 == 0
+            if {"email": True, "ip": all(int(x) <= 255 for x in m.group().split(".")) if k == "ip" else 0, "card": 14 <= len(d) <= 19 and luhn, "phone": 10 <= len(d) <= 15}[k]:
+                out.append((m.start(), r, m.end(), k))
+    return ",".join(f"{k}:{s}:{e}" for s, _, e, k in sorted(out))
+
+
+def test_personal_data(spark):
+    rng = random.Random(5)
+    bits = ["a@b.c", "x.y+z@mail.example.org", "@", "a@b", "..@a.b.", "1.2.3.4", "256.1.1.1", "001.2.3.255.9", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (555) 010-9999", "+49.30.1234567", "+1", "é日", " ", "\n", "7" * 30, "79927398713", "a@b.c+d@e.f", "12.34", "-", "9" * 14]
+    texts = ["".join(rng.choice(bits) + rng.choice(["", " ", ", "]) for _ in range(rng.randint(0, 12))) for _ in range(300)] + [None, "", "5" * 20000, "a" * 20000 + "@", "x@y" + ".z" * 5000, ("call +1 555 010 9999, " * 400)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = pii.summary(rows)
+    no_python(got)
+    for r in got.collect():
+        want = brute_spans(texts[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(want.encode()).hexdigest(), texts[r.doc_id][:200]
+        names = Counter(x.split(":")[0] for x in want.split(",") if x)
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(names[k] for k, _ in KINDS)
+
+
+def test_personal_data_of_the_method(spark):
+    text = "My IBAN is GB82 WEST 1234 5698 7654 32, not GB82 WEST 1234 5698 7654 33. SSN 078-05-1120; code 078-05-1120 without a word that is near enough to say so 219-09-9999"
+    row = pii.find(spark.createDataFrame([(1, text, "x")], "doc_id long, text string, spans string")).first()
+    assert [(s.kind, s.text) for s in row.spans] == [("iban", "GB82 WEST 1234 5698 7654 32"), ("ssn", "078-05-1120"), ("ssn", "078-05-1120")]
+    assert row.spans[0].score == 1.0
+    hidden = pii.masked(spark.createDataFrame([(1, "to a@b.c, +1 555 010 9999!"), (2, None)], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.text for r in hidden] == ["to [email], [phone]!", None]
+
+
+def brute_lines(corpus):
+    def chunks(t):
+        ls, held, out = t.split("\n"), [], []
+        v = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in ls]
+        for i, x in enumerate(ls):
+            held.append(x)
+            if (v[i] + 31 * (v[i - 1] if i else 0)) % 3 == 0 or i == len(ls) - 1:
+                out.append(held)
+                held = []
+        return out
+
+    keyed = sorted({(d is not None, d or 0, hashlib.md5(("null" if d is None else str(d)).encode() + b"\0" + (t or "").encode()).hexdigest(), t or "") for d, t, _ in corpus})
+    first, result = {}, {}
+    for a, d, _, t in keyed:
+        kept, lost = [], 0
+        for i, c in enumerate(chunks(t)):
+            n = sum(bool(WORD.search(x)) for x in c)
+            if n >= 2 and first.setdefault("\n".join(c), (a, d, t, i)) != (a, d, t, i):
+                lost += n
+            else:
+                kept += c
+        result[(d if a else None, t)] = ("\n".join(kept), lost)
+    return result
+
+
+def test_lines_match_brute_force(spark, corpus):
+    rng = random.Random(9)
+    block = "\n".join("line %d %s" % (i, rng.random()) for i in range(12))
+    rows = list(corpus) + [(100 + i, "\n".join("own %d %d" % (i, j) for j in range(rng.randint(0, 6))) + "\n" + block + "\nend %d" % i, "s") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({"h": F.lit(1), "place": F.lit(2)})
+    got = lines.deduplicate(docs, removed_col="gone")
+    want = brute_lines(rows)
+    found = got.collect()
+    assert got.columns == [*docs.columns, "gone"] and len(found) == len(rows)
+    for r in found:
+        text, lost = want[(r.doc_id, next(t or "" for d, t, _ in rows if d == r.doc_id))]
+        assert (r.text or "", r.gone) == (text, lost)
+    assert sum(r.gone for r in found) > 100
+    assert [r.text for r in found if r.doc_id == 52] == [None]
+
+
+def test_lines_empty(empty):
+    assert lines.deduplicate(empty).count() == 0
