@@ -1,8 +1,8 @@
 """Quality classifier: hashed word n-gram logistic regression, trained by follow-the-regularised-leader.
 
 A text's tokens are its runs of letters and digits (and characters beyond ASCII) and its runs of other printed
-characters; tokens and token pairs are hashed into 2**bits features, with their counts over the square root of
-their number as values. A score is the logistic function of a sparse dot product with the weights, which are
+characters; tokens, token pairs and returns of a token after 1 to 4 places are hashed into 2**bits features, with
+their counts over the square root of their number as values. A score is the logistic function of a sparse dot product with the weights, which are
 2**bits numbers whatever the input and are broadcast.
 
 Training takes at most ``most_rows`` labelled rows, those with the least hash of their id, of about equal share for every
@@ -27,14 +27,22 @@ CLASSES[list(range(33))] = 0
 CLASSES[127] = 0
 CLASSES[[b for b in range(256) if b >= 128 or chr(b).isalnum()]] = 1
 
+#: Distances at which a token that returns is a feature.
+BACK = (1, 2, 3, 4)
+
 
 def _values(texts: pa.Array, bits: int):
     """(feature of each token and pair, text of each, number per text) of a batch."""
     w = Words(texts, CLASSES)
     at, pairs = w.rolling(2, 3)
     shift = np.uint64(64 - bits)
-    feature = np.r_[mix(w.hash + np.uint64(1)) >> shift, pairs >> shift].astype(np.int64)
-    row = np.r_[w.row, w.row[at]]
+    hashes, rows = [mix(w.hash + np.uint64(1)), pairs], [w.row, w.row[at]]
+    for back in BACK:  # an n-gram whose last token is its first again, whatever the token
+        again = np.flatnonzero((w.hash[back:] == w.hash[:-back]) & (w.row[back:] == w.row[:-back])) + back
+        hashes.append(mix(np.full(len(again), back, np.uint64)))
+        rows.append(w.row[again])
+    feature = (np.concatenate(hashes) >> shift).astype(np.int64)
+    row = np.concatenate(rows)
     return feature, row, np.bincount(row, minlength=len(texts))
 
 
@@ -63,7 +71,7 @@ def features(docs: DataFrame, bits: int, text_col: str = "text") -> DataFrame:
 class Leader:
     """Follow-the-regularised-leader with per-coordinate rates; weights are nought until their sum passes l1."""
 
-    def __init__(self, size: int, alpha: float = 0.1, beta: float = 1.0, l1: float = 0.02, l2: float = 0.1):
+    def __init__(self, size: int, alpha: float = 1.0, beta: float = 1.0, l1: float = 0.1, l2: float = 0.1):
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
         self.z, self.n = np.zeros(size), np.zeros(size)
 
