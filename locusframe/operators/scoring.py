@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 RANGES = 64
 
 
@@ -86,6 +88,7 @@ def score(df: DataFrame, how: str | Callable, percondition: bool = True) -> Data
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
             return pd.DataFrame({"condition": [pdf["condition"].iloc[0]], "value": [float(how(pdf["y"].to_numpy(), pdf["p"].to_numpy()))]})
 
+        ship(df.sparkSession)
         return df.select("condition", "y", "p").groupBy("condition").applyInPandas(run, "condition string, value double")
     if how not in NAMES:
         raise ValueError(f"unknown score {how}")

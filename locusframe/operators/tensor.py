@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 _AXES = {1: "pos", 2: "strand", 3: "condition"}
 
 
@@ -31,6 +33,7 @@ def reduce_dim(cells: DataFrame, aggregator: str | Callable | None = None, axis:
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
             return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in keep}, "value": float(aggregator(pdf["value"].to_numpy()))}])
 
+        ship(cells.sparkSession)
         schema = ", ".join(f"{c} {t}" for c, t in cells.select(keep).dtypes) + ", value double"
         return cells.groupBy(*keep).applyInPandas(run, schema)
     known = {"sum": F.sum, "mean": F.avg, "max": F.max}
@@ -143,4 +146,5 @@ def predict(rows: DataFrame, model: Callable, outputs: int, values: str = "value
                 y = np.asarray(model(np.stack(pdf[values].to_list()))).reshape(len(pdf), outputs)
                 yield pd.DataFrame({key: pdf[key], "prediction": list(y.astype(float))})
 
+    ship(rows.sparkSession)
     return rows.select(key, values).mapInPandas(run, f"{key} {dict(rows.dtypes)[key]}, prediction array<double>")

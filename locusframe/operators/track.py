@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import ceil_div, floor_div
+from ..shipping import ship
 from .rangejoin import overlap_join, overlap_semi, suggest_bin
 
 COLLAPSERS = ("sum", "mean", "max")
@@ -189,6 +190,7 @@ def _collapse_by(rows: DataFrame, key: list[str], how: Callable) -> DataFrame:
             held[int(s) - low : int(e) - low, 0] = v
         return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in key}, "value": float(np.squeeze(how(held)))}])
 
+    ship(rows.sparkSession)
     return rows.groupBy(*key).applyInPandas(run, "idx long, bin long, strand int, condition string, value double")
 
 

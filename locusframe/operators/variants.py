@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sequence import DNA, kmers, reverse_complement, upper
+from ..shipping import ship
 from .rangejoin import annotate_strand
 
 #: Positions of one row of a chunked sequence table.
@@ -105,6 +106,7 @@ def predict_effects(streamed: DataFrame, model: Callable, conditions: list[str],
                     out = pd.concat([out, pd.DataFrame(y, columns=[f"{allele}_{c}" for c in conditions], index=part.index)], axis=1)
                 yield out
 
+    ship(streamed.sparkSession)
     kept = [f"`{c}` {t}" for c, t in streamed.dtypes if c not in ("ref_kmers", "alt_kmers")]
     schema = ", ".join(kept + [f"`{a}_{c}` float" for a in ("ref", "alt") for c in conditions])
     return effects(streamed.mapInPandas(run, schema), conditions)

@@ -283,20 +283,20 @@ def paint_lastwins(spark, sf):
 @query(sql("SELECT idx, (p - w) // 40 AS bin, 1.0::DOUBLE AS value FROM wpos JOIN base USING (chrom, p) GROUP BY ALL", "runs", **_CELLS))
 def paint_binary(spark, sf):
     w = _genome_windows(spark, sf)
-    return track.collapse(track.window_runs(w.df, _painted(spark, sf, "binary"), 256), 40, "max").select("idx", "bin", "value")
+    return track.collapse(track.window_runs(w.df, _painted(spark, sf, "binary"), 256), 40, "max", tail="zero").select("idx", "bin", "value")
 
 
 @query(sql("SELECT idx, (p - w) // 40 AS bin, max(CAST(floor(v) AS INTEGER))::DOUBLE AS value FROM wpos JOIN base USING (chrom, p) GROUP BY ALL", "runs", **_CELLS))
 def paint_score(spark, sf):
     features = P.runs(spark, sf).withColumn("score", F.floor(F.col("score").cast("double")).cast("string"))
     w = _genome_windows(spark, sf)
-    return track.collapse(track.window_runs(w.df, track.feature_track(features, "score", bin_size=256), 256), 40, "max").select("idx", "bin", "value")
+    return track.collapse(track.window_runs(w.df, track.feature_track(features, "score", bin_size=256), 256), 40, "max", tail="zero").select("idx", "bin", "value")
 
 
 @query(sql("SELECT idx, (p - w) // 40 AS bin, name AS condition, 1.0::DOUBLE AS value FROM wpos JOIN base USING (chrom, p) GROUP BY ALL", "runs", **_CELLS))
 def paint_categories(spark, sf):
     w = _genome_windows(spark, sf)
-    return track.collapse(track.window_runs(w.df, _painted(spark, sf, "name_category"), 256), 40, "max").select("idx", "bin", "condition", "value")
+    return track.collapse(track.window_runs(w.df, _painted(spark, sf, "name_category"), 256), 40, "max", tail="zero").select("idx", "bin", "condition", "value")
 
 
 @query(sql("SELECT idx, count(*) AS bases FROM wpos JOIN base USING (chrom, p) WHERE v <> 0 GROUP BY idx, len HAVING count(*) / len >= 0.9", "runs", **_CELLS))
@@ -439,7 +439,7 @@ def array_to_track(spark, sf):
 def dense_windows(spark, sf):
     """Flat arrays of all cells of each window."""
     w = _genome_windows(spark, sf)
-    cells = track.collapse(track.window_runs(w.df, _painted(spark, sf), 256), 40, "max")
+    cells = track.collapse(track.window_runs(w.df, _painted(spark, sf), 256), 40, "max", tail="zero")
     rows = track.dense(cells, w.df, 3, ["signal"])
     return rows.select("idx", F.round(F.aggregate("values", F.lit(0.0), lambda a, x: a + F.round(x, 2)), 2).alias("total"), F.size("values").cast("long").alias("size"))
 
@@ -799,7 +799,7 @@ def json_scores(spark, sf):
 @query(sql("SELECT chrom, w + bin * 40 AS start, w + bin * 40 + 40 AS \"end\", round(value, 4) AS score FROM c JOIN (SELECT idx, chrom, start AS w, \"end\" - start AS len FROM t) USING (idx) WHERE bin < len // 40", "runs", **_CELLS, c=_collapse_sql("max(v)")))
 def export_bed_rows(spark, sf):
     w = _genome_windows(spark, sf)
-    cells = track.collapse(track.window_runs(w.df, _painted(spark, sf), 256), 40, "max")
+    cells = track.collapse(track.window_runs(w.df, _painted(spark, sf), 256), 40, "max", tail="zero")
     return sinks.bed_rows(w.df, cells, 40).select("chrom", "start", "end", F.round("score", 4).alias("score"))
 
 

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..shipping import ship
+
 SCHEMA = "chrom string, reference_start long, reference_end long, is_reverse boolean, is_unmapped boolean, mapq int, is_paired boolean, is_proper_pair boolean, is_read2 boolean, next_chrom string, next_reference_start long, template_length long, query_length long, name string"
 _FIXED = struct.Struct("<iiBBHHHiiii")
 #: CIGAR operations that use up the reference: M D N = X.
@@ -191,6 +193,7 @@ def _decode(batches):
 
 def read_bam(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Reads of BAM files in any store, with their file."""
+    ship(spark)
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(_decode, SCHEMA + ", file string")
 
 
@@ -207,5 +210,6 @@ def bam_sizes(spark: SparkSession, path: str | list[str]) -> DataFrame:
                 refs, _, _ = header(io.BytesIO(content))
                 yield pd.DataFrame([(c, n, i) for i, (c, n) in enumerate(refs)], columns=["chrom", "length", "ord"])
 
+    ship(spark)
     rows = spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "chrom string, length long, ord long")
     return rows.groupBy("chrom").agg(F.max("length").alias("length"), F.min("ord").alias("ord"))

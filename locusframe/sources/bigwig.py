@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..shipping import ship
+
 SCHEMA = "chrom string, start long, end long, value double"
 MAGIC, TREE, INDEX = 0x888FFC26, 0x78CA8C91, 0x2468ACE0
 BLOCKS = 2000
@@ -122,6 +124,7 @@ def read_bigwig(spark: SparkSession, path: str | list[str], nan_to_num: bool = T
             for name, content in zip(pdf["path"], pdf["content"]):
                 yield pd.DataFrame(list(runs(io.BytesIO(content))), columns=["chrom", "start", "end", "value"]).astype({"chrom": object, "start": "int64", "end": "int64", "value": float}).assign(file=name)
 
+    ship(spark)
     out = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, SCHEMA + ", file string")
     return out.withColumn("value", F.when(F.isnan("value"), 0.0).otherwise(F.col("value"))) if nan_to_num else out
 
@@ -136,6 +139,7 @@ def bigwig_sizes(spark: SparkSession, path: str | list[str]) -> DataFrame:
             for content in pdf["content"]:
                 yield pd.DataFrame([(c, n, i) for i, (c, n) in sorted(header(io.BytesIO(content))[0].items())], columns=["chrom", "length", "ord"])
 
+    ship(spark)
     rows = spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "chrom string, length long, ord long")
     return rows.groupBy("chrom").agg(F.max("length").alias("length"), F.min("ord").alias("ord"))
 

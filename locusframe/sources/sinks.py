@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import floor_div
+from ..shipping import ship
 
 
 def score_json(scores: DataFrame, keys: list[str] = ("model", "layer", "condition")) -> DataFrame:
@@ -63,6 +64,7 @@ def write_bedgraph(track: DataFrame, path: str) -> None:
 
 def write_bigwigs(track: DataFrame, sizes: DataFrame, folder: str, name: str) -> None:
     """``folder``/name.condition.bigwig on a mounted file system. The format is one sequential file, so each is one task."""
+    ship(track.sparkSession)
     rows = bedgraph_rows(track)
     lengths = [(r.chrom, r.length) for r in sizes.select("chrom", "length").collect()]  # a row a chromosome
     os.makedirs(folder, exist_ok=True)
