@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
 import hashlib
-import shutil
-import tempfile
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from ..shipping import ship as ship
+
 #: The word separators of every operator here: space, tab, newline, vertical tab, form feed, return.
 SPACES = b" \t\n\x0b\x0c\r"
 #: The same as a Java and RE2 character class.
@@ -23,17 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ship(spark: SparkSession) -> None:
-    """Gives the executors this package's code, once a session, so that it needn't be installed there."""
-    context = spark.sparkContext
-    if not getattr(context, "_locusframe_shipped", False):
-        root = Path(__file__).resolve().parents[1]
-        at = tempfile.mkdtemp()  # the driver serves it to executors as long as it lives
-        atexit.register(shutil.rmtree, at, ignore_errors=True)
-        context.addPyFile(shutil.make_archive(f"{at}/locusframe", "zip", root.parent, root.name))
-        context._locusframe_shipped = True
-
-
 def partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions: the one knob that sizes buckets to the input."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
