@@ -42,7 +42,7 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 _WORDS = np.ones(256, np.uint8)
 _WORDS[list(SPACES)] = 0
-_STEP = 1 << 22
+_STEP = 1 << 20
 _ODD = 0x9E3779B97F4A7C15
 _POWERS: list[np.ndarray] = []
 

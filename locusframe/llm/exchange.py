@@ -124,7 +124,7 @@ def dealt(docs: DataFrame, buckets: int, id_col: str = "doc_id", text_col: str =
     return docs.select(ident.alias("id"), text.alias("text"), F.pmod(F.xxhash64(ident), F.lit(buckets)).cast("int").alias("bucket")).mapInArrow(run, "bucket int, blob binary")
 
 
-def documents(held: pa.Table, most: int = 1 << 23) -> Iterator[tuple[np.ndarray, pa.Array]]:
+def documents(held: pa.Table, most: int = 1 << 22) -> Iterator[tuple[np.ndarray, pa.Array]]:
     """(ids, texts) of a bucket, in pieces of about ``most`` bytes, always the same ones."""
     ids, sizes, data, total = [], [], [], 0
     for blob in sorted(x.as_py() for x in held.column("blob")):

@@ -9,8 +9,8 @@ in the corpus, times ``backoff`` for each order it had to give up; a document's
 at no cost. The unigram score is count / words of the corpus. With ``min_count`` 2, an n-gram of a single
 occurrence, which is the one that is being scored, counts as unseen.
 
-N-grams are told apart by 46 bits of hash and the number of their part; with parts in proportion to the input, one
-in some 10 million n-grams shares its count with another at any size.
+N-grams are told apart by 44 bits of hash and the number of their part; with parts in proportion to the input, one
+in some 5 million n-grams shares its count with another at any size.
 
 Edge cases: null and empty texts have no words and a null mean; rows that repeat a doc_id are counted and scored
 each; an empty corpus gives no rows; extra columns are not read.
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import Words, checkpoint, partitions
 from .exchange import NO_ID, Parts, back, dealt, documents, meet, send, squeeze, steps, unsqueeze
 
-BITS = 46
+BITS = 44
 
 
 def _counted(h: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
