@@ -74,7 +74,8 @@ def _met(texts: DataFrame, items: DataFrame, k: int, w: int, whole: bool) -> Dat
         around = lambda s: F.struct(s["h"].alias("h"), s["at"].alias("at"), F.least(s["at"], F.lit(ctx)).alias("c"), F.slice(words, F.greatest(s["at"] - ctx, F.lit(0)) + 1, F.least(s["at"], F.lit(ctx)) + k + ctx).alias("near"))
         return F.transform(found, around)
 
-    there = texts.join(hits, "digest").select("digest", F.explode(let(words_of(F.col("text")), lambda x: spots(x, F.col("hits")))).alias("s")).select("digest", "s.*").distinct()
+    # hits are rebalanced, so that both sides are shuffled for the join and hot texts can be split
+    there = texts.join(hits.hint("rebalance"), "digest").select("digest", F.explode(let(words_of(F.col("text")), lambda x: spots(x, F.col("hits")))).alias("s")).select("digest", "s.*").repartition("digest", "at").distinct()
     here = items.select("item_id", F.size("words").alias("n_item"), F.explode(let(F.col("words"), lambda x: spots(x, fingerprints(x, k, w) if w > 1 else _grams(x, k)))).alias("s"))
     here = here.select("item_id", "s.h", F.col("s.c").alias("ic"), F.col("s.near").alias("inear"))
     both = there.join(here, "h")
@@ -110,7 +111,7 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = 13, k: int = 5,
     rows = docs.withColumns({"_digest": F.md5(text), "n_words": F.size(words_of(F.col(text_col))).cast("long")}).drop(text_col)
     hits = overlaps(docs, benchmark, window, k, text_col, item_col)
     hits = hits.select(F.col("digest").alias("_digest"), F.col("n_hit").alias("_n"), F.col("items").alias("_items"))
-    out = rows.join(hits, "_digest", "left").withColumns({"n_hit": F.coalesce("_n", F.lit(0).cast("long")), "items": F.coalesce("_items", F.array().cast("array<string>"))}).drop("_digest", "_n", "_items")
+    out = rows.join(hits.hint("rebalance"), "_digest", "left").withColumns({"n_hit": F.coalesce("_n", F.lit(0).cast("long")), "items": F.coalesce("_items", F.array().cast("array<string>"))}).drop("_digest", "_n", "_items")
     out = out.withColumn("n_items", F.size("items").cast("long"))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
 

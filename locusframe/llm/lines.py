@@ -57,14 +57,15 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     places = rows.select("_key", "_id", F.posexplode(chunked(F.col("_text"), mean_lines, window)).alias("place", "c")).where(F.col("c.written") >= min_lines)
     places = places.select("_key", "place", F.xxhash64("c.text").alias("h"), F.struct("_id", "_key", "place").alias("spot"))
     first = places.groupBy("h").agg(F.min("spot").alias("first"), F.max("spot").alias("last")).where("first <> last").select("h", "first")
-    candidates = places.join(first, "h").groupBy("_key", "place", "h").agg(F.first(F.col("spot") == F.col("first")).alias("stays"))
-    listed = candidates.groupBy("_key").agg(F.collect_list(F.struct("place", "h", "stays")).alias("spots"))
+    # each right side is rebalanced, so that both sides are shuffled for the join and hot hashes can be split
+    candidates = places.join(first.hint("rebalance"), "h").select("_key", "place", "h", (F.col("spot") == F.col("first")).alias("stays"))
+    listed = candidates.groupBy("_key").agg(F.collect_set(F.struct("place", "h", "stays")).alias("spots"))
 
     whole = docs.withColumn("_key", key)
     texts = whole.join(listed, "_key").select("_key", F.explode("spots").alias("s"), chunked(text, mean_lines, window).alias("chunks"))
     texts = texts.select("_key", "s.place", "s.h", "s.stays", F.get("chunks", F.col("s.place"))["text"].alias("text"))
     kept = texts.where("stays").groupBy("h").agg(F.first("text").alias("kept"))
-    gone = texts.where("not stays").join(kept, "h").where("text = kept").groupBy("_key").agg(F.collect_set("place").alias("_gone"))
+    gone = texts.where("not stays").join(kept.hint("rebalance"), "h").where("text = kept").groupBy("_key").agg(F.collect_set("place").alias("_gone"))
 
     out = whole.join(gone, "_key", "left")
 
