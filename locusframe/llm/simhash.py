@@ -31,7 +31,7 @@ BITS = 64
 #: Fingerprints of one key that are compared at once; longer runs are dealt out as pairs of blocks.
 BLOCK = 4096
 #: Runs up to this length are compared pair by pair, all runs at once; longer ones by spanning search.
-SHORT = 256
+SHORT = 8
 
 
 def simhash(text: bytes, shingle: int = 4, seed: int = 42) -> int:
