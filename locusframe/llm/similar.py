@@ -1,0 +1,129 @@
+"""Near duplicates by the exact Jaccard similarity of word shingles.
+
+Texts are compared as lower-cased (A-Z) words. MinHash bands propose pairs: texts of similarity s share one of b
+bands of r minima with probability 1 - (1 - s**r)**b, which is 0.99993 for 0.8, 24 and 5, and next to 1 above. A
+pair counts only once its shingle sets have been compared, so nothing below the limit is ever taken for a copy.
+
+Texts are taken in the order of a 64-bit hash: one that no kept text is similar to is kept, others go. So each that
+goes is similar to one that stays, and no two that stay are similar to each other (if proposed). In rounds: each text
+of a bucket is compared with the bucket's first, never with all; firsts of all their buckets stay, what is similar
+to them goes, and both leave their buckets.
+
+Edge cases: null and blank texts are equal; texts with fewer words than a shingle are one shingle; of rows with
+equal words the one with the least id stays, whatever ids repeat or are null; extra columns are kept.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .common import SPACE_CLASS, Words, checkpoint, mix, ship, spans
+
+BANDS, ROWS = 24, 5
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def plain(text: Column) -> Column:
+    """Lower-cased words with a space between them."""
+    held = F.coalesce(text.cast("string"), F.lit(""))
+    return F.btrim(F.translate(F.regexp_replace(held, SPACE_CLASS + "+", " "), _UPPER, _LOWER))
+
+
+def shingles(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all texts' shingles, text by text, and where each text's begin (and the last one's end)."""
+    w = Words(texts)
+    at, h = w.rolling(shingle, 7)
+    row = w.row[at]
+    short = np.flatnonzero((w.count > 0) & (w.count < shingle))
+    if len(short):
+        whole = np.zeros(len(short), np.uint64)
+        for i, r in enumerate(short):
+            x = np.uint64(w.count[r])
+            for y in w.hash[w.first[r] : w.first[r + 1]]:
+                x = mix(np.array([x ^ y]))[0] * np.uint64(0x9E3779B97F4A7C15)
+            whole[i] = x
+        order = np.argsort(np.r_[row, short], kind="stable")
+        row, h = np.r_[row, short][order], np.r_[h, mix(whole)][order]
+    return h, np.searchsorted(row, np.arange(len(texts) + 1))
+
+
+def bands(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the texts that have words, and (bands × texts) keys of theirs."""
+    h, first = shingles(texts, shingle)
+    held = np.flatnonzero(first[1:] > first[:-1])
+    rng = np.random.default_rng(11)
+    keys = np.zeros((BANDS, len(held)), np.uint64)
+    if len(held):
+        for b in range(BANDS):
+            key = np.full(len(held), b, np.uint64)
+            for _ in range(ROWS):
+                x, m = rng.integers(1 << 63, dtype=np.uint64), rng.integers(1 << 63, dtype=np.uint64) | np.uint64(1)
+                key = mix(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat((h ^ x) * m, first[held]))
+            keys[b] = key
+    return held, keys
+
+
+def _similar(shingle: int, similarity: float):
+    def run(batches):
+        for batch in batches:
+            (g, at), (h, bt) = shingles(batch.column(2), shingle), shingles(batch.column(3), shingle)
+            ok = np.zeros(batch.num_rows, bool)
+            for i in range(batch.num_rows):
+                a, b = np.unique(g[at[i] : at[i + 1]]), np.unique(h[bt[i] : bt[i + 1]])
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                ok[i] = both >= similarity * (len(a) + len(b) - both) - 1e-9
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok)], ["low", "node", "ok"])
+
+    return run
+
+
+def followers(texts: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(node): of distinct ``texts`` (node, text; rows may repeat), those that are similar to one that stays."""
+    ship(texts.sparkSession)
+    spark = texts.sparkSession
+
+    def keyed(batches):
+        for batch in batches:
+            for i, j in spans(batch.column(1)):
+                held, keys = bands(batch.column(1).slice(i, j - i), shingle)
+                node = batch.column(0).slice(i, j - i).to_numpy()[held]
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.tile(node, BANDS))], ["key", "node"])
+
+    members = checkpoint(texts.select("node", "text").mapInArrow(keyed, "key long, node long").distinct())
+    many = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    live = checkpoint(members.join(many.hint("rebalance"), "key").select("key", "node"))
+    asked = live.select("node").distinct()
+    words = checkpoint(texts.join(asked.hint("rebalance"), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
+    judged = spark.createDataFrame([], "low long, node long, ok boolean")
+    gone = spark.createDataFrame([], "node long")
+    while True:
+        lows = live.groupBy("key").agg(F.min("node").alias("low"))
+        pairs = checkpoint(live.join(lows.hint("rebalance"), "key").where("node <> low").select("low", "node").distinct())
+        if pairs.isEmpty():
+            return gone
+        new = pairs.join(judged, ["low", "node"], "left_anti").join(words.hint("rebalance"), "node")
+        new = new.join(words.select(F.col("node").alias("low"), F.col("text").alias("other")).hint("rebalance"), "low")
+        new = new.select("low", "node", "text", "other").mapInArrow(_similar(shingle, similarity), "low long, node long, ok boolean")
+        judged = checkpoint(judged.unionByName(new))
+        kept = pairs.select("low").distinct().join(pairs.select(F.col("node").alias("low")).distinct(), "low", "left_anti")
+        near = checkpoint(judged.where("ok").join(kept.hint("rebalance"), "low", "left_semi").select("node").distinct())
+        gone = checkpoint(gone.union(near).distinct())
+        live = checkpoint(live.join(near.union(kept.select("low")).distinct().hint("rebalance"), "node", "left_anti"))
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` that stay: one of each group of equal texts, and none similar to another that stays."""
+    text = plain(F.col(text_col))
+    node = F.xxhash64(text)
+    gone = followers(docs.select(node.alias("node"), text.alias("text")), shingle, similarity)
+    rows = docs.select(node.alias("_node"), F.col(id_col).alias("_least"))
+    least = rows.groupBy("_node").agg(F.min("_least").alias("_least")).join(gone.withColumnRenamed("node", "_node").hint("rebalance"), "_node", "left_anti")
+    least = checkpoint(least)
+    found = rows.join(least.withColumnRenamed("_least", "_of"), "_node").where(F.col("_least").eqNullSafe(F.col("_of")))
+    repeated = not found.groupBy("_node").count().where("count > 1").isEmpty()
+    out = docs.withColumn("_node", node).withColumn("_id", F.col(id_col))
+    out = out.join(least.withColumnRenamed("_node", "_of"), (F.col("_node") == F.col("_of")) & F.col("_id").eqNullSafe(F.col("_least")), "left_semi")
+    return (out.dropDuplicates(["_node"]) if repeated else out).select(docs.columns)
