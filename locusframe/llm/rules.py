@@ -3,7 +3,7 @@
 Lines are normalised (A-Z lower-cased, white space collapsed) and hashed; for each host, the distinct documents
 that hold a line are counted, equal texts once, so that copies don't make each other's lines boilerplate. A
 line above both limits (a number of documents, and a share of the host's documents) is removed; a document with
-too small a share of its words left is depleted and rejected.
+too small a share of its words left is depleted and rejected. ``cleaned`` gives the texts that are left.
 
 The default share is a tenth of a host's distinct documents: site furniture is on most pages of a host, while
 families of near copies and quoted passages, which are for other stages, are not.
@@ -67,6 +67,10 @@ def repeated_words(words: Column, width: int = 3) -> Column:
     return let(words, of)
 
 
+def _fails(n: Column, again: Column) -> Column:
+    return (n < 50) | (100 * again > 50 * n)
+
+
 def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -86,7 +90,12 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
         }
     )
     out = out.withColumns({"n_words": F.col("_stats.n"), "n_repeat_words": F.col("_stats.again")}).drop("_stats")
-    return out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
+    return out.withColumn("base_failed", _fails(F.col("n_words"), F.col("n_repeat_words")))
+
+
+def _normal(line: Column) -> Column:
+    """A line as it is compared with others: lower-cased (A-Z), white space collapsed."""
+    return F.translate(F.btrim(F.regexp_replace(line, SPACE_CLASS + "+", " ")), _UPPER, _LOWER)
 
 
 def _keys(host_col: str, text_col: str) -> tuple[Column, Column]:
@@ -95,9 +104,9 @@ def _keys(host_col: str, text_col: str) -> tuple[Column, Column]:
 
 
 def removed_words(docs: DataFrame, host_col: str = "source", text_col: str = "text", min_documents: int = 20, share: float = 0.1) -> DataFrame:
-    """(host, digest, n_removed) of the texts of each host that hold lines above the limits."""
+    """(host, digest, n_removed, lines) of the texts of each host that hold lines above the limits; ``lines`` has their hashes."""
     host, digest = _keys(host_col, text_col)
-    line = F.translate(F.btrim(F.regexp_replace("line", SPACE_CLASS + "+", " ")), _UPPER, _LOWER)
+    line = _normal(F.col("line"))
     rows = docs.select(host.alias("host"), digest.alias("digest"), F.explode(F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\n")).alias("line")).select("host", "digest", line.alias("line")).where("line <> ''")
     size = F.length("line") - F.length(F.translate("line", " ", "")) + 1
     # a line that a text repeats counts with all its words, once for all copies of the text
@@ -108,7 +117,7 @@ def removed_words(docs: DataFrame, host_col: str = "source", text_col: str = "te
     many = held.groupBy("host", "line").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") >= min_documents)
     many = many.join(hosts, "host").where(F.col("n_docs") >= share * F.col("n_host")).select("host", "line")
     out = held.join(many, ["host", "line"]).join(texts, ["host", "digest"])
-    return out.groupBy("host", "digest").agg(F.sum(F.col("n") * F.col("rows") / F.col("copies")).cast("long").alias("n_removed"))
+    return out.groupBy("host", "digest").agg(F.sum(F.col("n") * F.col("rows") / F.col("copies")).cast("long").alias("n_removed"), F.collect_set("line").alias("lines"))
 
 
 def judged(docs: DataFrame, host_col: str = "source", text_col: str = "text", min_documents: int = 20, share: float = 0.1, min_left: float = 0.3) -> DataFrame:
@@ -131,3 +140,18 @@ def accepted(docs: DataFrame, host_col: str = "source", text_col: str = "text",
     depleted = texts.join(lost, ["_host", "_digest"]).where(F.col("n_words") - F.col("n_removed") < min_left * F.col("n_words")).select("_host", "_digest").distinct()
     marks = measured(docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("_text")), "_text").where("not base_failed").select("row.*")
     return marks.withColumns({"_host": host, "_digest": digest}).join(depleted, ["_host", "_digest"], "left_anti").select(docs.columns)
+
+
+def cleaned(docs: DataFrame, host_col: str = "source", text_col: str = "text", min_documents: int = 20, share: float = 0.1, min_left: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` that ``judged`` keeps, without their lines above the limits, where what is left passes too."""
+    host, digest = _keys(host_col, text_col)
+    lost = removed_words(docs, host_col, text_col, min_documents, share).select(F.col("host").alias("_host"), F.col("digest").alias("_digest"), F.col("n_removed").alias("_lost"), F.col("lines").alias("_lines"))
+    sound = measured(docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("_text")), "_text").where("not base_failed").select("row.*", F.col("n_words").alias("_n"))
+    held = sound.withColumns({"_host": host, "_digest": digest}).join(lost, ["_host", "_digest"], "left").where(F.col("_lost").isNull() | (F.col("_n") - F.col("_lost") >= min_left * F.col("_n")))
+    text = F.col(text_col).cast("string")
+    left = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains("_lines", F.xxhash64(_normal(x)))), "\n")
+    held = held.withColumn("_left", F.when(F.col("_lines").isNotNull(), left))
+    # what is left is measured again only where something went
+    passes = F.when(F.col("_left").isNull(), True).otherwise(let(words_in(F.col("_left")), lambda w: ~_fails(F.size(w), repeated_words(w))))
+    columns = [F.coalesce("_left", F.col(c)).alias(c) if c == text_col else F.col(c) for c in docs.columns]
+    return held.where(passes).select(*columns)
