@@ -4,10 +4,10 @@ Texts are compared as lower-cased (A-Z) words. MinHash bands propose pairs: text
 bands of r minima with probability 1 - (1 - s**r)**b, which is 0.99993 for 0.8, 24 and 5, and next to 1 above. A
 pair counts only once its shingle sets have been compared, so nothing below the limit is ever taken for a copy.
 
-Texts are taken in the order of a 64-bit hash: one that no kept text is similar to is kept, others go. So each that
-goes is similar to one that stays, and no two that stay are similar to each other (if proposed). In rounds: each text
-of a bucket is compared with the bucket's first, never with all; firsts of all their buckets stay, what is similar
-to them goes, and both leave their buckets.
+Each text that goes is similar to one that stays, and no two that stay are similar to each other (if proposed). In
+rounds: the texts of a bucket are compared with the least hash of each of a few slots, never all with all. Those that
+are least in all their buckets have met all others there; of these, the ones without a lesser similar one stay, what
+is similar to them goes, and both leave their buckets. The least hash of all is always among them.
 
 Edge cases: null and blank texts are equal; texts with fewer words than a shingle are one shingle; of rows with
 equal words the one with the least id stays, whatever ids repeat or are null; extra columns are kept.
@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from .common import SPACE_CLASS, Words, checkpoint, mix, ship, spans
 
 BANDS, ROWS = 24, 5
+#: Texts of a bucket that all others are compared with in a round, at most.
+SLOTS = 64
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -100,18 +102,25 @@ def followers(texts: DataFrame, shingle: int = 5, similarity: float = 0.8) -> Da
     judged = spark.createDataFrame([], "low long, node long, ok boolean")
     gone = spark.createDataFrame([], "node long")
     while True:
-        lows = live.groupBy("key").agg(F.min("node").alias("low"))
-        pairs = checkpoint(live.join(lows.hint("rebalance"), "key").where("node <> low").select("low", "node").distinct())
+        lows = live.groupBy("key", F.pmod("node", F.lit(SLOTS)).alias("slot")).agg(F.min("node").alias("low"))
+        met = live.join(lows.select("key", "low").hint("rebalance"), "key").where("node <> low")
+        pairs = checkpoint(met.select(F.least("low", "node").alias("low"), F.greatest("low", "node").alias("node")).distinct())
         if pairs.isEmpty():
             return gone
         new = pairs.join(judged, ["low", "node"], "left_anti").join(words.hint("rebalance"), "node")
         new = new.join(words.select(F.col("node").alias("low"), F.col("text").alias("other")).hint("rebalance"), "low")
         new = new.select("low", "node", "text", "other").mapInArrow(_similar(shingle, similarity), "low long, node long, ok boolean")
-        judged = checkpoint(judged.unionByName(new))
-        kept = pairs.select("low").distinct().join(pairs.select(F.col("node").alias("low")).distinct(), "low", "left_anti")
-        near = checkpoint(judged.where("ok").join(kept.hint("rebalance"), "low", "left_semi").select("node").distinct())
+        judged = checkpoint(judged.unionByName(new).repartition("low", "node"))
+        # compared with all others of all their buckets
+        beaten = live.join(lows.select("key", F.col("low").alias("node")).hint("rebalance"), ["key", "node"], "left_anti").select("node").distinct()
+        full = checkpoint(live.select("node").distinct().join(beaten.hint("rebalance"), "node", "left_anti"))
+        links = judged.where("ok").select("low", "node")
+        second = links.join(full.hint("rebalance"), "node", "left_semi").join(full.select(F.col("node").alias("low")).hint("rebalance"), "low", "left_semi").select("node").distinct()
+        kept = checkpoint(full.join(second.hint("rebalance"), "node", "left_anti"))
+        both = links.union(links.select("node", "low"))
+        near = both.join(kept.select(F.col("node").alias("low")).hint("rebalance"), "low", "left_semi").select("node")
         gone = checkpoint(gone.union(near).distinct())
-        live = checkpoint(live.join(near.union(kept.select("low")).distinct().hint("rebalance"), "node", "left_anti"))
+        live = checkpoint(live.join(gone.union(kept).distinct().hint("rebalance"), "node", "left_anti"))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
