@@ -8,7 +8,8 @@ Packing is vector best-fit decreasing: each piece needs tokens, one document slo
 squared), and each sequence has a residual capacity of the three. Of all open sequences with room in every
 dimension, the piece goes to the one with the least weighted residual norm, or with the greatest weighted
 dot product of need and residual. Sequences are indexed by their residual tokens and scanned from the best bound
-outwards, so the choice is exact without looking at all of them. Pieces are dealt into groups of a
+outwards, so the best residual tokens are found without looking at all of them; of sequences of equal residual tokens
+only the first 257 are looked at once one fits, so the minor weights' choice among more is not exact. Pieces are dealt into groups of a
 bounded number by hash; only narrow rows move, never token ids.
 
 Edge cases: null and empty texts are the closing id alone; rows that repeat a doc_id are packed each; an empty
