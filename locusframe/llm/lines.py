@@ -13,7 +13,8 @@ of its text follow, so that only a text of one written line is a chunk of one; s
 copy of a text then goes as a whole, whatever its chunks' shapes.
 
 Edge cases: null texts stay null; a text all of whose chunks are repeats becomes empty; rows equal in doc_id and
-text are one document and are treated alike; a null doc_id comes first; extra columns are kept.
+text are one document and are treated alike; a null doc_id comes first; extra columns are kept, whatever their names,
+but for one named like ``removed_col``, which is replaced.
 """
 
 from __future__ import annotations
@@ -68,31 +69,32 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with repeated chunks taken out of their texts; ``removed_col`` gets the number of written lines that went."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     key = F.md5(F.concat_ws("\x00", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), text))
-    rows = docs.select(key.alias("_key"), F.col(id_col).alias("_id"), text.alias("_text"))
+    rows = docs.select(key.alias("key"), F.col(id_col).alias("id"), text.alias("text"))
 
-    places = rows.select("_key", "_id", F.posexplode(chunked(F.col("_text"), mean_lines, window, paired)).alias("place", "c")).where(F.col("c.written") >= (1 if paired else min_lines))
-    places = places.select("_key", "place", F.xxhash64("c.text").alias("h"), F.struct("_id", "_key", "place").alias("spot"))
+    places = rows.select("key", "id", F.posexplode(chunked(F.col("text"), mean_lines, window, paired)).alias("place", "c")).where(F.col("c.written") >= (1 if paired else min_lines))
+    places = places.select("key", "place", F.xxhash64("c.text").alias("h"), F.struct("id", "key", "place").alias("spot"))
     first = places.groupBy("h").agg(F.min("spot").alias("first"), F.max("spot").alias("last")).where("first <> last").select("h", "first")
     # each right side is rebalanced, so that both sides are shuffled for the join and hot hashes can be split
-    candidates = places.join(first.hint("rebalance"), "h").select("_key", "place", "h", (F.col("spot") == F.col("first")).alias("stays"))
-    listed = candidates.groupBy("_key").agg(F.collect_set(F.struct("place", "h", "stays")).alias("spots"))
+    candidates = places.join(first.hint("rebalance"), "h").select("key", "place", "h", (F.col("spot") == F.col("first")).alias("stays"))
+    listed = candidates.groupBy("key").agg(F.collect_set(F.struct("place", "h", "stays")).alias("spots"))
 
-    whole = docs.withColumn("_key", key)
-    texts = whole.join(listed, "_key").select("_key", F.explode("spots").alias("s"), chunked(text, mean_lines, window, paired).alias("chunks"))
-    texts = texts.select("_key", "s.place", "s.h", "s.stays", F.get("chunks", F.col("s.place"))["text"].alias("text"))
+    # chunks are made once a text, within the generator
+    wanted = let(chunked(F.col("text"), mean_lines, window, paired), lambda c: F.transform("spots", lambda s: F.struct(s["place"].alias("place"), s["h"].alias("h"), s["stays"].alias("stays"), F.get(c, s["place"])["text"].alias("text"))))
+    texts = rows.join(listed, "key").select("key", F.explode(wanted).alias("s")).select("key", "s.*")
     kept = texts.where("stays").groupBy("h").agg(F.first("text").alias("kept"))
-    gone = texts.where("not stays").join(kept.hint("rebalance"), "h").where("text = kept").groupBy("_key").agg(F.collect_set("place").alias("_gone"))
-
-    out = whole.join(gone, "_key", "left")
+    gone = texts.where("not stays").join(kept.hint("rebalance"), "h").where("text = kept").groupBy("key").agg(F.sort_array(F.collect_set("place")).alias("gone"))
 
     def rebuilt(chunks: Column) -> Column:
-        left = F.filter(chunks, lambda c, i: ~F.array_contains(F.col("_gone"), i))
-        lost = F.aggregate(F.filter(chunks, lambda c, i: F.array_contains(F.col("_gone"), i)), F.lit(0), lambda a, c: a + c["written"])
-        return F.named_struct(F.lit("text"), F.array_join(F.transform(left, lambda c: c["text"]), "\n"), F.lit("lost"), lost)
-
-    made = F.when(F.col("_gone").isNotNull(), let(chunked(text, mean_lines, window, paired), rebuilt))
-    out = out.withColumn("_made", made)
-    columns = [F.coalesce("_made.text", F.col(c)).alias(c) if c == text_col else F.col(c) for c in docs.columns]
+        ends = F.concat("gone", F.array(F.size(chunks)))
+        between = lambda e, j: let(F.coalesce(F.get(ends, j - 1) + 1, F.lit(0)), lambda s: F.slice(chunks, s + 1, e - s))
+        left = F.flatten(F.transform(ends, between))
+        lost = F.aggregate("gone", F.lit(0), lambda a, i: a + F.get(chunks, i)["written"])
+        return F.struct(F.array_join(F.transform(left, lambda c: c["text"]), "\n").alias("text"), lost.alias("lost"))
+
+    whole = docs.select(F.struct(*docs.columns).alias("row"), key.alias("of"), text.alias("held"))
+    made = F.when(F.col("gone").isNotNull(), let(chunked(F.col("held"), mean_lines, window, paired), rebuilt))
+    out = whole.join(gone, F.col("of") == F.col("key"), "left").select("row", made.alias("made"))
+    columns = [F.coalesce("made.text", F.col("row")[c]).alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns if c != removed_col]
     if removed_col:
-        columns.append(F.coalesce("_made.lost", F.lit(0)).cast("long").alias(removed_col))
+        columns.append(F.coalesce("made.lost", F.lit(0)).cast("long").alias(removed_col))
     return out.select(*columns)

@@ -8,11 +8,13 @@ too small a share of its words left is depleted and rejected. ``cleaned`` gives
 The default share is a tenth of a host's distinct documents: site furniture is on most pages of a host, while
 families of near copies and quoted passages, which are for other stages, are not.
 
-Everything is DataFrame functions. Text never moves: a document's verdict depends on its host and its text, so
-only (host, digest of the text, line hash) rows are shuffled, and hot hosts and lines are counted in two steps.
+Everything is DataFrame functions. Texts are read once, into a checkpointed table of measures and line hashes; a
+document's verdict depends on its host and its text, so only (host, digest of the text, line hash) rows are shuffled,
+and hot hosts and lines are counted in two steps. Lines count as equal if 64 bits of hash are.
 
 Edge cases: a null text has no words and fails; a null host is a host of its own; rows that repeat a document
-are judged each, alike.
+are judged each, alike; columns that clash with names used here are carried untouched, but for those that ``judged``
+adds, which are replaced.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS
+from .common import SPACE_CLASS, checkpoint
 
 _WHITE = " \t\n\x0b\x0c\r"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -34,6 +36,19 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def lowered(text: Column) -> Column:
+    """``text`` with A-Z lower-cased and nothing else."""
+    ascii_only = F.octet_length(text) == F.length(text)
+    return F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER))
+
+
+def less(text: Column, letters: str) -> Column:
+    """``text`` without ``letters``."""
+    for c in letters:
+        text = F.replace(text, F.lit(c), F.lit(""))
+    return text
+
+
 def words_in(text: Column) -> Column:
     """The words of a text that isn't null."""
     cut = F.btrim(text, F.lit(_WHITE))
@@ -71,9 +86,17 @@ def _fails(n: Column, again: Column) -> Column:
     return (n < 50) | (100 * again > 50 * n)
 
 
-def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+#: What ``measured`` adds, and ``judged`` on top of it.
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def _normal(line: Column) -> Column:
+    """A line as it is compared with others: lower-cased (A-Z), white space collapsed."""
+    return lowered(F.btrim(F.regexp_replace(line, SPACE_CLASS + "+", " ")))
+
+
+def _read(text: Column) -> dict[str, Column]:
+    """``stats`` (n, again), the other measures, and ``lines``: (h, n) of each written line, its hash and words."""
 
     def stats(w: Column) -> Column:
         return F.struct(F.size(w).cast("long").alias("n"), repeated_words(w).alias("again"))
@@ -81,21 +104,34 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
     def lines(held: Column) -> Column:
         return F.size(held) - F.size(F.array_distinct(held))
 
+    def line(x: Column) -> Column:
+        return let(_normal(x), lambda y: F.struct(F.xxhash64(y).alias("h"), (F.length(y) - F.length(F.replace(y, F.lit(" "), F.lit(""))) + 1).alias("n")))
+
     written = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(_WHITE)) != "")
-    out = docs.withColumn("_stats", let(words_in(text), stats)).withColumns(
-        {
-            "word_chars": F.length(F.translate(text, _WHITE, "")).cast("long"),
-            "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
-            "n_dup_lines": let(written, lines).cast("long"),
-        }
-    )
-    out = out.withColumns({"n_words": F.col("_stats.n"), "n_repeat_words": F.col("_stats.again")}).drop("_stats")
-    return out.withColumn("base_failed", _fails(F.col("n_words"), F.col("n_repeat_words")))
+    held = let(written, lambda x: F.struct(lines(x).cast("long").alias("dup"), F.transform(x, line).alias("lines")))
+    return {
+        "stats": let(words_in(text), stats),
+        "word_chars": F.length(less(text, _WHITE)).cast("long"),
+        "n_symbols": (F.length(text) - F.length(less(text, SYMBOLS))).cast("long"),
+        "held": held,
+    }
 
 
-def _normal(line: Column) -> Column:
-    """A line as it is compared with others: lower-cased (A-Z), white space collapsed."""
-    return F.translate(F.btrim(F.regexp_replace(line, SPACE_CLASS + "+", " ")), _UPPER, _LOWER)
+def _profile(docs: DataFrame, host_col: str, text_col: str, carried: list[str]) -> DataFrame:
+    """(row, host, digest, measures, lines) of each row of ``docs``, read once and checkpointed; ``row`` has ``carried``."""
+    host, digest = _keys(host_col, text_col)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.struct(F.lit(0), *carried).alias("row"), host.alias("host"), digest.alias("digest"), *(c.alias(k) for k, c in _read(text).items()))
+    return checkpoint(rows.select("row", "host", "digest", F.col("stats.n").alias("n_words"), "word_chars", "n_symbols", F.col("held.dup").alias("n_dup_lines"), F.col("stats.again").alias("n_repeat_words"), _fails(F.col("stats.n"), F.col("stats.again")).alias("base_failed"), F.col("held.lines").alias("lines")))
+
+
+def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed."""
+    others = [c for c in docs.columns if c not in MEASURES]
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    out = docs.select(F.struct(F.lit(0), *others).alias("row"), *(c.alias(k) for k, c in _read(text).items()))
+    out = out.select("row", F.col("stats.n").alias("n_words"), "word_chars", "n_symbols", F.col("held.dup").alias("n_dup_lines"), F.col("stats.again").alias("n_repeat_words"), _fails(F.col("stats.n"), F.col("stats.again")).alias("base_failed"))
+    return out.select(*(F.col("row")[c].alias(c) for c in others), *MEASURES)
 
 
 def _keys(host_col: str, text_col: str) -> tuple[Column, Column]:
@@ -103,55 +139,52 @@ def _keys(host_col: str, text_col: str) -> tuple[Column, Column]:
     return F.coalesce(F.col(host_col).cast("string"), F.lit("\x00null")), F.md5(text)
 
 
-def removed_words(docs: DataFrame, host_col: str = "source", text_col: str = "text", min_documents: int = 20, share: float = 0.1) -> DataFrame:
-    """(host, digest, n_removed, lines) of the texts of each host that hold lines above the limits; ``lines`` has their hashes."""
-    host, digest = _keys(host_col, text_col)
-    line = _normal(F.col("line"))
-    rows = docs.select(host.alias("host"), digest.alias("digest"), F.explode(F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\n")).alias("line")).select("host", "digest", line.alias("line")).where("line <> ''")
-    size = F.length("line") - F.length(F.translate("line", " ", "")) + 1
-    # a line that a text repeats counts with all its words, once for all copies of the text
-    rows = rows.select("host", "digest", F.xxhash64("line").alias("line"), size.cast("long").alias("n"))
-    held = rows.groupBy("host", "line", "digest").agg(F.max("n").alias("n"), F.count("*").alias("rows"))
-    texts = docs.select(host.alias("host"), digest.alias("digest")).groupBy("host", "digest").agg(F.count("*").alias("copies"))
+def _lost(profile: DataFrame, min_documents: int, share: float) -> DataFrame:
+    """(host, digest, n_removed, gone) of the texts of each host that hold lines above the limits; ``gone`` has their hashes."""
+    texts = profile.select("host", "digest", "lines").dropDuplicates(["host", "digest"])
     hosts = texts.groupBy("host").agg(F.count("*").alias("n_host"))
-    many = held.groupBy("host", "line").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") >= min_documents)
-    many = many.join(hosts, "host").where(F.col("n_docs") >= share * F.col("n_host")).select("host", "line")
-    out = held.join(many, ["host", "line"]).join(texts, ["host", "digest"])
-    return out.groupBy("host", "digest").agg(F.sum(F.col("n") * F.col("rows") / F.col("copies")).cast("long").alias("n_removed"), F.collect_set("line").alias("lines"))
+    distinct = texts.select("host", F.explode(F.array_distinct(F.transform("lines", lambda s: s["h"]))).alias("h"))
+    many = distinct.groupBy("host", "h").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") >= min_documents)
+    many = many.join(hosts, "host").where(F.col("n_docs") >= share * F.col("n_host")).select("host", "h")
+    held = texts.select("host", "digest", F.explode("lines").alias("s")).select("host", "digest", "s.h", "s.n")
+    return held.join(many.hint("rebalance"), ["host", "h"]).groupBy("host", "digest").agg(F.sum("n").cast("long").alias("n_removed"), F.collect_set("h").alias("gone"))
 
 
 def judged(docs: DataFrame, host_col: str = "source", text_col: str = "text", min_documents: int = 20, share: float = 0.1, min_left: float = 0.3) -> DataFrame:
     """``docs`` without the text, with the measures, n_removed and kept."""
-    host, digest = _keys(host_col, text_col)
-    lost = removed_words(docs, host_col, text_col, min_documents, share)
-    rows = measured(docs, text_col).withColumns({"_host": host, "_digest": digest}).drop(text_col)
-    lost = lost.select(F.col("host").alias("_host"), F.col("digest").alias("_digest"), F.col("n_removed").alias("_lost"))
-    out = rows.join(lost, ["_host", "_digest"], "left").withColumn("n_removed", F.coalesce("_lost", F.lit(0).cast("long"))).drop("_host", "_digest", "_lost")
-    left = F.col("n_words") - F.col("n_removed")
-    return out.withColumn("kept", ~F.col("base_failed") & (left >= min_left * F.col("n_words")))
+    others = [c for c in docs.columns if c != text_col and c not in (*MEASURES, "n_removed", "kept")]
+    rows = _profile(docs, host_col, text_col, others)
+    lost = _lost(rows, min_documents, share).select("host", "digest", "n_removed")
+    out = rows.drop("lines").join(lost, ["host", "digest"], "left").withColumn("n_removed", F.coalesce("n_removed", F.lit(0).cast("long")))
+    kept = ~F.col("base_failed") & (F.col("n_words") - F.col("n_removed") >= min_left * F.col("n_words"))
+    return out.select(*(F.col("row")[c].alias(c) for c in others), *MEASURES, "n_removed", kept.alias("kept"))
 
 
-def accepted(docs: DataFrame, host_col: str = "source", text_col: str = "text", min_documents: int = 20, share: float = 0.1, min_left: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` that ``judged`` keeps, with their columns."""
-    host, digest = _keys(host_col, text_col)
-    lost = removed_words(docs, host_col, text_col, min_documents, share).select(F.col("host").alias("_host"), F.col("digest").alias("_digest"), "n_removed")
-    n = F.size(words_in(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
-    texts = docs.select(host.alias("_host"), digest.alias("_digest"), n.alias("n_words"))
-    depleted = texts.join(lost, ["_host", "_digest"]).where(F.col("n_words") - F.col("n_removed") < min_left * F.col("n_words")).select("_host", "_digest").distinct()
-    marks = measured(docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("_text")), "_text").where("not base_failed").select("row.*")
-    return marks.withColumns({"_host": host, "_digest": digest}).join(depleted, ["_host", "_digest"], "left_anti").select(docs.columns)
-
+def cleaned(docs: DataFrame, host_col: str = "source", text_col: str = "text", min_documents: int = 20, share: float = 0.1, min_left: float = 0.3, remove: bool = True) -> DataFrame:
+    """The rows of ``docs`` that ``judged`` keeps, without their lines above the limits, where what is left passes too.
 
-def cleaned(docs: DataFrame, host_col: str = "source", text_col: str = "text", min_documents: int = 20, share: float = 0.1, min_left: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` that ``judged`` keeps, without their lines above the limits, where what is left passes too."""
+    Without ``remove`` the texts of the rows that stay are as they were.
+    """
     host, digest = _keys(host_col, text_col)
-    lost = removed_words(docs, host_col, text_col, min_documents, share).select(F.col("host").alias("_host"), F.col("digest").alias("_digest"), F.col("n_removed").alias("_lost"), F.col("lines").alias("_lines"))
-    sound = measured(docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("_text")), "_text").where("not base_failed").select("row.*", F.col("n_words").alias("_n"))
-    held = sound.withColumns({"_host": host, "_digest": digest}).join(lost, ["_host", "_digest"], "left").where(F.col("_lost").isNull() | (F.col("_n") - F.col("_lost") >= min_left * F.col("_n")))
-    text = F.col(text_col).cast("string")
-    left = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains("_lines", F.xxhash64(_normal(x)))), "\n")
-    held = held.withColumn("_left", F.when(F.col("_lines").isNotNull(), left))
+    rows = _profile(docs, host_col, text_col, [])
+    lost = _lost(rows, min_documents, share)
+    texts = rows.select("host", "digest", "n_words", "base_failed").dropDuplicates(["host", "digest"]).join(lost, ["host", "digest"], "left")
+    rejected = F.col("base_failed") | (F.coalesce(F.col("n_words") - F.col("n_removed") < min_left * F.col("n_words"), F.lit(False)))
+    # only what changes or goes is joined to the texts
+    marks = texts.select(F.col("host").alias("at"), F.col("digest").alias("sum"), rejected.alias("rejected"), "gone").where("rejected or gone is not null")
+    whole = docs.select(F.struct(*docs.columns).alias("row"), host.alias("host"), digest.alias("digest"))
+    held = whole.join(marks.hint("rebalance"), (F.col("host") == F.col("at")) & (F.col("digest") == F.col("sum")), "left").where(~F.coalesce("rejected", F.lit(False)))
+    if not remove:
+        return held.select("row.*")
+    text = F.col("row")[text_col].cast("string")
+    left = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains("gone", F.xxhash64(_normal(x)))), "\n")
+    held = held.select("row", F.when(F.col("gone").isNotNull(), left).alias("left"))
     # what is left is measured again only where something went
-    passes = F.when(F.col("_left").isNull(), True).otherwise(let(words_in(F.col("_left")), lambda w: ~_fails(F.size(w), repeated_words(w))))
-    columns = [F.coalesce("_left", F.col(c)).alias(c) if c == text_col else F.col(c) for c in docs.columns]
+    passes = F.when(F.col("left").isNull(), True).otherwise(let(words_in(F.col("left")), lambda w: ~_fails(F.size(w), repeated_words(w))))
+    columns = [F.coalesce("left", F.col("row")[c]).alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns]
     return held.where(passes).select(*columns)
+
+
+def accepted(docs: DataFrame, host_col: str = "source", text_col: str = "text", min_documents: int = 20, share: float = 0.1, min_left: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` that ``judged`` keeps, with their columns."""
+    return cleaned(docs, host_col, text_col, min_documents, share, min_left, remove=False)

@@ -1,19 +1,27 @@
 """SimHash near-duplicate detection with pigeonring filtering.
 
-A text's fingerprint is the bitwise majority of the XXH64 hashes of its word shingles. Two texts are linked
-if their fingerprints differ in at most ``max_distance`` bits; a document's class is the connected component.
-
-Pigeonring: cut the 64 bits into m = max_distance + 1 segments on a ring. If two fingerprints differ in at most
-t bits, some segment starts a chain in which, for every length l up to m, the first l segments differ in at
-most floor(l*t/m) bits: 0, 1, 2, ... t. The first two steps of the chain (an equal segment, then one with at most
-one differing bit) are an equality join on keys that mask each bit of the second segment in turn; the longer
-prefixes prune the pairs before the full Hamming distance is taken.
-
-Only distinct fingerprints take part, so exact copies cost one row. Keys shared by many fingerprints give
-spanning links, never all pairs, and are dealt out in blocks of bounded size.
-
-Edge cases: null and blank texts have fingerprint 0 and link like any other; rows that repeat a doc_id get that
-document's class each; rows with a null doc_id take part in linking but never name a class.
+A text's fingerprint is the bitwise majority of the XXH64 hashes of its word shingles, 64 bits for each of ``words``
+seeds. Two texts are linked if their fingerprints differ in at most ``max_distance`` bits and, where a ``similarity`` is
+asked for, if the Jaccard similarity of their shingle sets reaches it. A document's class is the connected component.
+
+Pigeonring: cut the bits into m segments on a ring. If two fingerprints differ in at most t bits, some segment
+starts a chain in which, for every length l up to m, the first l segments differ in at most floor(l*t/m) bits. With
+m = t + 1 these budgets are 0, 1, 2, ... t. The first two steps of a chain (an equal segment, then one with at most one
+differing bit) are an equality join on keys that mask each bit of the second segment in turn; the longer prefixes prune
+the pairs one after the other, and the last prefix is the whole Hamming distance. With m <= t, whose segments are wider,
+the same keys are taken: links that have no equal segment before one of at most one differing bit are then lost, so
+``m`` sets recall against keys' selectivity (README: measured recall of the pipeline's setting).
+
+Only distinct fingerprints take part, so exact copies cost one row. A run of fingerprints with one key gives a forest
+of least links that connects whatever its links connect, never all pairs; long runs are dealt out in blocks of bounded
+size. A forest of least links has, between two texts, the most similar ways there are, and these are what a similarity
+is then checked on: only such links are compared as texts, so a check is linear in a group. In groups of many texts
+of just about that similarity, a class can fall apart where a checked way fails beside one that wasn't taken.
+
+Edge cases: null and blank texts have fingerprint 0 and link like any other; texts of fewer words than a shingle are one
+shingle; rows that repeat a doc_id get their own texts' classes; rows with a null doc_id take part in linking but never
+name a class in ``near_duplicates``, and stay in ``deduplicate`` if no row of their class has an id; columns that clash
+with names used here are carried untouched.
 """
 
 from __future__ import annotations
@@ -27,113 +35,196 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint, partitions, ship
 
-BITS = 64
 #: Fingerprints of one key that are compared at once; longer runs are dealt out as pairs of blocks.
 BLOCK = 4096
-#: Runs up to this length are compared pair by pair, all runs at once; longer ones by spanning search.
-SHORT = 8
+#: Runs up to this length are compared all at once; longer ones fingerprint by fingerprint.
+SHORT = 256
+_FP = ">u8"
 
 
-def simhash(text: bytes, shingle: int = 4, seed: int = 42) -> int:
-    """The fingerprint of a text's lower-cased (A-Z) words; 0 where there is no word."""
-    from xxhash import xxh64_digest
-
-    words = text.lower().split()
-    if not words:
-        return 0
-    grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
-    hashes = np.frombuffer(b"".join(map(partial(xxh64_digest, seed=seed), grams)), np.uint8)
-    votes, n = np.zeros(BITS, np.int64), len(hashes) // 8
-    for i in range(0, len(hashes), 1 << 19):
-        votes += np.unpackbits(hashes[i : i + (1 << 19)]).reshape(-1, BITS).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * votes > n).tobytes(), "big")
+def simhash(text: bytes, shingle: int = 4, words: int = 1, distinct: bool = False, seed: int = 42) -> bytes:
+    """The fingerprint of a text's lower-cased (A-Z) words, 8 bytes for each of ``words`` seeds; 0 where there is no word.
 
+    ``distinct``: each shingle votes once.
+    """
+    from xxhash import xxh64_digest
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
-    """(id, fp): a signed 64-bit fingerprint for each row."""
+    cut = text.lower().split()
+    if not cut:
+        return bytes(8 * words)
+    grams = list(map(b" ".join, zip(*(cut[i:] for i in range(shingle))))) if len(cut) >= shingle else [b" ".join(cut)]
+    grams = set(grams) if distinct else grams
+    out = []
+    for s in range(seed, seed + words):
+        hashes = np.frombuffer(b"".join(map(partial(xxh64_digest, seed=s), grams)), np.uint8)
+        votes = np.zeros(64, np.int64)
+        for i in range(0, len(hashes), 1 << 19):
+            votes += np.unpackbits(hashes[i : i + (1 << 19)]).reshape(-1, 64).sum(0, dtype=np.int64)
+        out.append(np.packbits(2 * votes > len(grams)).tobytes())
+    return b"".join(out)
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, words: int = 1, distinct: bool = False) -> DataFrame:
+    """(id, digest, fp): the MD5 of its text and the fingerprint of each row."""
     ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
         for b in batches:
-            fps = np.array([simhash(t.as_buffer().to_pybytes() if t.is_valid else b"", shingle) for t in b.column(1).cast(pa.large_binary())], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["id", "fp"])
-
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, fp long")
-
-
-def segments(max_distance: int) -> list[tuple[int, int]]:
-    """(shift, width) of the m segments, from the top bit down."""
-    m, at, out = max_distance + 1, BITS, []
-    for i in range(m):
-        width = BITS // m + (i < BITS % m)
-        at -= width
-        out.append((at, width))
-    return out
-
-
-def _part(x: np.ndarray, seg: tuple[int, int]) -> np.ndarray:
-    return (x >> np.uint64(seg[0])) & np.uint64((1 << seg[1]) - 1)
-
-
-def _chain(a: np.ndarray, b: np.ndarray, start: np.ndarray, segs: list[tuple[int, int]], most: int) -> np.ndarray:
-    """Whether the chain that begins at segment ``start`` keeps all its budgets, and so the whole distance."""
-    m = len(segs)
-    gaps = np.stack([np.bitwise_count(_part(a, s) ^ _part(b, s)) for s in segs], 1).astype(np.int64)
-    ring = np.take_along_axis(gaps, (start[:, None] + np.arange(m)) % m, 1)
-    return (np.cumsum(ring, 1) <= (np.arange(1, m + 1) * most) // m).all(1)
+            fps = [simhash(t.as_buffer().to_pybytes(), shingle, words, distinct) for t in b.column(2).cast(pa.large_binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.binary())], ["id", "digest", "fp"])
+
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return docs.select(F.col(id_col).alias("id"), F.md5(text).alias("digest"), text.alias("text")).mapInArrow(run, f"id {kind}, digest string, fp binary")
+
+
+def _array(fps: pa.Array, words: int) -> np.ndarray:
+    """(n, words) of big-endian fingerprints, the highest bits first."""
+    return np.frombuffer(b"".join(fps.to_pylist()), _FP).astype(np.uint64).reshape(-1, words)
+
+
+def _binary(f: np.ndarray) -> pa.Array:
+    data = np.ascontiguousarray(f.astype(_FP))
+    offsets = np.arange(len(f) + 1, dtype=np.int32) * (8 * f.shape[1])
+    return pa.BinaryArray.from_buffers(pa.binary(), len(f), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+class Ring:
+    """``m`` segments of 64 * ``words`` bits, and the budgets of chains for a distance of ``most``."""
+
+    def __init__(self, words: int, most: int, m: int | None = None):
+        self.words, self.most, self.m = words, most, m or most + 1
+        bits, at, self.segments = 64 * words, 64 * words, []
+        for i in range(self.m):
+            width = bits // self.m + (i < bits % self.m)
+            at -= width
+            self.segments.append((at, width))
+        # masks[start, l - 1]: the first l segments of the chain from start
+        masks = [[sum(((1 << w) - 1) << a for a, w in (self.segments[(s + j) % self.m] for j in range(n))) for n in range(1, self.m + 1)] for s in range(self.m)]
+        self.masks = np.array([[[x >> (64 * (words - 1 - k)) & (1 << 64) - 1 for k in range(words)] for x in row] for row in masks], np.uint64)
+        self.budgets = [n * most // self.m for n in range(1, self.m + 1)]
+
+    def part(self, f: np.ndarray, i: int) -> np.ndarray:
+        shift, width = self.segments[i]
+        word, low = self.words - 1 - shift // 64, np.uint64(shift % 64)
+        x = f[:, word] >> low
+        if shift % 64 + width > 64:
+            x = x | f[:, word - 1] << (np.uint64(64) - low)
+        return x & np.uint64((1 << width) - 1)
+
+    def keys(self, f: np.ndarray) -> np.ndarray:
+        """All keys of each fingerprint: (keys, n)."""
+        out = []
+        for i in range(self.m):
+            j = (i + 1) % self.m
+            equal, near, width = self.part(f, i), self.part(f, j), self.segments[j][1]
+            for p in range(width):
+                masked = near & ~np.uint64(1 << p)
+                out.append((((equal << np.uint64(width)) | masked) << np.uint64(16)) | np.uint64(p << 8 | i))
+        return np.stack(out)
+
+    def chained(self, x: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """Numbers of the differences ``x`` whose chain from ``start`` keeps all its budgets, and so the whole distance."""
+        alive = np.arange(len(x))
+        for n in range(1, self.m):
+            if not len(alive):
+                break
+            gaps = np.bitwise_count(x[alive] & self.masks[start[alive], n]).sum(1, dtype=np.int64)
+            alive = alive[gaps <= self.budgets[n]]
+        return alive
 
 
-def spanning(fps: np.ndarray, most: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Links that connect whatever links of at most ``most`` bits connect: at most len(fps) - 1 of them."""
-    left, out = fps, []
-    while len(left) > 1:
-        stack, left = [left[0]], left[1:]
-        while stack and len(left):
-            x = stack.pop()
-            near = np.bitwise_count(left ^ x) <= most
-            if near.any():
-                found, left = left[near], left[~near]
-                out.append((np.full(len(found), x, np.uint64), found))
-                stack.extend(found)
-    return out
+def forest(n: int, i: np.ndarray, j: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Numbers of the links (i, j) that make a spanning forest of least weight of ``n`` nodes."""
+    order = np.lexsort((j, i, weight))
+    i, j, comp, chosen = i[order], j[order], np.arange(n), []
+    edge = np.arange(len(i))
+    while True:
+        apart = comp[i[edge]] != comp[j[edge]]
+        edge = edge[apart]
+        if not len(edge):
+            break
+        a, b = comp[i[edge]], comp[j[edge]]
+        best = np.full(n, len(i), np.int64)
+        np.minimum.at(best, a, edge)
+        np.minimum.at(best, b, edge)
+        at = np.flatnonzero(best < len(i))
+        e = best[at]
+        other = np.where(comp[i[e]] == at, comp[j[e]], comp[i[e]])
+        chosen.append(np.unique(e))
+        parent = np.arange(n)
+        parent[at] = other
+        mutual = (parent[parent] == np.arange(n)) & (np.arange(n) < parent)
+        parent[mutual] = np.flatnonzero(mutual)
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+        comp = parent[comp]
+    return order[np.concatenate(chosen)] if chosen else np.zeros(0, np.int64)
+
+
+def spanning(f: np.ndarray, near) -> tuple[np.ndarray, np.ndarray]:
+    """A forest of least links (numbers of ``f``), one fingerprint after the other; ``near(x)``: which differences link."""
+    n = len(f)
+    left, best, source = np.arange(n), np.full(n, 1 << 30), np.zeros(n, np.int64)
+    a, b, x = [], [], None
+    while len(left):
+        k = int(np.argmin(best[left]))
+        x = left[k]
+        if best[x] < 1 << 30:
+            a.append(source[x])
+            b.append(x)
+        left = np.delete(left, k)
+        diff = f[left] ^ f[x]
+        hit = near(diff)
+        gap = np.bitwise_count(diff[hit]).sum(1, dtype=np.int64)
+        to = left[hit]
+        closer = gap < best[to]
+        best[to[closer]], source[to[closer]] = gap[closer], x
+    return np.array(a, np.int64), np.array(b, np.int64)
 
 
 def _rows(hot: bool, key, block, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     n = len(a)
     wide = lambda x: pa.array(np.full(n, x, np.int64) if np.isscalar(x) else x)
-    return pa.RecordBatch.from_arrays([pa.array(np.full(n, hot)), wide(key), wide(block), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["hot", "key", "block", "a", "b"])
-
-
-def _link_runs(batches, segs, most: int):
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, hot)), wide(key), wide(block), _binary(a), _binary(b)], ["hot", "key", "block", "a", "b"])
+
+
+def _linked(ring: Ring, k: np.ndarray, f: np.ndarray):
+    """Links within the runs of equal keys."""
+    begin = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+    length = np.diff(np.r_[begin, len(k)])
+    for i in np.flatnonzero(length > SHORT):
+        g, start = f[begin[i] : begin[i] + length[i]], int(k[begin[i]]) & 255
+        a, b = spanning(g, lambda x: ring.chained(x, np.full(len(x), start)))  # noqa: B023
+        yield g[a], g[b]
+    short = np.repeat((length > 1) & (length <= SHORT), length)
+    k, f = k[short], f[short]
+    at, to = [], []
+    for d in range(1, SHORT):
+        same = np.flatnonzero(k[d:] == k[:-d]) if len(k) > d else ()
+        if not len(same):
+            break
+        ok = same[ring.chained(f[same] ^ f[same + d], k[same] & 255)]
+        at.append(ok)
+        to.append(ok + d)
+    if at:
+        i, j = np.concatenate(at), np.concatenate(to)
+        kept = forest(len(k), i, j, np.bitwise_count(f[i] ^ f[j]).sum(1, dtype=np.int64))
+        yield f[i[kept]], f[j[kept]]
+
+
+def _link_runs(batches, ring: Ring):
     """Reads (key, fp) sorted by both; gives links, and blocks of the fingerprints of very long runs."""
-    keys, fps, flushed = np.zeros(0, np.int64), np.zeros(0, np.uint64), 0
-
-    def whole(k, f):
-        begin = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-        length = np.diff(np.r_[begin, len(k)])
-        for i in np.flatnonzero(length > SHORT):
-            for a, b in spanning(f[begin[i] : begin[i] + length[i]], most):
-                yield a, b
-        short = np.repeat((length > 1) & (length <= SHORT), length)
-        k, f = k[short], f[short]
-        for d in range(1, SHORT):
-            same = np.flatnonzero(k[d:] == k[:-d]) if len(k) > d else ()
-            if not len(same):
-                break
-            a, b = f[same], f[same + d]
-            ok = _chain(a, b, k[same] & 15, segs, most)
-            yield a[ok], b[ok]
-
+    keys, fps, flushed = np.zeros(0, np.int64), np.zeros((0, ring.words), np.uint64), 0
     for batch in batches:
         keys = np.r_[keys, batch.column(0).to_numpy()]
-        fps = np.r_[fps, batch.column(1).to_numpy().view(np.uint64)]
+        fps = np.concatenate([fps, _array(batch.column(1), ring.words)])
         last = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
         if last:
             if flushed and (n := int(np.searchsorted(keys, keys[0], "right"))):
                 yield _rows(True, keys[:n], flushed, fps[:n], fps[:n])
                 keys, fps, last, flushed = keys[n:], fps[n:], last - n, 0
-            for a, b in whole(keys[:last], fps[:last]):
+            for a, b in _linked(ring, keys[:last], fps[:last]) if last else ():
                 yield _rows(False, 0, 0, a, b)
             keys, fps = keys[last:], fps[last:]
         while len(keys) > 2 * BLOCK:
@@ -142,31 +233,26 @@ def _link_runs(batches, segs, most: int):
     if flushed:
         yield _rows(True, keys, flushed, fps, fps)
     elif len(keys):
-        for a, b in whole(keys, fps):
+        for a, b in _linked(ring, keys, fps):
             yield _rows(False, 0, 0, a, b)
 
 
-def links(fps: DataFrame, max_distance: int = 4) -> DataFrame:
+def links(fps: DataFrame, max_distance: int = 4, words: int = 1, segments: int | None = None) -> DataFrame:
     """(a, b): links between the distinct fingerprints of ``fps`` (column fp) that connect every class."""
     ship(fps.sparkSession)
-    segs, n = segments(max_distance), partitions(fps.sparkSession)
+    if max_distance < 1:
+        return fps.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
+    ring, n = Ring(words, max_distance, segments), partitions(fps.sparkSession)
 
     def keyed(batches):
         for b in batches:
-            f = b.column(0).to_numpy().view(np.uint64)
-            keys = []
-            for i, seg in enumerate(segs):
-                nxt = segs[(i + 1) % len(segs)]
-                equal, near = _part(f, seg), _part(f, nxt)
-                for p in range(nxt[1]):
-                    masked = near & ~np.uint64(1 << p)
-                    keys.append((((equal << np.uint64(nxt[1])) | masked) << np.uint64(10)) | np.uint64((p << 4) | i))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.tile(f, len(keys)).view(np.int64))], ["key", "fp"])
+            for at in range(0, b.num_rows, 2048):
+                f = _array(b.column(0).slice(at, 2048), words)
+                keys = ring.keys(f)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), _binary(np.tile(f, (len(keys), 1)))], ["key", "fp"])
 
-    if max_distance < 1:
-        return fps.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
-    probes = fps.select("fp").mapInArrow(keyed, "key long, fp long").repartition(n, "key").sortWithinPartitions("key", "fp")
-    found = checkpoint(probes.mapInArrow(lambda it: _link_runs(it, segs, max_distance), "hot boolean, key long, block long, a long, b long"))
+    probes = fps.select("fp").mapInArrow(keyed, "key long, fp binary").repartition(n, "key").sortWithinPartitions("key", "fp")
+    found = checkpoint(probes.mapInArrow(lambda it: _link_runs(it, ring), "hot boolean, key long, block long, a binary, b binary"))
     out = found.where(~F.col("hot")).select("a", "b")
     hot = found.where("hot")
     if not hot.isEmpty():
@@ -175,29 +261,68 @@ def links(fps: DataFrame, max_distance: int = 4) -> DataFrame:
         pairs = hot.join(blocks, "key").select("key", "block", "a", other).select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "a")
 
         def block_pairs(batches):
-            def done(group):
-                f = np.unique(np.concatenate(group).view(np.uint64))
-                for a, b in spanning(f, max_distance):
-                    yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+            def done(key, group):
+                f = np.unique(np.concatenate(group), axis=0)
+                a, b = spanning(f, lambda x: ring.chained(x, np.full(len(x), key & 255)))
+                yield pa.RecordBatch.from_arrays([_binary(f[a]), _binary(f[b])], ["a", "b"])
 
             held, name = [], None
             for b in batches:
                 ids = np.stack([b.column(i).to_numpy() for i in range(3)], 1)
+                f = _array(b.column(3), words)
                 cuts = np.r_[0, np.flatnonzero((ids[1:] != ids[:-1]).any(1)) + 1, len(ids)]
                 for s, e in zip(cuts[:-1], cuts[1:]):
                     if e > s:
                         if name is not None and tuple(ids[s]) != name:
-                            yield from done(held)
+                            yield from done(int(name[0]), held)
                             held = []
                         name = tuple(ids[s])
-                        held.append(b.column(3).to_numpy()[s:e])
+                        held.append(f[s:e])
             if held:
-                yield from done(held)
+                yield from done(int(name[0]), held)
 
-        out = out.unionByName(pairs.repartition(n, "key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(block_pairs, "a long, b long"))
+        out = out.unionByName(pairs.repartition(n, "key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(block_pairs, "a binary, b binary"))
     return out.distinct()
 
 
+def shingle_set(text: bytes, shingle: int) -> np.ndarray:
+    """Sorted distinct XXH64 hashes of a text's shingles."""
+    from xxhash import xxh64_digest
+
+    cut = text.lower().split()
+    grams = set(map(b" ".join, zip(*(cut[i:] for i in range(shingle))))) if len(cut) >= shingle else {b" ".join(cut)}
+    return np.unique(np.frombuffer(b"".join(map(xxh64_digest, grams)), "<u8"))
+
+
+def alike(pairs: DataFrame, marks: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The ``pairs`` (a, b) of fingerprints whose texts reach the similarity; ``marks``: (digest, fp), ``texts``: (digest, text)."""
+    ship(pairs.sparkSession)
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    asked = marks.join(asked.hint("rebalance"), "fp").groupBy("fp").agg(F.min("digest").alias("digest"))  # one text for each fingerprint
+    held = checkpoint(texts.join(asked.hint("rebalance"), "digest").groupBy("fp").agg(F.min("text").alias("text")))
+
+    def compared(batches):
+        for b in batches:
+            ok = np.zeros(b.num_rows, bool)
+            known: dict[bytes, np.ndarray] = {}
+            for i in range(b.num_rows):
+                sets = []
+                for c in (0, 1):
+                    fp = b.column(c)[i].as_py()
+                    if fp not in known:
+                        if len(known) >= 64:
+                            known.clear()
+                        known[fp] = shingle_set(b.column(c + 2)[i].as_buffer().to_pybytes(), shingle)
+                    sets.append(known[fp])
+                both = len(np.intersect1d(*sets, assume_unique=True))
+                ok[i] = both >= similarity * (len(sets[0]) + len(sets[1]) - both) - 1e-9
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok))
+
+    first = held.select(F.col("fp").alias("a"), F.col("text").cast("binary").alias("at"))
+    second = held.select(F.col("fp").alias("b"), F.col("text").cast("binary").alias("bt"))
+    return pairs.hint("rebalance").join(first, "a").hint("rebalance").join(second, "b").select("a", "b", "at", "bt").mapInArrow(compared, "a binary, b binary")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b): root is the smallest node reachable.
 
@@ -224,18 +349,29 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_distance: int = 4) -> DataFrame:
     """One row for each row of ``docs``: (id_col, fingerprint, component_id)."""
-    marks = checkpoint(fingerprints(docs, id_col, text_col, shingle))
+    marks = checkpoint(fingerprints(docs, id_col, text_col, shingle).select("id", "fp"))
     nodes = marks.groupBy("fp").agg(F.min("id").alias("least"))
     groups = checkpoint(components(links(nodes, max_distance)))
     roots = groups.join(nodes, F.col("node") == F.col("fp")).groupBy("root").agg(F.min("least").alias("of_root"))
     classes = nodes.join(groups, F.col("fp") == F.col("node"), "left").join(roots, "root", "left").select("fp", F.coalesce("of_root", "least").alias("component_id"))
-    return marks.join(classes, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return marks.join(classes, "fp").select(F.col("id").alias(id_col), F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_distance: int = 4) -> DataFrame:
-    """The rows of ``docs`` whose document names its class: one document of each group stays, once."""
-    classes = checkpoint(near_duplicates(docs, id_col, text_col, shingle, max_distance))
-    keep = classes.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(id_col).count()
-    repeated = not keep.where("count > 1").isEmpty()
-    out = docs.join(keep.select(F.col(id_col).alias("_keep")), F.col(id_col).eqNullSafe(F.col("_keep")), "left_semi")
-    return out.dropDuplicates([id_col]) if repeated else out
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float | None = 0.8, max_distance: int = 26, segments: int | None = 17, words: int = 2) -> DataFrame:
+    """The rows of ``docs`` that stay: one of each class, that of the least id, then of the least MD5 of its text.
+
+    Fingerprints are of distinct shingles; those that are equal are one class without a check (for texts below a
+    similarity of 0.8, all of 128 bits agree with a probability under 1e-9).
+    """
+    marks = checkpoint(fingerprints(docs, id_col, text_col, shingle, words, True))
+    found = links(marks.select("fp").distinct(), max_distance, words, segments)
+    if similarity is not None:
+        text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+        found = alike(checkpoint(found), marks.select("digest", "fp"), docs.select(F.md5(text).alias("digest"), text.alias("text")), shingle, similarity)
+    groups = checkpoint(components(found))
+    of = marks.join(groups, F.col("fp") == F.col("node"), "left").select(F.coalesce("root", "fp").alias("class"), F.struct(F.col("id").isNull().alias("none"), "id", "digest").alias("row"))
+    keep = checkpoint(of.groupBy("class").agg(F.min("row").alias("row"))).select("class", "row.id", "row.digest")
+    repeated = not of.join(keep.select("class", F.col("id").alias("k"), F.col("digest").alias("d")).hint("rebalance"), "class").where(F.col("row.id").eqNullSafe(F.col("k")) & (F.col("row.digest") == F.col("d"))).groupBy("class").count().where("count > 1").isEmpty()
+    whole = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("of"), F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("sum"))
+    out = whole.join(keep, (F.col("sum") == F.col("digest")) & F.col("of").eqNullSafe(F.col("id")))
+    return (out.dropDuplicates(["class"]) if repeated else out).select("row.*")

@@ -90,6 +90,52 @@ def test_decontamination_matches_brute_force(spark, docs, corpus, window, k):
     assert sorted(str(r.doc_id) for r in clean.collect()) == [w[0] for w in want if not w[4]]
 
 
+CLASH = ("digest", "row", "of", "sum", "at", "held", "h", "n", "spans", "key", "id", "gone", "made", "host", "rejected", "left")
+
+
+def test_decontamination_of_long_texts(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    item = [word() for _ in range(40)]
+    long = [word() for _ in range(4000)]
+    inside = " ".join(long[:1000]) + ". \n" + "; ".join(item).upper() + "! " + " ".join(long[1000:])
+    rows = [(1, inside), (2, " ".join(long)), (3, " ".join(long[:9] + item[5:17] + long[9:60])), (4, " ".join(item)), (5, "x " * 3000), (6, " ".join(item[:13] + long[:500])), (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(c) for c in CLASH})
+    bench = spark.createDataFrame([(0, " ".join(item)), (1, "x " * 59), (2, " ".join(long[50:60] + item))], "item_id long, text string")
+    stay = decontam.clean(docs, bench, share=None)
+    no_python(stay)
+    assert stay.columns == docs.columns and sorted(r.doc_id for r in stay.collect()) == [2, 3, 7]
+    cut = decontam.clean(docs, bench, share=20, cut=True)
+    assert cut.columns == docs.columns
+    got = {r.doc_id: r.text for r in cut.collect()}
+    assert sorted(got) == [1, 2, 3, 6, 7] and got[2] == rows[1][1] and got[3] == rows[2][1] and got[7] is None
+    assert got[1] == " ".join(long[:1000]) + "! " + " ".join(long[1000:])
+    assert PLAIN.findall(got[1]) == long and PLAIN.findall(got[6]) == long[:500]
+    made = spark.createDataFrame([("a, b;\tC d-e  f. ",)], "t string").withColumn("s", F.expr("array(named_struct('begin', 1, 'end', 3), named_struct('begin', 2, 'end', 4))"))
+    assert made.select(decontam.without(F.col("t"), F.col("s")).alias("x")).first().x == "a-e  f. "
+
+
+def test_columns_that_clash_are_carried(spark):
+    rng = random.Random(13)
+    line = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(30))
+    rows = [(i, "\n".join([line(), "same menu", line()]), "h") for i in range(25)]
+    rows += [(100, rows[0][1], "g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({c: F.lit(c) for c in CLASH})
+    for out in (rules.cleaned(docs), rules.accepted(docs), lines.deduplicate(docs, mean_lines=2, paired=True), rules.judged(docs)):
+        assert [c for c in out.columns if c in CLASH] == list(CLASH)
+        found = out.collect()
+        assert len(found) == 26 and all(r[c] == c for r in found for c in CLASH)
+    assert {r.doc_id for r in rules.cleaned(docs).collect() if "menu" in r.text} == {100}
+
+
+def test_lines_of_a_long_text(spark):
+    text = "\n".join(f"line {i} of many" for i in range(20000))
+    docs = spark.createDataFrame([(1, text), (2, text), (3, "own\n" + text)], "doc_id long, text string")
+    for paired in (False, True):
+        got = {r.doc_id: r.text for r in lines.deduplicate(docs, paired=paired).collect()}
+        assert got[1] == text and len(got[2]) < (1 if paired else len(text)) and len(got[3]) < len(text)
+
+
 def test_decontamination_empty(spark, docs, empty):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontam.report(docs, none).where("contaminated").count() == 0

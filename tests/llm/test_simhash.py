@@ -59,10 +59,10 @@ def test_links_find_every_class(spark):
                 x ^= 1 << rng.randrange(64)
             fps.add(x)
     for most in (1, 3, 4, 6):
-        nodes = spark.createDataFrame([(int(np.uint64(f).view(np.int64)),) for f in fps], "fp long")
-        edges = [(int(np.int64(r.a).view(np.uint64)), int(np.int64(r.b).view(np.uint64))) for r in S.links(nodes, most).collect()]
+        nodes = spark.createDataFrame([(bytearray(f.to_bytes(8, "big")),) for f in fps], "fp binary")
+        edges = [(int.from_bytes(r.a, "big"), int.from_bytes(r.b, "big")) for r in S.links(nodes, most).collect()]
         assert all((a ^ b).bit_count() <= most for a, b in edges)
-        groups = {int(np.int64(r.node).view(np.uint64)): r.root for r in S.components(S.links(nodes, most)).collect()}
+        groups = {int.from_bytes(r.node, "big"): int.from_bytes(r.root, "big") for r in S.components(S.links(nodes, most)).collect()}
         want = classes(fps, most)
         together = {}
         for f in fps:
@@ -71,30 +71,93 @@ def test_links_find_every_class(spark):
         assert len({next(iter(v)) for v in together.values()}) == len(together)
 
 
+def bits(fps):
+    return np.array([[f] for f in fps], np.uint64)
+
+
 def test_long_runs_are_dealt_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(S, "BLOCK", 16)
+    monkeypatch.setattr(S, "SHORT", 8)
     rng = random.Random(2)
     base, fps = rng.getrandbits(64), set()
     while len(fps) < 150:
         fps.add(base ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)))
-    nodes = spark.createDataFrame([(int(np.uint64(f).view(np.int64)),) for f in fps], "fp long")
+    nodes = spark.createDataFrame([(bytearray(f.to_bytes(8, "big")),) for f in fps], "fp binary")
     keys = np.zeros(len(fps), np.int64)
     import pyarrow as pa
 
-    held = sorted(fps, key=lambda f: int(np.uint64(f).view(np.int64)))
-    batch = pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.array(held, np.uint64).view(np.int64))], ["key", "fp"])
-    rows = [r for b in S._link_runs(iter([batch.slice(0, 100), batch.slice(100)]), S.segments(4), 4) for r in b.to_pylist()]
+    batch = pa.RecordBatch.from_arrays([pa.array(keys), S._binary(bits(sorted(fps)))], ["key", "fp"])
+    rows = [r for b in S._link_runs(iter([batch.slice(0, 100), batch.slice(100)]), S.Ring(1, 4)) for r in b.to_pylist()]
     assert sum(r["hot"] for r in rows) == len(fps) and len({r["block"] for r in rows}) > 3
-    groups = {r.root for r in S.components(S.links(nodes, 4)).collect()}
+    groups = {bytes(r.root) for r in S.components(S.links(nodes, 4)).collect()}
     assert len(groups) == 1
 
 
-def test_deduplicate_keeps_one_of_each_group(docs):
-    kept = S.deduplicate(docs.withColumn("fp", F.lit("clash")).withColumn("id", F.lit(1)))
-    assert kept.columns == ["doc_id", "text", "source", "fp", "id"]
-    ids = [r.doc_id for r in kept.select("doc_id").collect()]
-    classes_ = {r.component_id for r in S.near_duplicates(docs).collect()}
-    assert sorted(i for i in ids if i is not None) == sorted(classes_)
+def test_runs_of_any_length_keep_to_the_chains(monkeypatch):
+    rng = random.Random(8)
+    base = rng.getrandbits(64)
+    fps = sorted({base ^ sum(1 << rng.randrange(50) for _ in range(rng.randint(0, 5))) for _ in range(300)})
+    ring, f = S.Ring(1, 4), bits(fps)
+    start = next(i for i, (at, _) in enumerate(ring.segments) if at >= 50)
+    budgets = lambda a, b: all(((a ^ b) & int(ring.masks[start, n, 0])).bit_count() <= n for n in range(ring.m))
+    want = [(a, b) for i, a in enumerate(fps) for b in fps[i + 1 :] if budgets(a, b)]
+    assert {(a, b) for a, b in want} == {(fps[i], fps[j]) for i in range(len(fps)) for j in range(i + 1, len(fps)) if len(ring.chained(f[[i]] ^ f[[j]], np.array([start])))}
+    for short in (4, 1000):  # one after the other, and all at once
+        monkeypatch.setattr(S, "SHORT", short)
+        got = [(int(a[0]), int(b[0])) for x, y in S._linked(ring, np.full(len(f), start), f) for a, b in zip(x, y)]
+        assert all(budgets(a, b) for a, b in got) and len(got) < len(fps)
+
+        def split(links):
+            parent = {x: x for x in fps}
+
+            def find(x):
+                while parent[x] != x:
+                    x = parent[x]
+                return x
+
+            for a, b in links:
+                parent[find(a)] = find(b)
+            groups = {}
+            for x in fps:
+                groups.setdefault(find(x), set()).add(x)
+            return {frozenset(g) for g in groups.values()}
+
+        assert split(got) == split(want)
+
+
+def test_wide_fingerprints_and_keys():
+    rng = random.Random(9)
+    ring = S.Ring(2, 26, 17)
+    assert sum(w for _, w in ring.segments) == 128
+    whole = [rng.getrandbits(128) for _ in range(50)]
+    f = np.array([[x >> 64, x & (1 << 64) - 1] for x in whole], np.uint64)
+    for i, (at, width) in enumerate(ring.segments):
+        assert ring.part(f, i).tolist() == [x >> at & (1 << width) - 1 for x in whole]
+    assert S._array(S._binary(f), 2).tolist() == f.tolist()
+    keys = ring.keys(f)
+    assert len(keys) == 128 and len(set(keys[:, 0].tolist())) == 128
+    text = b"a b c d e f g a b c d e f g"
+    assert S.simhash(text, 5, 2, True)[:8] == S.simhash(b"a b c d e f g a b c d", 5, 1, True) != S.simhash(text, 5)
+
+
+def shingled(text):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def test_deduplicate_keeps_one_of_each_group(spark, docs, corpus):
+    kept = S.deduplicate(docs.withColumns({c: F.lit("clash") for c in ("fp", "id", "digest", "class", "row", "of", "sum", "a", "root")}))
+    assert kept.columns == [*docs.columns, "fp", "id", "digest", "class", "row", "of", "sum", "a", "root"]
+    sets = [shingled(t) for _, t, _ in corpus]
+    group = list(range(len(corpus)))
+    for i in range(len(corpus)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                group = [group[j] if g == group[i] else g for g in group]
+    want = {}
+    for g, (d, t, _) in zip(group, corpus):
+        want[g] = min(want.get(g, (True, 0, "")), (d is None, d or 0, t or ""))
+    assert sorted(want.values()) == sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in kept.collect())
 
 
 def test_empty(empty):
