@@ -52,11 +52,17 @@ def fingerprints(words: Column, k: int, w: int) -> Column:
 def placed(words: Column, k: int, w: int) -> Column:
     """(h, at): the winnowed k-grams with their places; of equal ones in a run the first."""
 
+    if w == 1:
+        return let(words, lambda x: F.transform(_grams(x, k), lambda h, i: F.struct(h.alias("h"), i.alias("at"))))
+
     def least(g: Column) -> Column:
-        runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size(g) - w, F.lit(0))), lambda i: F.array_min(F.slice(g, i + 1, w)))
-        return F.when(F.size(g) == 0, g).otherwise(F.array_distinct(runs))
+        # places are distinct as numbers: distinct structs would take square time
+        first = lambda i: let(F.slice(g, i + 1, w), lambda run: i + F.array_position(run, F.array_min(run)).cast("int") - 1)
+        places = F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size(g) - w, F.lit(0))), first))
+        none = F.array().cast("array<struct<h:bigint,at:int>>")
+        return F.when(F.size(g) == 0, none).otherwise(F.transform(places, lambda i: F.struct(F.get(g, i).alias("h"), i.alias("at"))))
 
-    return let(F.transform(_grams(words, k), lambda h, i: F.struct(h.alias("h"), i.alias("at"))), least if w > 1 else lambda g: g)
+    return let(words, lambda x: let(_grams(x, k), least))
 
 
 def _agree(a: Column, i: Column, b: Column, j: Column, step: int, most: int) -> Column:
