@@ -27,8 +27,11 @@ def partitions(spark: SparkSession) -> int:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; where it is unset, one inside the warehouse folder."""
-    return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
+    """The folder that ``spark.checkpoint.dir`` names; on a local master, where it may be unset, else one in the warehouse."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
+    return folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -43,7 +46,9 @@ def checkpoint(df: DataFrame) -> DataFrame:
 _WORDS = np.ones(256, np.uint8)
 _WORDS[list(SPACES)] = 0
 _STEP = 1 << 20
-_ODD = 0x9E3779B97F4A7C15
+#: Words are polynomials modulo this prime, at a fixed point: two of n bytes are equal at n / 2**61 of the points at most.
+_PRIME = (1 << 61) - 1
+_POINT = 0x1E3779B97F4A7C15
 _POWERS: list[np.ndarray] = []
 
 
@@ -54,14 +59,33 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = (x & np.uint64(_PRIME)) + (x >> np.uint64(61))
+    return np.where(x >= np.uint64(_PRIME), x - np.uint64(_PRIME), x)
+
+
+def _shifted(x: np.ndarray) -> np.ndarray:
+    """x * 2**31, of x below 2**62, congruent and below 2**61 + 2**32."""
+    return (x >> np.uint64(30)) + ((x & np.uint64((1 << 30) - 1)) << np.uint64(31))
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo the prime."""
+    low, cut = np.uint64((1 << 31) - 1), np.uint64(31)
+    a1, a0, b1, b0 = a >> cut, a & low, b >> cut, b & low
+    return _reduced(np.uint64(2) * (a1 * b1) + _shifted(a1 * b0 + a0 * b1) + a0 * b0)
+
+
 def _powers() -> list[np.ndarray]:
-    """Powers of an odd number modulo 2**64, and of its inverse."""
+    """Powers of the point, in 30 high and 31 low bits, and of its inverse."""
     if not _POWERS:
-        for base in (_ODD, pow(_ODD, -1, 1 << 64)):
-            p = np.full(_STEP + 1, base, np.uint64)
-            p[0] = 1
-            np.multiply.accumulate(p, out=p)
-            _POWERS.append(p)
+        made = []
+        for base in (_POINT, pow(_POINT, -1, _PRIME)):
+            p = np.ones(1, np.uint64)
+            while len(p) <= _STEP:
+                p = np.concatenate([p, _times(p, np.full(len(p), pow(base, len(p), _PRIME), np.uint64))])
+            made.append(p[: _STEP + 1])
+        _POWERS.extend([made[0] >> np.uint64(31), made[0] & np.uint64((1 << 31) - 1), made[1]])
     return _POWERS
 
 
@@ -98,7 +122,7 @@ class Words:
         self.hash = self._hashes()
 
     def _hashes(self) -> np.ndarray:
-        power, inverse = _powers()
+        high, low, inverse = _powers()
         out = np.zeros(len(self.start), np.uint64)
         i = 0
         while i < len(self.start):
@@ -108,19 +132,22 @@ class Words:
             if size > _STEP:  # a single word longer than the tables
                 out[i] = np.uint64(int.from_bytes(hashlib.sha256(self.data[base : self.end[i]].tobytes()).digest()[:8], "big"))
             else:
-                total = np.zeros(size + 1, np.uint64)
-                np.cumsum((self.data[base : base + size].astype(np.uint64) + np.uint64(1)) * power[:size], out=total[1:])
-                a, b = self.start[i:j] - base, self.end[i:j] - base
-                out[i:j] = (total[b] - total[a]) * inverse[a] + (b - a).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+                a, b, sums = self.start[i:j] - base, self.end[i:j] - base, []
+                values = self.data[base : base + size].astype(np.uint64) + np.uint64(1)
+                for power in (high, low):  # sums of a step are below 2**60
+                    total = np.zeros(size + 1, np.uint64)
+                    np.cumsum(values * power[:size], out=total[1:])
+                    sums.append(total[b] - total[a])
+                out[i:j] = _times(_reduced(_shifted(sums[0]) + sums[1]), inverse[a]) + (b - a).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
             i = j
         return mix(out)
 
-    def rolling(self, n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    def rolling(self, n: int, seed: int, factor: int = 0xA0761D6478BD642F) -> tuple[np.ndarray, np.ndarray]:
         """Positions (in all words) where windows of ``n`` words of one text start, and their hashes."""
         total = len(self.hash) - n + 1
         if total <= 0:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        multiplier, h = np.uint64(0xA0761D6478BD642F | 1), np.full(total, seed, np.uint64)
+        multiplier, h = np.uint64(factor), np.full(total, seed, np.uint64)
         for j in range(n):
             h *= multiplier
             h += self.hash[j : j + total]
@@ -131,6 +158,15 @@ class Words:
         return self.data[self.offsets[row] : self.offsets[row + 1]].tobytes()
 
 
+def loose(kind: pa.DataType) -> pa.DataType:
+    """``kind`` with fields that may be null, as Spark declares what comes back from Python."""
+    if pa.types.is_struct(kind):
+        return pa.struct([pa.field(f.name, loose(f.type)) for f in kind])
+    if pa.types.is_list(kind):
+        return pa.list_(loose(kind.value_type))
+    return kind
+
+
 def spans(texts: pa.Array, most: int = 1 << 24):
     """Consecutive slices of at most ``most`` bytes each (a longer text stands alone)."""
     lengths = np.cumsum([0, *(x or 0 for x in pc.binary_length(texts).to_pylist())])

@@ -1,6 +1,6 @@
 """Packed exchanges: joins of word windows without a row for each window.
 
-A corpus is dealt into buckets of whole documents by a hash of their id. A bucket sums up its windows as sorted
+A corpus is dealt into buckets of whole documents by a hash of their id and text. A bucket sums up its windows as sorted
 distinct hashes, and sends each part of the hash space its own range as one compressed binary value. A part sees
 all windows of its range, whichever bucket they come from, and answers each bucket with the hashes that matter to
 it. As each bucket sends a hash once, a window that a third of all documents share costs a row no more than any
@@ -96,7 +96,7 @@ class Parts:
 
 
 def dealt(docs: DataFrame, buckets: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(bucket, blob): documents by a hash of their integer id, many to a compressed value."""
+    """(bucket, blob): documents by a hash of their integer id and text, many to a compressed value."""
 
     def run(batches):
         for b in batches:
@@ -121,7 +121,7 @@ def dealt(docs: DataFrame, buckets: int, id_col: str = "doc_id", text_col: str =
     ship(docs.sparkSession)
     ident = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(ident.alias("id"), text.alias("text"), F.pmod(F.xxhash64(ident), F.lit(buckets)).cast("int").alias("bucket")).mapInArrow(run, "bucket int, blob binary")
+    return docs.select(ident.alias("id"), text.alias("text"), F.pmod(F.xxhash64(ident, text), F.lit(buckets)).cast("int").alias("bucket")).mapInArrow(run, "bucket int, blob binary")
 
 
 def documents(held: pa.Table, most: int = 1 << 22) -> Iterator[tuple[np.ndarray, pa.Array]]:

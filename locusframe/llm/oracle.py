@@ -42,7 +42,7 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
 OP5 = rf"""
 WITH rules(h, q, v) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
 p AS (SELECT page_id, {_LOWER.format("coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '')")} AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
-m AS (SELECT host, path, h || q AS rule, v, row_number() OVER (PARTITION BY host, path ORDER BY length(h || q) DESC, v DESC) AS n
+m AS (SELECT host, path, h || q AS rule, v, row_number() OVER (PARTITION BY host, path ORDER BY length(h || q) DESC, v DESC, length(h) DESC, h || q) AS n
     FROM (SELECT DISTINCT host, path FROM p) JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q))
 SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM p LEFT JOIN (FROM m WHERE n = 1) USING (host, path)
 """

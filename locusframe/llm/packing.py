@@ -7,13 +7,13 @@ common words are encoded once a worker.
 Packing is vector best-fit decreasing: each piece needs tokens, one document slot and attention cost (length
 squared), and each sequence has a residual capacity of the three. Of all open sequences with room in every
 dimension, the piece goes to the one with the least weighted residual norm, or with the greatest weighted
-dot product of need and residual. Sequences are indexed by their residual tokens and scanned from the best bound
-outwards, so the best residual tokens are found without looking at all of them; of sequences of equal residual tokens
-only the first 257 are looked at once one fits, so the minor weights' choice among more is not exact. Pieces are dealt into groups of a
-bounded number by hash; only narrow rows move, never token ids.
+dot product of need and residual; the choice is exact. Sequences are indexed by residual tokens, then by residual
+document slots, then sorted by residual attention cost, where a search finds the best one; residual tokens are
+visited from the best bound outwards. Pieces are dealt into groups of a bounded number; only narrow rows move, never
+token ids. The sequences that groups cost are measured in the README.
 
-Edge cases: null and empty texts are the closing id alone; rows that repeat a doc_id are packed each; an empty
-table gives no rows; extra columns are not read.
+Edge cases: null and empty texts are the closing id alone; rows that repeat a doc_id, or are equal, are packed each; an
+empty table gives no rows; extra columns are not read; ids of any type, null ones among them, come back as they were.
 """
 
 from __future__ import annotations
@@ -24,12 +24,11 @@ from bisect import bisect_left, insort
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, ship
+from .common import checkpoint, loose, ship
 
 #: Pieces in one packing group: what one task holds, and enough that a group's last sequences don't matter.
 GROUP = 50_000
@@ -121,7 +120,8 @@ def best_fit(lengths: np.ndarray, capacity: int, most_documents: int, most_atten
     at, offset = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
     documents: list[float] = []
     attention: list[float] = []
-    room: dict[int, list[int]] = {}
+    # room[residual tokens][residual documents]: sorted (residual attention cost, sequence)
+    room: dict[int, dict[float, list[tuple[float, int]]]] = {}
     order: list[int] = []
     opened = 0
 
@@ -129,9 +129,9 @@ def best_fit(lengths: np.ndarray, capacity: int, most_documents: int, most_atten
         if left <= 0 or documents[b] < 1:
             return
         if left not in room:
-            room[left] = []
+            room[left] = {}
             insort(order, left)
-        room[left].append(b)
+        insort(room[left].setdefault(documents[b], []), (attention[b], b))
 
     for i, n in enumerate(lengths.tolist()):
         cost = float(n) * n
@@ -147,29 +147,28 @@ def best_fit(lengths: np.ndarray, capacity: int, most_documents: int, most_atten
                 bound = -(w[0] * n * left + w[1] * most_documents + w[2] * cost * most_attention)
             if bound >= best:
                 break
-            for k, b in enumerate(room[left]):
-                if attention[b] < cost:
+            for slots, held in room[left].items():
+                # the least attention cost with room has the least norm, the greatest has the greatest dot product
+                k = bisect_left(held, (cost, -1)) if by == "norm" else bisect_left(held, (held[-1][0], -1))
+                if k == len(held) or held[k][0] < cost:
                     continue
                 if by == "norm":
-                    score = bound + w[1] * (documents[b] - 1) ** 2 + w[2] * (attention[b] - cost) ** 2
+                    score = bound + w[1] * (slots - 1) ** 2 + w[2] * (held[k][0] - cost) ** 2
                 else:
-                    score = -(w[0] * n * left + w[1] * documents[b] + w[2] * cost * attention[b])
+                    score = -(w[0] * n * left + w[1] * slots + w[2] * cost * held[k][0])
                 if score < best:
-                    best, found = score, (left, k)
-                if k >= 256 and found:  # those of equal residual tokens differ in the minor weights only
-                    break
+                    best, found = score, (left, slots, k)
         if found is None:
             b, left = opened, capacity
             opened += 1
             documents.append(most_documents)
             attention.append(most_attention)
         else:
-            left, k = found
-            held = room[left]
-            b = held[k]
-            held[k] = held[-1]
-            held.pop()
-            if not held:
+            left, slots, k = found
+            _, b = room[left][slots].pop(k)
+            if not room[left][slots]:
+                del room[left][slots]
+            if not room[left]:
                 del room[left]
                 order.pop(bisect_left(order, left))
         at[i], offset[i] = b, capacity - left
@@ -186,19 +185,23 @@ def pack(items: DataFrame, capacity: int = 2048, most_documents: int | None = No
     they are what ``capacity`` implies.
     """
     ship(items.sparkSession)
-    items = checkpoint(items)
+    narrow = [c for c in items.columns if c not in ("ids", "sequence_id", "offset")]
+    # numbered once checkpointed, so that a group is the same whenever a lost executor's part of it is made again
+    items = checkpoint(items.select(F.struct(*narrow).alias("row"), F.col("length").cast("long").alias("length")))
     groups = max(1, -(-items.count() // group))
-    narrow = [c for c, _ in items.dtypes if c != "ids"]
     docs_cap, cost_cap = most_documents or capacity, most_attention or float(capacity) ** 2
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", *[c for c in narrow if c != "length"]], ascending=False, kind="stable")
-        b, o = best_fit(pdf["length"].to_numpy(), capacity, docs_cap, cost_cap, weights, by)
-        return pdf.assign(sequence_id=b + (pdf["_group"].to_numpy().astype(np.int64) << 36), offset=o).drop(columns="_group")
-
-    schema = ", ".join(f"`{c}` {t}" for c, t in items.select(narrow).dtypes) + ", sequence_id long, offset long"
-    dealt = items.select(*narrow, F.pmod(F.xxhash64(*narrow), F.lit(groups)).cast("int").alias("_group"))
-    return dealt.groupBy("_group").applyInPandas(run, schema)
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("length", "descending"), ("nth", "ascending")]).combine_chunks()
+        b, o = best_fit(t.column("length").to_numpy(), capacity, docs_cap, cost_cap, weights, by)
+        ids = b + (t.column("group").to_numpy().astype(np.int64) << 36)
+        row = t.column("row")
+        return pa.table({"row": row.cast(loose(row.type)), "sequence_id": pa.array(ids), "offset": pa.array(o)})
+
+    dealt = items.withColumn("nth", F.monotonically_increasing_id())
+    dealt = dealt.withColumn("group", F.pmod(F.xxhash64("nth"), F.lit(groups)).cast("int"))
+    found = dealt.groupBy("group").applyInArrow(run, f"row {items.schema['row'].dataType.simpleString()}, sequence_id long, offset long")
+    return found.select(*(F.col("row")[c].alias(c) for c in narrow), "sequence_id", "offset")
 
 
 def sequences(docs: DataFrame, capacity: int = 2048, **how) -> DataFrame:

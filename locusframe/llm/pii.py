@@ -1,8 +1,9 @@
 """Personal data: patterns propose spans, checksums confirm them, context words adjust their scores.
 
-Each kind has a pattern, a check (digit counts, Luhn, parts of an address, mod-97) and a base score. A known word
-within the text just before a span raises its score. Kinds of the base set are reported whatever their score;
-the others where it reaches ``threshold``. Spans are in code points, end exclusive, leftmost and non-overlapping
+Each kind has a pattern, a check (digit counts, Luhn, parts of an address, mod-97, mixed characters) and a base score. A
+known word within ``NEAR`` code points before or after a span raises its score, a word of made-up data lowers it. Kinds of
+the base set are reported whatever their score; the others (account numbers, social security numbers, assigned secrets,
+keys of known forms) where it reaches ``threshold``. Spans are in code points, end exclusive, leftmost and non-overlapping
 within a kind; matches that fail their check are dropped and not retried.
 
 All of it is DataFrame functions on one row: no shuffle. Patterns use possessive groups and start only where a run
@@ -10,7 +11,7 @@ of their characters starts (or the previous match ended), which finds the same m
 linear time and without recursion.
 
 Edge cases: null and empty texts have no spans; an empty table gives no rows; rows are judged each; columns of the
-input named like the result's are replaced.
+input named like the result's are replaced, others are carried whatever their names.
 """
 
 from __future__ import annotations
@@ -23,8 +24,10 @@ from pyspark.sql import functions as F
 
 from .rules import let
 
-#: Code points before a span in which context words count.
+#: Code points before and after a span in which context words count.
 NEAR = 40
+#: Words of made-up data, which lower a score.
+AGAINST = "example|sample|dummy|placeholder"
 _BLOCK = 256
 
 
@@ -65,6 +68,12 @@ def _card(m: Column) -> Column:
     return let(_only_digits(m), lambda d: F.when(F.length(d).between(14, 19), luhn(d)).otherwise(False))
 
 
+def _mixed(m: Column) -> Column:
+    """Whether an assigned value has letters, digits and at least eight distinct characters."""
+    value = F.regexp_extract(m, r"([A-Za-z0-9+/_.~-]{12,}+)={0,2}[\x22']?\z", 1)
+    return let(value, lambda v: v.rlike("[0-9]") & v.rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(v, ""))) >= 8))
+
+
 @dataclass(frozen=True)
 class Kind:
     name: str
@@ -83,6 +92,10 @@ KINDS = (
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", lambda m: F.length(_only_digits(m)).between(10, 15), 0.6, "phone|tel|call|mobile|fax"),
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", "", lambda m: mod97(F.replace(m, F.lit(" "), F.lit(""))), 0.8, "iban|account|bank", False),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "-", lambda m: ~F.substring(m, 1, 3).isin("000", "666") & (m < "9") & (F.substring(m, 5, 2) != "00") & (F.substring(m, 8, 4) != "0000"), 0.3, "ssn|social|security", False),
+    # a name of a secret, an assignment, a value
+    Kind("secret", r"(?<![A-Za-z0-9])(?i:api[_-]?key|access[_-]?key|secret|token|passw(?:or)?d|pwd|auth)(?:[_-][A-Za-z0-9]{1,20}+){0,3}+[\x22']?\x20{0,3}+(?:=>|:=|[=:])\x20{0,3}+[\x22']?[A-Za-z0-9+/_.~-]{12,}+={0,2}+[\x22']?", "", _mixed, 0.7, "key|secret|token|password|credential|auth", False),
+    # public forms of access keys, of signed tokens and of private keys' headings
+    Kind("key", r"(?<![A-Za-z0-9_-])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_-]{20,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+)(?![A-Za-z0-9_-])|-----BEGIN\x20(?:(?!PRIVATE\x20)[A-Z]++\x20)*+PRIVATE\x20KEY-----", "", lambda m: F.lit(True), 0.8, "key|secret|token", False),
 )
 
 
@@ -102,15 +115,21 @@ def _spans(text: Column, kind: Kind, rank: int) -> Column:
     """array<struct<start, rank, end, kind, score, text>> of one kind."""
     made = "array<struct<start:int,rank:int,end:int,kind:string,score:double,text:string>>"
 
+    none_text = F.lit("")
+
     def of(matches: Column) -> Column:
-        between = F.split(text, kind.pattern, -1)
-        gaps = let(between, lambda b: F.transform(matches, lambda m, i: F.length(F.get(b, i)) + F.coalesce(F.length(F.get(matches, i - 1)), F.lit(0))))
-        return let(prefix_sums(gaps), lambda at: F.filter(F.transform(matches, lambda m, i: span(m, F.get(at, i))), lambda s: s.isNotNull()))
-
-    def span(m: Column, at: Column) -> Column:
-        before = F.lower(F.substring(text, F.greatest(at - NEAR, F.lit(0)) + 1, F.least(at, F.lit(NEAR))))
-        near = before.rlike(rf"(?<![a-z])(?:{kind.context})(?![a-z])")
-        score = F.when(near, F.least(F.lit(1.0), F.lit(kind.score + 0.3))).otherwise(F.lit(kind.score))
+        def found(between: Column) -> Column:
+            gaps = F.transform(matches, lambda m, i: F.length(F.get(between, i)) + F.coalesce(F.length(F.get(matches, i - 1)), F.lit(0)))
+            near = lambda i, j, k: F.concat(*(F.coalesce(x, none_text) for x in (F.get(between, i), F.get(matches, j), F.get(between, k))))
+            beside = lambda i: F.concat(F.right(near(i - 1, i - 1, i), F.lit(NEAR)), F.lit("\n"), F.left(near(i + 1, i + 1, i + 2), F.lit(NEAR)))
+            return let(prefix_sums(gaps), lambda at: F.filter(F.transform(matches, lambda m, i: span(m, F.get(at, i), beside(i))), lambda s: s.isNotNull()))
+
+        return let(F.split(text, kind.pattern, -1), found)
+
+    def span(m: Column, at: Column, beside: Column) -> Column:
+        said = lambda words: F.lower(beside).rlike(rf"(?<![a-z])(?:{words})(?![a-z])")
+        raised = F.when(said(kind.context), F.lit(0.3)).otherwise(F.lit(0.0)) - F.when(said(AGAINST), F.lit(0.3)).otherwise(F.lit(0.0))
+        score = F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.lit(kind.score) + raised)), 2)
         row = F.struct(at.cast("int").alias("start"), F.lit(rank).alias("rank"), (at + F.length(m)).cast("int").alias("end"), F.lit(kind.name).alias("kind"), score.alias("score"), m.alias("text"))
         return F.when(kind.check(m), row)
 
@@ -122,9 +141,10 @@ def _spans(text: Column, kind: Kind, rank: int) -> Column:
 def find(docs: DataFrame, text_col: str = "text", threshold: float = 0.5, kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
     """``docs`` with spans: array<struct<start, rank, end, kind, score, text>>, by start and kind."""
     base = [k.name for k in kinds if k.base]
-    rows = docs.withColumn("_text", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    held = F.sort_array(F.concat(*(_spans(F.col("_text"), k, i) for i, k in enumerate(kinds))))
-    return rows.withColumn("spans", F.filter(held, lambda s: s["kind"].isin(*base) | (s["score"] >= threshold))).drop("_text")
+    others = [c for c in docs.columns if c != "spans"]
+    rows = docs.select(F.struct(F.lit(0), *others).alias("row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    held = F.sort_array(F.concat(*(_spans(F.col("text"), k, i) for i, k in enumerate(kinds))))
+    return rows.select(*(F.col("row")[c].alias(c) for c in others), F.filter(held, lambda s: s["kind"].isin(*base) | (s["score"] >= threshold)).alias("spans"))
 
 
 def listed(spans: Column) -> Column:
@@ -133,12 +153,12 @@ def listed(spans: Column) -> Column:
 
 
 def summary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
-    """(id_col, n_<kind> of the base kinds, base_sha256, spans)."""
+    """(id_col, n_<kind> of the base kinds, base_sha256, spans, n_spans, n_<kind> of the other kinds)."""
     base = [k.name for k in kinds if k.base]
     found = find(docs.select(id_col, text_col), text_col, kinds=kinds)
     count = lambda name: F.size(F.filter("spans", lambda s: s["kind"] == name)).cast("long").alias(f"n_{name}")
     of_base = listed(F.filter("spans", lambda s: s["kind"].isin(*base)))
-    return found.select(id_col, *(count(k) for k in base), F.sha2(of_base, 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+    return found.select(id_col, *(count(k) for k in base), F.sha2(of_base, 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"), *(count(k.name) for k in kinds if not k.base))
 
 
 def masked(docs: DataFrame, text_col: str = "text", threshold: float = 0.5) -> DataFrame:

@@ -63,8 +63,8 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality").where(~held_out)
-    weights = train(docs, labels, bits=18, most_rows=20_000, epochs=3)
-    found = score(docs, weights)
+    weights = train(docs, labels, bits=18, order=2, most_rows=20_000, epochs=3)
+    found = score(docs, weights, order=2)
     return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 

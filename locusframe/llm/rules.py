@@ -37,7 +37,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def lowered(text: Column) -> Column:
-    """``text`` with A-Z lower-cased and nothing else."""
+    """``text``, which is used three times, with A-Z lower-cased and nothing else."""
     ascii_only = F.octet_length(text) == F.length(text)
     return F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER))
 
@@ -92,7 +92,7 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 
 def _normal(line: Column) -> Column:
     """A line as it is compared with others: lower-cased (A-Z), white space collapsed."""
-    return lowered(F.btrim(F.regexp_replace(line, SPACE_CLASS + "+", " ")))
+    return let(F.btrim(F.regexp_replace(line, SPACE_CLASS + "+", " ")), lowered)
 
 
 def _read(text: Column) -> dict[str, Column]:

@@ -12,11 +12,13 @@ of them is removed, so that what goes is the union of the maximal exact repeats
 4. each part answers with the windows that another bucket holds under a smaller id;
 5. each bucket removes the words and gives the kept text.
 
-Anchors keep ``anchor_bits`` bits within their part; false hits only cost a candidate. Windows are held to
-be equal if 64 bits of hash, made of 64-bit hashes of their words, are equal.
+Anchors keep ``anchor_bits`` bits within their part; false hits only cost a candidate. Windows of different buckets
+are held to be equal if 128 bits agree, two 64-bit hashes of the window made of the words' hashes; windows of one bucket,
+which is of bounded size, if the first 64 do.
 
 Edge cases: null and empty texts have no words; rows that repeat a doc_id never repeat each other, as neither id
-is smaller; a null id is greater than all others; extra columns are not read.
+is smaller; a null id is greater than all others; ids are integers (or cast to them) below 2**63 - 1; extra columns are
+not read.
 """
 
 from __future__ import annotations
@@ -36,12 +38,17 @@ def _runs(a: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else np.zeros(0, np.int64)
 
 
-def _least(h: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashes, sorted, and the least id of each."""
+def _least(h: np.ndarray, ids: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct hashes, sorted, the least id of each, and one of each of ``more``."""
     order = np.argsort(h, kind="stable")
     h, ids = h[order], ids[order]
     at = _runs(h)
-    return h[at], np.minimum.reduceat(ids, at) if len(at) else ids
+    return h[at], np.minimum.reduceat(ids, at) if len(at) else ids, *(m[order][at] for m in more)
+
+
+def _second(w: Words, window: int) -> np.ndarray:
+    """Hashes of windows that are independent of those of ``rolling``'s own factor."""
+    return w.rolling(window, 3, 0xD1342543DE82EF95)[1]
 
 
 def _flat(x: list[np.ndarray], kind) -> np.ndarray:
@@ -94,7 +101,7 @@ def repeats(docs: DataFrame, window: int = 13, block: int = 7, anchor_bits: int
 
     def extend(bucket, t, got):
         hits = _flat([anchors.whole(p, np.cumsum(unsqueeze(b)[0], dtype=np.uint64)) for p, b in got], np.uint64)
-        hs, us = [], []
+        hs, us, gs = [], [], []
         for ids, texts in documents(t) if len(hits) else ():
             w = Words(texts)
             at, h = w.rolling(block, 1)
@@ -107,17 +114,18 @@ def repeats(docs: DataFrame, window: int = 13, block: int = 7, anchor_bits: int
             near = total[at + window - block + 1] > total[at]
             hs.append(h[near])
             us.append(ids[w.row[at[near]]])
-        h, ids = _least(_flat(hs, np.uint64), _flat(us, np.int64))
-        rows = [(p, bucket, squeeze(steps(windows.short(p, h[s])), ids[s].view(np.uint64))) for p, s in windows.split(h)]
+            gs.append(_second(w, window)[near])
+        h, ids, g = _least(_flat(hs, np.uint64), _flat(us, np.int64), _flat(gs, np.uint64))
+        rows = [(p, bucket, squeeze(steps(windows.short(p, h[s])), ids[s].view(np.uint64), g[s])) for p, s in windows.split(h)]
         part, names, blob = zip(*rows) if rows else ((), (), ())
         return pa.table({"part": pa.array(part, pa.int32()), "bucket": pa.array(names, pa.int32()), "blob": pa.array(blob, pa.binary())})
 
     def earlier(part, buckets, blobs):
         got = [unsqueeze(x) for x in blobs]
-        r = [np.cumsum(a, dtype=np.uint64) for a, _ in got]
-        ids, sizes, r = np.concatenate([b.view(np.int64) for _, b in got]), [len(x) for x in r], np.concatenate(r)
-        order = np.argsort(r, kind="stable")
-        at = _runs(r[order])
+        r = [np.cumsum(a, dtype=np.uint64) for a, *_ in got]
+        ids, g, sizes, r = np.concatenate([b.view(np.int64) for _, b, _ in got]), np.concatenate([x for *_, x in got]), [len(x) for x in r], np.concatenate(r)
+        order = np.lexsort((g, r))
+        at = np.flatnonzero(np.r_[True, (r[order][1:] != r[order][:-1]) | (g[order][1:] != g[order][:-1])])
         least = np.empty(len(r), np.int64)
         least[order] = np.repeat(np.minimum.reduceat(ids[order], at), np.diff(np.r_[at, len(r)]))
         out, s = [], 0

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -79,6 +79,40 @@ def test_best_fit_chooses_the_best(monkeypatch):
             state.append([cap - x, docs - 1, cost - x * x])
 
 
+def test_best_fit_looks_at_all_sequences_of_equal_residual_tokens():
+    """300 sequences of 90, five of 50 and 40, then eights: the fit is among those of equal tokens, by the minor weights."""
+    n = np.array([90] * 300 + [50] * 5 + [40] * 5 + [8] * 10)
+    for by in ("norm", "dot"):
+        got, _ = packing.best_fit(n, 100, 100, 10000.0, (1, 0.05, 0.01), by)
+        state, weights = [], (1, 0.05, 0.01)
+        for i, x in enumerate(n.tolist()):
+            cost = float(x * x)
+
+            def rank(s):
+                if by == "norm":
+                    return weights[0] * ((s[0] - x) / 100) ** 2 + weights[1] * ((s[1] - 1) / 100) ** 2 + weights[2] * ((s[2] - cost) / 1e4) ** 2  # noqa: B023
+                return -(weights[0] * x * s[0] / 1e4 + weights[1] * s[1] / 1e4 + weights[2] * cost * s[2] / 1e8)  # noqa: B023
+
+            fits = [rank(s) for s in state if s[0] >= x and s[1] >= 1 and s[2] >= cost]
+            if fits:
+                assert abs(rank(state[got[i]]) - min(fits)) < 1e-12
+            else:
+                state.append([100, 100, 1e4])
+            s = state[got[i]]
+            s[0], s[1], s[2] = s[0] - x, s[1] - 1, s[2] - cost
+
+
+def test_packing_keeps_wide_and_null_ids_and_repeated_rows(spark):
+    rows = [(2**60 + 1, "a b"), (2**60 + 3, "c d"), (None, "e f")] + [(5, "same text")] * 200
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"row": F.lit(1), "group": F.lit(2)})
+    cut = packing.pieces(docs, 64).withColumns({"row": F.lit(1), "nth": F.lit(2)})
+    got = packing.pack(cut, 64, group=10)
+    assert got.columns == [*cut.columns, "sequence_id", "offset"]
+    found = got.collect()
+    assert sorted(str(r.doc_id) for r in found) == sorted(str(d) for d, _ in rows)
+    assert len({r.sequence_id >> 36 for r in found if r.doc_id == 5}) > 5  # equal rows are dealt out too
+
+
 def test_a_piece_must_fit():
     with pytest.raises(ValueError):
         packing.best_fit(np.array([10]), 9, 5, 100.0)
@@ -116,6 +150,72 @@ def test_classifier_learns(spark):
     assert len(scored) == 603 and scored[1000] == scored[1001] and 0 <= scored[1000] <= 1
 
 
+def grams(text, order=2):
+    """Counts of token n-grams, by looking at each character."""
+    kind = lambda c: 0 if ord(c) < 33 or ord(c) == 127 else 1 if c.isalnum() and ord(c) < 128 or ord(c) > 127 else 2
+    tokens, last = [], 0
+    for c in text or "":
+        if kind(c) and kind(c) == last:
+            tokens[-1] += c
+        elif kind(c):
+            tokens.append(c)
+        last = kind(c)
+    return Counter(tuple(tokens[i : i + k]) for k in range(1, order + 1) for i in range(len(tokens) - k + 1))
+
+
+def test_classifier_matches_brute_force(spark, docs, corpus):
+    """Features are the n-grams' log counts, updates are those of the plain algorithm, scores are dot products."""
+    bits, rates = 20, {"alpha": 0.7, "beta": 1.0, "l1": 0.05, "l2": 0.2}
+    rows = [(d, t) for d, t, _ in corpus if d is not None and len(t or "") < 2000][:40]
+    table = quality_model.features(spark.createDataFrame([(d, d % 2, t) for d, t in dict(rows).items()], "id long, y int, text string"), bits)
+    held = table.collect()
+    texts, names = dict(rows), {}
+    for r in held:
+        want = grams(texts[r.id])
+        norm = np.sqrt(sum(np.log1p(n) ** 2 for n in want.values()))
+        assert len(set(r.idx)) == len(r.idx)
+        if len(r.idx) == len(want):  # none of the text's n-grams share a feature
+            assert np.allclose(sorted(r.val), sorted(np.log1p(n) / norm for n in want.values()), atol=1e-6)
+            names[r.id] = r.idx
+    assert len(names) > 30
+    weights = quality_model.fit(table, bits, epochs=2, seed=5, **rates)
+    order = [r.id for r in spark.createDataFrame([(r.id,) for r in held], "id long").orderBy(F.xxhash64("id"), "id").collect()]
+    by = {r.id: r for r in held}
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i):
+        if abs(z[i]) <= rates["l1"]:
+            return 0.0
+        return -(z[i] - np.sign(z[i]) * rates["l1"]) / ((rates["beta"] + n[i] ** 0.5) / rates["alpha"] + rates["l2"])
+
+    for epoch in range(2):
+        for k in np.random.default_rng(5 + epoch).permutation(len(order)):
+            r = by[order[k]]
+            x = [*zip(r.idx, r.val), (1 << bits, 1.0)]
+            p = 1 / (1 + np.exp(-sum(weight(i) * v for i, v in x)))
+            new = []
+            for i, v in x:
+                g = (p - r.y) * v
+                new.append((i, g, ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / rates["alpha"] * weight(i)))
+            for i, g, s in new:
+                z[i] += g - s
+                n[i] += g * g
+    assert np.allclose(weights[list(z)], [weight(i) for i in z], atol=1e-5)
+    assert np.count_nonzero(weights) == sum(weight(i) != 0 for i in z) > 100
+    scored = {r.id: r.score for r in quality_model.score(spark.createDataFrame(list(texts.items()), "id long, text string").withColumn("row", F.lit(1)), weights).collect()}
+    for r in held:
+        assert abs(scored[r.id] - 1 / (1 + np.exp(-(sum(weight(i) * v for i, v in zip(r.idx, r.val)) + weight(1 << bits))))) < 1e-5
+
+
+def test_training_is_bounded(spark):
+    rows = [(i % 50, f"word{i} word{i % 7}") for i in range(3000)]  # ids that repeat
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id long, quality int")
+    once = spark.createDataFrame([(i, min(t for d, t in rows if d == i)) for i in range(50)], "doc_id long, text string")
+    assert (quality_model.train(docs, marks, bits=12) == quality_model.train(once, marks, bits=12)).all()
+    assert np.count_nonzero(quality_model.train(docs, marks, bits=12, most_values=30)) < np.count_nonzero(quality_model.train(docs, marks, bits=12))
+
+
 def test_classifier_without_labels(spark, docs, empty):
     none = spark.createDataFrame([], "doc_id long, quality int")
     weights = quality_model.train(docs, none, bits=10)

@@ -108,6 +108,37 @@ def test_scores_match_brute_force(docs, corpus, order):
     assert all(abs(g[2] - w[2]) < 1e-5 for g, w in zip(got, sorted(want)))
 
 
+def test_relational_scores_are_the_same(docs):
+    key = lambda r: (str(r.doc_id), r.n_words, round(r.log_score, 4) + 0.0)
+    for order in (1, 3):
+        assert sorted(map(key, lm.relational(docs, order).collect())) == sorted(map(key, lm.scores(docs, order).collect()))
+
+
+def test_words_that_collide_modulo_a_power_of_two(spark):
+    a = "a"
+    while len(a) < 1024:  # the Thue-Morse word and its complement
+        a += a.translate(str.maketrans("ab", "ba"))
+    b = a.translate(str.maketrans("ab", "ba"))
+    w = Words(pa.array([a, b]))
+    assert w.hash[0] != w.hash[1]
+    rest = " ".join(f"w{i}" for i in range(12))
+    docs = spark.createDataFrame([(1, f"{a} {rest}"), (2, f"{b} {rest}"), (3, f"{a} {rest}")], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in substring.repeats(docs).collect()} == {1: 0, 2: 0, 3: 13}
+
+
+def test_word_hashes_match_the_polynomial():
+    from locusframe.llm import common
+
+    words = ["", "x", "é日本", "abc" * 500, "z" * 5000]
+    w = Words(pa.array([" ".join(words), "x y"]))
+    p, out = (1 << 61) - 1, []
+    for x in [*words[1:], "x", "y"]:
+        v = sum((c + 1) * pow(common._POINT, i, p) for i, c in enumerate(x.encode())) % p
+        out.append((v + len(x.encode()) * 0xD6E8FEB86659FD93) & (1 << 64) - 1)
+    assert common.mix(np.array(out, np.uint64)).tolist() == w.hash.tolist()
+
+
 def test_empty(empty):
+    assert lm.relational(empty).count() == 0
     assert substring.repeats(empty).count() == 0
     assert lm.scores(empty).count() == 0
