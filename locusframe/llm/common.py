@@ -45,11 +45,9 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 _WORDS = np.ones(256, np.uint8)
 _WORDS[list(SPACES)] = 0
-_STEP = 1 << 20
-#: Words are polynomials modulo this prime, at a fixed point: two of n bytes are equal at n / 2**61 of the points at most.
-_PRIME = (1 << 61) - 1
-_POINT = 0x1E3779B97F4A7C15
-_POWERS: list[np.ndarray] = []
+#: Words longer than this are hashed by SHA-256.
+_LONG = 1 << 16
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -59,36 +57,6 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def _reduced(x: np.ndarray) -> np.ndarray:
-    x = (x & np.uint64(_PRIME)) + (x >> np.uint64(61))
-    return np.where(x >= np.uint64(_PRIME), x - np.uint64(_PRIME), x)
-
-
-def _shifted(x: np.ndarray) -> np.ndarray:
-    """x * 2**31, of x below 2**62, congruent and below 2**61 + 2**32."""
-    return (x >> np.uint64(30)) + ((x & np.uint64((1 << 30) - 1)) << np.uint64(31))
-
-
-def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Products modulo the prime."""
-    low, cut = np.uint64((1 << 31) - 1), np.uint64(31)
-    a1, a0, b1, b0 = a >> cut, a & low, b >> cut, b & low
-    return _reduced(np.uint64(2) * (a1 * b1) + _shifted(a1 * b0 + a0 * b1) + a0 * b0)
-
-
-def _powers() -> list[np.ndarray]:
-    """Powers of the point, in 30 high and 31 low bits, and of its inverse."""
-    if not _POWERS:
-        made = []
-        for base in (_POINT, pow(_POINT, -1, _PRIME)):
-            p = np.ones(1, np.uint64)
-            while len(p) <= _STEP:
-                p = np.concatenate([p, _times(p, np.full(len(p), pow(base, len(p), _PRIME), np.uint64))])
-            made.append(p[: _STEP + 1])
-        _POWERS.extend([made[0] >> np.uint64(31), made[0] & np.uint64((1 << 31) - 1), made[1]])
-    return _POWERS
-
-
 class Words:
     """The words of many texts, without a Python object for each.
 
@@ -122,25 +90,21 @@ class Words:
         self.hash = self._hashes()
 
     def _hashes(self) -> np.ndarray:
-        high, low, inverse = _powers()
-        out = np.zeros(len(self.start), np.uint64)
-        i = 0
-        while i < len(self.start):
-            base = self.start[i]
-            j = max(i + 1, int(np.searchsorted(self.end, base + _STEP, "right")))
-            size = int(self.end[j - 1] - base)
-            if size > _STEP:  # a single word longer than the tables
-                out[i] = np.uint64(int.from_bytes(hashlib.sha256(self.data[base : self.end[i]].tobytes()).digest()[:8], "big"))
-            else:
-                a, b, sums = self.start[i:j] - base, self.end[i:j] - base, []
-                values = self.data[base : base + size].astype(np.uint64) + np.uint64(1)
-                for power in (high, low):  # sums of a step are below 2**60
-                    total = np.zeros(size + 1, np.uint64)
-                    np.cumsum(values * power[:size], out=total[1:])
-                    sums.append(total[b] - total[a])
-                out[i:j] = _times(_reduced(_shifted(sums[0]) + sums[1]), inverse[a]) + (b - a).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-            i = j
-        return mix(out)
+        """Words by eight bytes at a time, each mixed into all bits of what stands before."""
+        padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
+        eight = np.ndarray((len(self.data) + 1,), "<u8", padded, 0, (1,))
+        left, at = self.end - self.start, self.start
+        out, which = left.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), np.arange(len(at))
+        for i in np.flatnonzero(left > _LONG):
+            out[i] = np.uint64(int.from_bytes(hashlib.sha256(self.data[self.start[i] : self.end[i]].tobytes()).digest()[:8], "big"))
+        usual = left <= _LONG
+        if not usual.all():
+            which, at, left = which[usual], at[usual], left[usual]
+        while len(which):
+            out[which] = mix((out[which] ^ (eight[at] & _MASKS[np.minimum(left, 8)])) + np.uint64(0xD6E8FEB86659FD93))
+            more = left > 8
+            which, at, left = which[more], at[more] + 8, left[more] - 8
+        return out
 
     def rolling(self, n: int, seed: int, factor: int = 0xA0761D6478BD642F) -> tuple[np.ndarray, np.ndarray]:
         """Positions (in all words) where windows of ``n`` words of one text start, and their hashes."""

@@ -65,6 +65,14 @@ def steps(a: np.ndarray) -> np.ndarray:
     return np.diff(a, prepend=np.uint64(0))
 
 
+def places(known: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Where each of ``h`` is, or would be, in sorted ``known``: looked up in order, which memory likes better."""
+    order = np.argsort(h)
+    out = np.empty(len(h), np.int64)
+    out[order] = np.searchsorted(known, h[order])
+    return out
+
+
 class Parts:
     """``count`` ranges of the 64-bit hash space. Hashes keep ``bits`` bits within their range."""
 

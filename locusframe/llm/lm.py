@@ -25,14 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Words, checkpoint, partitions
-from .exchange import NO_ID, Parts, back, dealt, documents, meet, send, squeeze, steps, unsqueeze
+from .exchange import NO_ID, Parts, back, dealt, documents, meet, places, send, squeeze, steps, unsqueeze
 from .rules import words_in
 
 
 def _counted(h: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     if n is None:
         return np.unique(h, return_counts=True)
-    order = np.argsort(h, kind="stable")
+    order = np.argsort(h)
     h = h[order]
     at = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
     return h[at], np.add.reduceat(n[order], at) if len(at) else n
@@ -64,7 +64,7 @@ def scores(docs: DataFrame, order: int = 3, backoff: float = 0.4, min_count: int
         got = [unsqueeze(x) for x in blobs]
         r = [np.cumsum(a, dtype=np.uint64) for a, _ in got]
         c, sizes, r = np.concatenate([b for _, b in got]), [len(x) for x in r], np.concatenate(r)
-        by = np.argsort(r, kind="stable")
+        by = np.argsort(r)
         at = np.flatnonzero(np.r_[True, r[by][1:] != r[by][:-1]])
         whole = np.empty(len(r), np.uint64)
         whole[by] = np.repeat(np.add.reduceat(c[by], at), np.diff(np.r_[at, len(r)]))
@@ -83,7 +83,7 @@ def scores(docs: DataFrame, order: int = 3, backoff: float = 0.4, min_count: int
             w = Words(texts)
             size = len(w.hash)
             value, settled, before = np.zeros(size), np.zeros(size, bool), None
-            seen = {k: (at, counts[np.searchsorted(known, h)]) for k, at, h in grams(w)}
+            seen = {k: (at, counts[places(known, h)]) for k, at, h in grams(w)}
             dense = {}
             for k, (at, c) in seen.items():  # by the n-gram's last word
                 dense[k] = np.zeros(size, np.int64)

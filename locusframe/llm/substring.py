@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Words, partitions
-from .exchange import NO_ID, Parts, back, dealt, documents, meet, send, squeeze, steps, unsqueeze
+from .exchange import NO_ID, Parts, back, dealt, documents, meet, places, send, squeeze, steps, unsqueeze
 
 SCHEMA = "doc_id long, n_words long, n_removed long, kept string, removed array<struct<start:long,end:long>>"
 
@@ -40,7 +40,7 @@ def _runs(a: np.ndarray) -> np.ndarray:
 
 def _least(h: np.ndarray, ids: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, ...]:
     """Distinct hashes, sorted, the least id of each, and one of each of ``more``."""
-    order = np.argsort(h, kind="stable")
+    order = np.argsort(h)
     h, ids = h[order], ids[order]
     at = _runs(h)
     return h[at], np.minimum.reduceat(ids, at) if len(at) else ids, *(m[order][at] for m in more)
@@ -72,7 +72,7 @@ def repeats(docs: DataFrame, window: int = 13, block: int = 7, anchor_bits: int
             us.append(ids[w.row[at]])
             grids.append(w.at[at] % block == 0)
         h, ids, grid = _flat(hs, np.uint64), _flat(us, np.int64), _flat(grids, bool)
-        order = np.argsort(h, kind="stable")
+        order = np.argsort(h)
         h, ids, grid = h[order], ids[order], grid[order]
         at = _runs(h)
         if not len(at):
@@ -85,7 +85,7 @@ def repeats(docs: DataFrame, window: int = 13, block: int = 7, anchor_bits: int
         got = [unsqueeze(x) for x in blobs]
         r, mark = [np.cumsum(a, dtype=np.uint64) for a, _ in got], np.concatenate([b for _, b in got])
         sizes, r = [len(x) for x in r], np.concatenate(r)
-        order = np.argsort(r, kind="stable")
+        order = np.argsort(r)
         at = _runs(r[order])
         count, any_ = np.diff(np.r_[at, len(r)]), np.bitwise_or.reduceat(mark[order], at)
         good = ((any_ & np.uint64(1)) > 0) & ((count > 1) | ((any_ & np.uint64(2)) > 0))
@@ -106,7 +106,7 @@ def repeats(docs: DataFrame, window: int = 13, block: int = 7, anchor_bits: int
             w = Words(texts)
             at, h = w.rolling(block, 1)
             cut = anchors.cut(h)
-            found = hits[np.minimum(np.searchsorted(hits, cut), len(hits) - 1)] == cut
+            found = hits[np.minimum(places(hits, cut), len(hits) - 1)] == cut
             mark = np.zeros(len(w.hash) + 2, np.int64)
             mark[at[found] + 1] = 1
             total = np.cumsum(mark)
@@ -151,9 +151,9 @@ def repeats(docs: DataFrame, window: int = 13, block: int = 7, anchor_bits: int
             ids, w, at, h = held.pop(0)
             gone = np.zeros(len(w.hash) + 1, np.int64)
             if len(h):
-                again = least[np.searchsorted(known, h)] < ids[w.row[at]]
+                again = least[places(known, h)] < ids[w.row[at]]
                 if len(foreign):
-                    again |= foreign[np.minimum(np.searchsorted(foreign, h), len(foreign) - 1)] == h
+                    again |= foreign[np.minimum(places(foreign, h), len(foreign) - 1)] == h
                 np.add.at(gone, at[again], 1)
                 np.add.at(gone, at[again] + window, -1)
             gone = np.cumsum(gone)[:-1] > 0

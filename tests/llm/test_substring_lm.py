@@ -126,16 +126,24 @@ def test_words_that_collide_modulo_a_power_of_two(spark):
     assert {r.doc_id: r.n_removed for r in substring.repeats(docs).collect()} == {1: 0, 2: 0, 3: 13}
 
 
-def test_word_hashes_match_the_polynomial():
+def test_word_hashes_of_any_length():
     from locusframe.llm import common
 
-    words = ["", "x", "é日本", "abc" * 500, "z" * 5000]
-    w = Words(pa.array([" ".join(words), "x y"]))
-    p, out = (1 << 61) - 1, []
-    for x in [*words[1:], "x", "y"]:
-        v = sum((c + 1) * pow(common._POINT, i, p) for i, c in enumerate(x.encode())) % p
-        out.append((v + len(x.encode()) * 0xD6E8FEB86659FD93) & (1 << 64) - 1)
-    assert common.mix(np.array(out, np.uint64)).tolist() == w.hash.tolist()
+    full = (1 << 64) - 1
+
+    def mixed(h):
+        h = (h ^ h >> 33) * 0xFF51AFD7ED558CCD & full
+        h = (h ^ h >> 29) * 0xC4CEB9FE1A85EC53 & full
+        return h ^ h >> 32
+
+    words = ["x", "é日本", "12345678", "123456789", "abc" * 500, "z" * 5000, "q" * 70000, "x"]
+    w = Words(pa.array([" ".join(words), "x y", "x"]))
+    for x, h in zip([*words, "x", "y", "x"], w.hash.tolist()):
+        data = x.encode()
+        want = len(data) * 0x9E3779B97F4A7C15 & full
+        for i in range(0, len(data), 8):
+            want = mixed(((want ^ int.from_bytes(data[i : i + 8], "little")) + 0xD6E8FEB86659FD93) & full)
+        assert h == (want if len(data) <= common._LONG else int.from_bytes(hashlib.sha256(data).digest()[:8], "big"))
 
 
 def test_empty(empty):
