@@ -28,6 +28,9 @@ from .common import Words, checkpoint, partitions
 from .exchange import NO_ID, Parts, back, dealt, documents, meet, places, send, squeeze, steps, unsqueeze
 from .rules import words_in
 
+#: Bytes of texts that are cut into n-grams at once.
+PIECE = 1 << 21
+
 
 def _counted(h: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     if n is None:
@@ -51,7 +54,7 @@ def scores(docs: DataFrame, order: int = 3, backoff: float = 0.4, min_count: int
 
     def local(t):
         tables = []
-        for ids, texts in documents(t):
+        for ids, texts in documents(t, PIECE):
             w = Words(texts)
             tables.append(_counted(np.concatenate([h for _, _, h in grams(w)])))
         return _counted(*(np.concatenate(x) for x in zip(*tables)))
@@ -62,15 +65,20 @@ def scores(docs: DataFrame, order: int = 3, backoff: float = 0.4, min_count: int
 
     def total(part, buckets, blobs):
         got = [unsqueeze(x) for x in blobs]
-        r = [np.cumsum(a, dtype=np.uint64) for a, _ in got]
-        c, sizes, r = np.concatenate([b for _, b in got]), [len(x) for x in r], np.concatenate(r)
+        ends = np.cumsum([0, *(len(c) for _, c in got)])
+        c = np.concatenate([c for _, c in got])
+        r = np.concatenate([np.cumsum(a, dtype=np.uint64) for a, _ in got])
+        del got  # one array at a time, as they are all of the part's size
         by = np.argsort(r)
-        at = np.flatnonzero(np.r_[True, r[by][1:] != r[by][:-1]])
-        whole = np.empty(len(r), np.uint64)
-        whole[by] = np.repeat(np.add.reduceat(c[by], at), np.diff(np.r_[at, len(r)]))
-        whole -= c  # what the other buckets have
-        ends = np.cumsum([0, *sizes])
-        return [(part, bucket, squeeze(whole[s:e])) for bucket, s, e in zip(buckets, ends[:-1], ends[1:]) if whole[s:e].any()]
+        r = r[by]
+        at = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
+        del r
+        sums = np.add.reduceat(c[by], at)
+        length = np.diff(np.r_[at, len(c)])
+        del at
+        np.negative(c, out=c)  # what the other buckets have
+        c[by] += np.repeat(sums, length)
+        return [(part, bucket, squeeze(c[s:e])) for bucket, s, e in zip(buckets, ends[:-1], ends[1:]) if c[s:e].any()]
 
     def score(bucket, t, got):
         known, counts = local(t)
@@ -79,7 +87,7 @@ def scores(docs: DataFrame, order: int = 3, backoff: float = 0.4, min_count: int
         for p, b in got:
             counts[asked[p]] += unsqueeze(b)[0].astype(np.int64)
         names, words, sums = [], [], []
-        for ids, texts in documents(t):
+        for ids, texts in documents(t, PIECE):
             w = Words(texts)
             size = len(w.hash)
             value, settled, before = np.zeros(size), np.zeros(size, bool), None
