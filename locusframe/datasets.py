@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .functions import sequence as Q
 from .operators import access, normalize, tensor, track, variants
 from .operators.windows import Windows, genome_size
-from .schema import ceil_div
+from .schema import ceil_div, floor_div
 from .sources import sinks
 from .sources.bam import bam_sizes, read_bam
 from .sources.bigwig import bigwig_sizes, read_bigwig
@@ -219,16 +219,33 @@ class Cover(Dataset):
         if self.resolution and self.resolution > 1:
             cells = track.collapse(track.window_runs(w, runs), self.resolution, self.collapser, self.stranded, "zero", self.padding_value)
             runs = track.from_windows(cells, w, self.resolution)
-        out = normalize.Signal.of(runs, self.sizes, 1, self.strands)
-        return normalize.normalize(out, list(self.normalizers), self.resolution or 1)
-
-    def cells(self) -> DataFrame:
-        """(idx, bin, strand, condition, value) of all windows, as read; cells that aren't there are background."""
+        size = self.resolution or 1
+        if size == 1 or not self.normalizers:
+            out = normalize.Signal.of(runs, self.sizes, 1, self.strands)
+            return normalize.normalize(out, list(self.normalizers), size)
+        # statistics are those of stored bins, so runs are counted in bins until they are normalised
+        runs = runs.withColumns({"start": floor_div(F.col("start"), size), "end": ceil_div(F.col("end"), size)})
+        out = normalize.normalize(normalize.Signal.of(runs, self.sizes, size, self.strands), list(self.normalizers), size)
+        runs = out.runs.join(self.sizes.select("chrom", "length"), "chrom")
+        runs = runs.withColumns({"start": F.col("start") * size, "end": F.least(F.col("end") * size, F.col("length"))}).drop("length")
+        return replace(out, runs=runs)
+
+    def _read(self) -> tuple[DataFrame, DataFrame | float]:
+        """Cells as read, and what those that aren't there are: a number, or (condition, background) rows."""
         w = self.gindexer.flanked()
+        fill: DataFrame | float = self.padding_value
         if self.whole_genome:
-            clipped = track.window_runs(w, self._genome().runs)
+            genome = self._genome()
             how = self.collapser if self.resolution is None or self.resolution == 1 else "mean"
-            out = track.collapse(clipped, self.resolution, how, self.stranded, self.tail, self.padding_value)
+            if not self.normalizers or callable(how):
+                out = track.collapse(track.window_runs(w, genome.runs), self.resolution, how, self.stranded, self.tail, self.padding_value)
+            else:
+                # collapsed as differences from the background, which is added again
+                fill = genome.zero
+                moved = genome.runs.join(F.broadcast(fill), "condition").withColumn("value", F.col("value") - F.col("background")).drop("background")
+                out = track.collapse(track.window_runs(w, moved), self.resolution, how, self.stranded, self.tail, 0.0)
+                size = w.select("idx", (F.col("end") - F.col("start") if self.resolution is None else F.lit(1)).alias("n") if how == "sum" else F.lit(1).alias("n"))
+                out = out.join(F.broadcast(fill), "condition").join(size, "idx").withColumn("value", F.col("value") + F.col("background") * F.col("n")).drop("background", "n")
         else:
             out = track.collapse(track.window_runs(self._selected(), self.signal), self.resolution, self.collapser, self.stranded, self.tail, self.padding_value)
             if self.normalizers:
@@ -237,18 +254,52 @@ class Cover(Dataset):
                 held = normalize.Signal(runs, size, runs.select("condition").distinct().withColumn("background", F.lit(0.0)))
                 g = self.gindexer
                 done = normalize.normalize(held, list(self.normalizers), (g.binsize or 1) + 2 * g.flank)
-                out = done.runs.select("idx", F.col("start").alias("bin"), "strand", "condition", "value")
-        return track.oriented(out, w, self.resolution, self.stranded)
+                out, fill = done.runs.select("idx", F.col("start").alias("bin"), "strand", "condition", "value"), done.zero
+        return track.oriented(out, w, self.resolution, self.stranded), fill
+
+    def cells(self) -> DataFrame:
+        """(idx, bin, strand, condition, value) of all windows, as read; cells that aren't there are ``background``."""
+        return self._read()[0]
+
+    def background(self) -> DataFrame:
+        """(condition, background): what normalisers have made of cells without signal."""
+        fill = self._read()[1]
+        if isinstance(fill, DataFrame):
+            return fill
+        return _session().createDataFrame([(c, float(fill)) for c in self.conditions], "condition string, background double")
 
     def rows(self) -> DataFrame:
-        return track.dense(self.cells(), self.gindexer.df, self.bins, list(self.conditions), self.strands)
+        cells, fill = self._read()
+        return track.dense(cells, self.gindexer.df, self.bins, list(self.conditions), self.strands, fill if self.normalizers else 0.0)
+
+    def _bins_track(self, near: DataFrame | None = None) -> DataFrame:
+        """The windows' bins as a track along the genome, those of background among them where normalisers moved it.
+
+        ``near``: the flanked windows that are wanted, by idx.
+        """
+        w = self.gindexer.flanked()
+        cells, fill = self._read()
+        if near is not None:
+            w, cells = near, cells.join(near.select("idx"), "idx", "left_semi")
+        if isinstance(fill, DataFrame):
+            names = F.array(*map(F.lit, self.conditions))
+            values = track.dense(cells, w, self.bins, list(self.conditions), self.strands, fill)
+            cells = tensor.unstack(values, (self.bins, self.strands, len(self.conditions))).select("idx", F.col("pos").cast("long").alias("bin"), "strand", F.get(names, F.col("condition")).alias("condition"), "value")
+            size = w.select("idx", ceil_div(F.col("end") - F.col("start"), self.resolution or (1 << 40)).alias("_n"))
+            cells = cells.join(size, "idx").where("bin < _n").drop("_n")
+        return track.from_windows(track.oriented(cells, w, self.resolution, self.stranded), w, self.resolution or (1 << 40))
 
     def interval(self, chrom: str, start: int, end: int, strand: str = ".") -> np.ndarray:
-        """(positions, strands, conditions) of an interval at nucleotide resolution."""
+        """(positions, strands, conditions) of an interval at nucleotide resolution; what no window covers is ``padding_value``."""
         row = _session().createDataFrame([(0, chrom, start, end, strand)], "idx long, chrom string, start long, end long, strand string")
-        signal = self._genome().runs if self.whole_genome else track.from_windows(track.oriented(self.cells(), self.gindexer.flanked(), self.resolution, self.stranded), self.gindexer.flanked(), self.resolution or 1)
+        fill: DataFrame | float = self.padding_value
+        if self.whole_genome:
+            genome = self._genome()
+            signal, fill = genome.runs, genome.zero if self.normalizers else fill
+        else:
+            signal = self._bins_track(self.gindexer.flanked().where((F.col("chrom") == chrom) & (F.col("start") < end) & (F.col("end") > start)))
         cells = track.oriented(track.collapse(track.window_runs(row, signal), 1, "sum", self.stranded), row, 1, self.stranded)
-        held = track.dense(cells, row, end - start, list(self.conditions), self.strands, self.padding_value).first()["values"]
+        held = track.dense(cells, row, end - start, list(self.conditions), self.strands, fill).first()["values"]
         return np.array(held).reshape(end - start, self.strands, len(self.conditions))
 
     def view(self, regions) -> Cover:
@@ -262,7 +313,19 @@ class Cover(Dataset):
         return self.with_windows(self.gindexer.filter_by_region(include, exclude))
 
     def export_to_bigwig(self, folder: str) -> None:
-        sinks.write_bigwigs(self.signal, self.sizes, folder, self.name)
+        """The cover's bins as they are read, normalised and at its resolution, without regard to windows' strands."""
+        if self.whole_genome:
+            genome = self._genome()
+            signal = genome.runs
+            if self.normalizers:
+                # what no run covers is the background of its condition
+                whole = self.sizes.select("chrom", F.lit(0).cast("long").alias("start"), F.col("length").alias("end"), F.lit(-1).cast("long").alias("ord")).crossJoin(F.broadcast(genome.zero)).withColumnRenamed("background", "value")
+                strands = F.explode(F.sequence(F.lit(0), F.lit(self.strands - 1))).alias("strand")
+                painted = signal.withColumn("ord", F.lit(0).cast("long")).unionByName(whole.select("*", strands))
+                signal = track.paint(painted, ["value"], ["strand", "condition"], 1 << 14)
+        else:
+            signal = self._bins_track()
+        sinks.write_bigwigs(signal, self.sizes, folder, self.name)
 
 
 def _names(normalizer) -> tuple:

@@ -43,14 +43,17 @@ def log_transform(x: Signal) -> Signal:
 
 @dataclass
 class ZScore:
-    """Centre and scale; statistics are fitted on the first signal unless given as (condition, mean, sd), and kept."""
+    """Centre and scale; statistics are fitted on the first signal unless given as (condition, mean, sd), and kept.
+
+    A condition of constant values, whose sd is 0, is centred only, and so becomes 0.
+    """
 
     stats: DataFrame | None = None
 
     def __call__(self, x: Signal) -> Signal:
         if self.stats is None:
             self.stats = _moments(x)
-        return x.map(lambda v: (v - F.col("mean")) / F.col("sd"), self.stats)
+        return x.map(lambda v: (v - F.col("mean")) / F.when(F.col("sd") > 0, F.col("sd")).otherwise(F.lit(1.0)), self.stats)
 
 
 def _moments(x: Signal) -> DataFrame:

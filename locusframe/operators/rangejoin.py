@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..schema import floor_div
+from ..schema import floor_div, running_total
 
 
 def suggest_bin(*sides: DataFrame) -> int:
@@ -62,24 +62,37 @@ def annotate_strand(left: DataFrame, right: DataFrame, key: str, bin_size: int |
 def merge_intervals(df: DataFrame, distance: int = 0, bin_size: int = 1 << 20) -> DataFrame:
     """(chrom, start, end): the union of intervals that overlap or lie within ``distance`` of each other.
 
-    Islands are made within coarse bins first, so that the pass over whole chromosomes sees few rows.
+    Islands are made within bins of starts. An island begins a result unless an earlier bin reaches it, for which the
+    greatest end of each bin is enough: no pass sees a whole chromosome's rows.
     """
-
-    def islands(rows: DataFrame, *by: str) -> DataFrame:
-        w = Window.partitionBy(*by).orderBy("start", "end")
-        reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-        new = F.when(F.col("start") <= reach + distance, 0).otherwise(1)
-        marked = rows.withColumn("_new", new).withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-        return marked.groupBy(*by, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end")).select("chrom", "start", "end")
-
-    rows = df.select("chrom", "start", "end")
-    return islands(islands(rows.withColumn("_bin", floor_div(F.col("start"), bin_size)), "chrom", "_bin"), "chrom")
-
-
-def nearest_before(left: DataFrame, right: DataFrame, key: str, value: Column) -> DataFrame:
-    """As-of join: for each row of ``left``, ``value`` of the last row of ``right`` that starts at or before it."""
-    rows = left.select("chrom", "start", F.col(key).alias("_key"), F.lit(None).cast("string").alias("_value"), F.lit(1).alias("_side"))
-    rows = rows.unionByName(right.select("chrom", "start", F.lit(None).cast("long").alias("_key"), value.cast("string").alias("_value"), F.lit(0).alias("_side")))
-    w = Window.partitionBy("chrom").orderBy("start", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    found = rows.withColumn("value", F.last("_value", ignorenulls=True).over(w)).where("_side = 1").select(F.col("_key").alias(key), "value")
+    rows = df.select("chrom", "start", "end").withColumn("_bin", floor_div(F.col("start"), bin_size))
+    w = Window.partitionBy("chrom", "_bin").orderBy("start", "end")
+    reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    marked = rows.withColumn("_new", F.when(F.col("start") <= reach + distance, 0).otherwise(1))
+    marked = marked.withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    islands = marked.groupBy("chrom", "_bin", "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    earlier = Window.partitionBy("chrom").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)  # a row a bin
+    bins = islands.groupBy("chrom", "_bin").agg(F.max("end").alias("_top"))
+    bins = bins.select("chrom", "_bin", F.max("_top").over(earlier).alias("_reach"))
+    begun = islands.join(bins, ["chrom", "_bin"]).withColumn("_begins", F.when(F.col("start") <= F.col("_reach") + distance, 0).otherwise(1))
+    numbered = running_total(begun.select("chrom", "start", "end", "_begins"), ["chrom"], "start", "_begins", "_earlier", bin_size)
+    return numbered.groupBy("chrom", (F.col("_earlier") + F.col("_begins")).alias("_n")).agg(F.min("start").alias("start"), F.max("end").alias("end")).select("chrom", "start", "end")
+
+
+def nearest_before(left: DataFrame, right: DataFrame, key: str, value: Column, bin_size: int = 1 << 16) -> DataFrame:
+    """As-of join: for each row of ``left``, ``value`` of the last row of ``right`` that starts at or before it.
+
+    Rows meet within bins; the last row of earlier bins comes from a list with a row a bin. Of rows of ``right`` with
+    equal starts the one of the greatest value counts.
+    """
+    rows = left.select("chrom", "start", F.col(key).alias("_key"), F.lit(None).cast("struct<v:string>").alias("_value"), F.lit(1).alias("_side"))
+    held = F.struct(value.cast("string").alias("v"))
+    rows = rows.unionByName(right.select("chrom", "start", F.lit(None).cast(left.schema[key].dataType).alias("_key"), held.alias("_value"), F.lit(0).alias("_side")))
+    rows = rows.withColumn("_bin", floor_div(F.col("start"), bin_size))
+    w = Window.partitionBy("chrom", "_bin").orderBy("start", "_side", "_value").rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy("chrom").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)  # a row a bin
+    bins = rows.groupBy("chrom", "_bin").agg(F.max(F.when(F.col("_side") == 0, F.struct("start", "_value"))).alias("_top"))
+    bins = bins.select("chrom", "_bin", F.last("_top", ignorenulls=True).over(earlier).alias("_top"))
+    found = rows.withColumn("_here", F.last("_value", ignorenulls=True).over(w)).where("_side = 1").join(bins, ["chrom", "_bin"])
+    found = found.select(F.col("_key").alias(key), F.coalesce("_here", "_top._value")["v"].alias("value"))
     return left.join(found, key, "left")

@@ -14,21 +14,24 @@ from pyspark.sql import functions as F
 
 from ..shipping import ship
 
-RANGES = 64
+RANGES = 512
 
 
 def thresholds(df: DataFrame, by: list[str] = ("condition",), label: str = "y", score: str = "p", ranges: int = RANGES) -> DataFrame:
     """(by, score, pos, neg, tp, fp): for each distinct score from the top, its labels and those at or above it."""
-    by = list(by)
+    return _ranged(df, list(by), label, score, ranges).drop("_range")
+
+
+def _ranged(df: DataFrame, by: list[str], label: str, score: str, ranges: int) -> DataFrame:
     held = df.groupBy(*by, F.col(score).alias("score")).agg(F.sum(F.when(F.col(label) > 0, 1).otherwise(0)).alias("pos"), F.sum(F.when(F.col(label) > 0, 0).otherwise(1)).alias("neg"))
-    cuts = held.groupBy(*by).agg(F.percentile_approx("score", [i / ranges for i in range(1, ranges)], 1000).alias("_cuts"))
+    cuts = held.groupBy(*by).agg(F.percentile_approx("score", [i / ranges for i in range(1, ranges)], 10_000).alias("_cuts"))
     placed = held.join(F.broadcast(cuts), by).withColumn("_range", F.size(F.filter("_cuts", lambda c: c <= F.col("score")))).drop("_cuts")
     totals = placed.groupBy(*by, "_range").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
     above = Window.partitionBy(*by).orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
     base = totals.select(*by, "_range", F.coalesce(F.sum("_p").over(above), F.lit(0)).alias("_bp"), F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_bn"))
     inside = Window.partitionBy(*by, "_range").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
     out = placed.withColumns({"_ip": F.sum("pos").over(inside), "_in": F.sum("neg").over(inside)}).join(base, [*by, "_range"])
-    return out.select(*by, "score", "pos", "neg", (F.col("_bp") + F.col("_ip")).alias("tp"), (F.col("_bn") + F.col("_in")).alias("fp"))
+    return out.select(*by, "_range", "score", "pos", "neg", (F.col("_bp") + F.col("_ip")).alias("tp"), (F.col("_bn") + F.col("_in")).alias("fp"))
 
 
 def roc_auc(df: DataFrame, by: list[str] = ("condition",), label: str = "y", score: str = "p") -> DataFrame:
@@ -48,14 +51,17 @@ def average_precision(df: DataFrame, by: list[str] = ("condition",), label: str
 
 def roc_curve(df: DataFrame, by: list[str] = ("condition",), label: str = "y", score: str = "p", drop_collinear: bool = False) -> DataFrame:
     """(score, fpr, tpr) at all thresholds, or without the points inside straight runs."""
-    t = thresholds(df, by, label, score)
+    t = _ranged(df, list(by), label, score, RANGES)
     sums = t.groupBy(*by).agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
     t = t.join(F.broadcast(sums), list(by))
     if drop_collinear:
-        w = Window.partitionBy(*by).orderBy(F.desc("score"))
-        nxt = lambda c: F.lead(c).over(w)
-        t = t.where(F.lit(True)).withColumns({"_np": nxt("pos"), "_nn": nxt("neg")})
-        t = t.where(F.col("_np").isNull() | (F.col("pos") * F.col("_nn") != F.col("neg") * F.col("_np")))
+        # the next threshold is in the same range, or the first of the next one: a list with a row a range
+        by_range = [*by, "_range"]
+        w, ranges = Window.partitionBy(*by_range).orderBy(F.desc("score")), Window.partitionBy(*by).orderBy(F.desc("_range"))
+        point = F.struct("pos", "neg")
+        firsts = t.groupBy(*by_range).agg(F.max_by(point, "score").alias("_first")).withColumn("_after", F.lead("_first").over(ranges)).drop("_first")
+        t = t.withColumn("_next", F.lead(point).over(w)).join(firsts, by_range).withColumn("_next", F.coalesce("_next", "_after"))
+        t = t.where(F.col("_next").isNull() | (F.col("pos") * F.col("_next.neg") != F.col("neg") * F.col("_next.pos")))
     return t.select(*by, "score", F.try_divide("fp", "_n").alias("fpr"), F.try_divide("tp", "_p").alias("tpr"))
 
 

@@ -120,7 +120,7 @@ def batches(rows: DataFrame, batch_size: int = 32, key: str = "idx", shuffle_see
         return rows.withColumn("batch", F.floor(F.col(key) / batch_size))
     from ..schema import running_total
 
-    ranked = running_total(rows.withColumns({"_h": F.xxhash64(F.lit(shuffle_seed), key), "_one": F.lit(1)}), [], "_h", "_one", "_place", block=1 << 56)
+    ranked = running_total(rows.withColumns({"_h": F.xxhash64(F.lit(shuffle_seed), key), "_one": F.lit(1)}), [], "_h", "_one", "_place", block=1 << 48)
     return ranked.withColumn("batch", F.floor(F.col("_place") / batch_size)).drop("_h", "_one", "_place")
 
 

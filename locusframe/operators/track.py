@@ -205,16 +205,25 @@ def oriented(cells: DataFrame, windows: DataFrame, resolution: int | None, stran
     return out.drop("_ws", "_len")
 
 
-def dense(cells: DataFrame, windows: DataFrame, bins: int, conditions: list[str], strands: int = 1, fill: float = 0.0) -> DataFrame:
-    """(idx, values): each window's cells as a flat array, in the order (bin, strand, condition)."""
+def dense(cells: DataFrame, windows: DataFrame, bins: int, conditions: list[str], strands: int = 1, fill: float | DataFrame = 0.0) -> DataFrame:
+    """(idx, values): each window's cells as a flat array, in the order (bin, strand, condition).
+
+    ``fill`` is what cells that aren't there are: a number, or (condition, background) rows.
+    """
     at = F.create_map(*[x for i, c in enumerate(conditions) for x in (F.lit(c), F.lit(i))]) if conditions else F.lit(None)
     place = (F.col("bin") * strands + F.col("strand")) * len(conditions) + at[F.col("condition")]
     held = cells.where(F.col("condition").isin(conditions) & (F.col("bin") < bins)).select("idx", place.cast("int").alias("_p"), "value")
     packed = held.groupBy("idx").agg(F.map_from_entries(F.collect_list(F.struct("_p", "value"))).alias("_m"))
     size = bins * strands * len(conditions)
-    values = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.element_at("_m", i), F.lit(fill)))
-    empty = F.array_repeat(F.lit(fill), size)
-    return windows.select("idx").join(packed, "idx", "left").select("idx", F.when(F.col("_m").isNull(), empty).otherwise(values).alias("values"))
+    rows = windows.select("idx")
+    if isinstance(fill, DataFrame):
+        known = fill.agg(F.map_from_entries(F.collect_list(F.struct("condition", "background"))).alias("_f"))  # one row
+        rows = rows.crossJoin(F.broadcast(known)).select("idx", F.array(*(F.coalesce(F.element_at("_f", F.lit(c)), F.lit(0.0)) for c in conditions)).alias("_f"))
+    else:
+        rows = rows.withColumn("_f", F.array_repeat(F.lit(float(fill)), len(conditions)))
+    values = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.element_at("_m", i), F.get("_f", F.pmod(i, F.lit(len(conditions))))))
+    empty = F.flatten(F.array_repeat("_f", bins * strands))
+    return rows.join(packed, "idx", "left").select("idx", F.when(F.col("_m").isNull(), empty).otherwise(values).alias("values"))
 
 
 # -- whole tracks
@@ -234,7 +243,7 @@ def moments(track: DataFrame, cells: DataFrame) -> DataFrame:
     n = F.col("end") - F.col("start")
     sums = track.groupBy("condition").agg(F.sum(F.col("value") * n).alias("_s"), F.sum(F.col("value") * F.col("value") * n).alias("_q"))
     mean = F.col("_s") / F.col("cells")
-    sd = F.sqrt((F.col("_q") - F.col("cells") * mean * mean) / (F.col("cells") - 1))
+    sd = F.sqrt(F.greatest(F.lit(0.0), F.try_divide(F.col("_q") - F.col("cells") * mean * mean, F.col("cells") - 1)))
     return sums.crossJoin(F.broadcast(cells)).select("condition", mean.alias("mean"), sd.alias("sd"))  # cells is one row
 
 

@@ -115,7 +115,7 @@ class Windows:
     def shuffled(self) -> Windows:
         """Windows renumbered by a seeded order."""
         order = self.df.withColumn("_h", F.xxhash64(F.lit(self.random_state or 0), "idx"))
-        ranked = running_total(order.withColumn("_one", F.lit(1)), [], "_h", "_one", "_place", block=1 << 56)
+        ranked = running_total(order.withColumn("_one", F.lit(1)), [], "_h", "_one", "_place", block=1 << 48)
         return replace(self, df=ranked.withColumn("idx", F.col("_place").cast("long")).drop("_h", "_one", "_place"))
 
     def where(self, include=None, exclude=None, start: int | None = None, end: int | None = None) -> DataFrame:

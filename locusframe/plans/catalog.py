@@ -142,10 +142,12 @@ def windows_to_bed(spark, sf):
     return w.flanked().select("idx", "chrom", "start", "end", F.lit("-").alias("name"), F.lit("-").alias("score"), "strand")
 
 
-@query()
+@query(sql('SELECT chrom, start, "end", strand, n_places, low, high FROM t, (SELECT count(*) AS n_places, 0 AS low, count(*) - 1 AS high FROM t)', "roi", t=sql_tiles("roi", 100, 100)))
 def windows_shuffled(spark, sf):
-    """A seeded order: rows only."""
-    return _windows(spark, sf, 100, 100, random_state=7).df.select(_TILE)
+    """A seeded order: the same windows, with the places of a permutation (checked as their number and range)."""
+    w = _windows(spark, sf, 100, 100, random_state=7).df
+    places = w.agg(F.count_distinct("idx").alias("n_places"), F.min("idx").alias("low"), F.max("idx").alias("high"))  # one row
+    return w.select("chrom", "start", "end", "strand").crossJoin(F.broadcast(places))
 
 
 # -- interval joins
@@ -340,7 +342,11 @@ def resolution_none(spark, sf):
     return cells.select("idx", F.round("value", 6).alias("value"))
 
 
-@query()
+#: Windows of 500 and the positions of theirs that have a run.
+_SPAN = {"base": _BASE, "genome": _GENOME, "t": sql_tiles("genome", 500, 500), "wpos": 'SELECT idx, chrom, "end" - start AS len, unnest(range(start, "end")) AS p FROM t'}
+
+
+@query(sql("SELECT idx, round(CASE WHEN count(*) < any_value(len) THEN greatest(max(v), 0) - least(min(v), 0) ELSE max(v) - min(v) END, 4) AS value FROM wpos JOIN base USING (chrom, p) GROUP BY idx", "runs", **_SPAN))
 def run_custom_collapser(spark, sf):
     """A user's function over the positions of each bin."""
     cells = track.collapse(track.window_runs(_genome_windows(spark, sf, 500, 500).df, _painted(spark, sf), 256), None, lambda a: a.max(0) - a.min(0))
@@ -505,10 +511,10 @@ def kmer_matrix(spark, sf):
     return per.groupBy("idx", "kmer").agg(F.count("*").alias("n"))
 
 
-@query(sql("SELECT idx, sum(CASE WHEN v = 0 THEN 1 ELSE 0 END)::BIGINT AS n0, sum(CASE WHEN v = 3 THEN 1 ELSE 0 END)::BIGINT AS n3 FROM letters WHERE p < 200 GROUP BY idx", "seqs", letters=_LETTERS))
+@query(sql("SELECT idx, sum(CASE WHEN v = 0 THEN 1 ELSE 0 END)::BIGINT AS n0, sum(CASE WHEN v = 3 THEN 1 ELSE 0 END)::BIGINT AS n3 FROM letters GROUP BY idx", "seqs", letters=_LETTERS))
 def onehot_sum(spark, sf):
-    """Column sums of the one-hot encoding of a sequence's first 200 letters."""
-    hot = Q.one_hot(Q.kmers(F.substring("seq", 1, 200)))
+    """Column sums of the one-hot encoding of whole sequences."""
+    hot = Q.one_hot(Q.kmers(F.col("seq")))
     held = P.sequences(spark, sf).where("seq <> ''").select("idx", hot.alias("h"))
     col = lambda j: F.aggregate("h", F.lit(0).cast("long"), lambda a, r: a + F.get(r, j))
     return held.select("idx", col(0).alias("n0"), col(3).alias("n3"))
@@ -531,11 +537,11 @@ def seq_pad(spark, sf):
     return P.sequences(spark, sf).select("idx", Q.pad(F.col("seq"), 300).alias("seq"))
 
 
-@query(sql("SELECT idx, rpad(substr(seq, CAST(idx % 100 + 1 AS BIGINT), 150), 150, 'N') AS context FROM seqs WHERE length(seq) // 4096 >= (idx % 100) // 4096 AND length(seq) > 0", "seqs"))
+@query(sql("SELECT idx, rpad(substr(seq, CAST(idx * 37 % length(seq) + 1 AS BIGINT), 150), 150, 'N') AS context FROM seqs WHERE length(seq) > 0", "seqs"))
 def seq_window(spark, sf):
-    """150 letters from a place in each sequence, through chunks; N beyond the end."""
+    """150 letters from a place anywhere in each sequence, through chunks; N beyond the end."""
     seqs = P.sequences(spark, sf)
-    rows = seqs.select("idx", "chrom", F.pmod("idx", F.lit(100)).alias("start")).withColumn("end", F.col("start") + 150)
+    rows = seqs.where("seq <> ''").select("idx", "chrom", F.pmod(F.col("idx") * 37, F.length("seq")).cast("long").alias("start")).withColumn("end", F.col("start") + 150)
     return variants.with_context(rows, variants.chunked(seqs.select("chrom", "seq")), "idx").select("idx", "context")
 
 
@@ -625,10 +631,13 @@ def attribution_merge(spark, sf):
     return tensor.max_abs(_cells(spark, sf), ["pos", "condition"]).withColumn("value", F.round("value", 6))
 
 
-@query(sql("SELECT idx, pos * 3 + r AS place, value FROM tens, (SELECT unnest(range(0, 3)) AS r) WHERE strand = 0 AND condition = 0", "tens").replace("pos * 3 + r AS place", "(pos * 3 + r)::INTEGER AS place"))
+@query(sql("SELECT idx, strand, condition, (pos * 3 + r)::INTEGER AS place, value FROM tens, (SELECT unnest(range(0, 3)) AS r)", "tens"))
 def upsample(spark, sf):
-    first = F.filter("values", lambda x, i: F.pmod(i, F.lit(4)) == 0)
-    return P.tensors(spark, sf).select("idx", F.posexplode(tensor.upsample(first, 3)).alias("place", "value"))
+    """Each position three times, for every strand and condition."""
+    cell = lambda k: F.filter("values", lambda x, i: F.pmod(i, F.lit(4)) == k)
+    held = F.array(*(F.struct(F.lit(k // 2).alias("strand"), F.lit(k % 2).alias("condition"), tensor.upsample(cell(k), 3).alias("v")) for k in range(4)))
+    rows = P.tensors(spark, sf).select("idx", F.explode(held).alias("c"))
+    return rows.select("idx", "c.strand", "c.condition", F.posexplode("c.v").alias("place", "value"))
 
 
 @query()
@@ -646,13 +655,14 @@ def random_shift(spark, sf):
     return tensor.random_shift(P.tensors(spark, sf), SHAPE, 4, 3)
 
 
-@query()
+@query(sql("SELECT idx, round(sum(value * (4 * i - 127) / 127), 4) AS p0, round(sum(value * (4 * i - 125) / 127), 4) AS p1 FROM (SELECT idx, value, pos * 4 + strand * 2 + condition AS i FROM tens) GROUP BY idx", "tens"))
 def model_predictions(spark, sf):
     """A linear model over Arrow batches."""
     import numpy as np
 
     weights = np.linspace(-1, 1, 128).reshape(64, 2)
-    return tensor.predict(P.tensors(spark, sf), lambda x: x @ weights, 2)
+    out = tensor.predict(P.tensors(spark, sf), lambda x: x @ weights, 2)
+    return out.select("idx", *(F.round(F.get("prediction", F.lit(k)), 4).alias(f"p{k}") for k in range(2)))
 
 
 # -- variants

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schema import floor_div
+from ..schema import floor_div, spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,18 +46,22 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("value").cast("string").alias("score"), F.lit(".").alias("strand"), F.col("event_id").alias("ord"))
 
 
+def _letters(text):
+    return F.regexp_replace(F.translate(text, "acgt", "ACGT"), "[^ACGT]", "N")
+
+
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequences: documents, in which all letters but a, c, g and t are N."""
-    seq = F.regexp_replace(F.translate(F.coalesce("text", F.lit("")), "acgt", "ACGT"), "[^ACGT]", "N")
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("idx"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("chrom"), seq.alias("seq"), F.col("lang"))
+    return spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("idx"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("chrom"), _letters(F.coalesce("text", F.lit(""))).alias("seq"), F.col("lang"))
 
 
 def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Variants: labelled documents. Each fifth names a wrong reference letter, each seventh has two alternatives."""
-    seqs = sequences(spark, sf_dir).withColumnRenamed("idx", "doc_id")
-    rows = table(spark, sf_dir, "labels").select("doc_id", "quality").join(seqs, "doc_id").where(F.length("seq") > 0)
-    pos = (1 + F.pmod(F.col("doc_id") * 37, F.length("seq"))).cast("long")
-    base = F.substring(F.col("seq"), pos.cast("int"), F.lit(1))
+    # places and letters are read off the texts: only one letter of each is turned into a base
+    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("chrom"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = table(spark, sf_dir, "labels").select("doc_id", "quality").join(docs, "doc_id").where(F.length("text") > 0)
+    pos = (1 + F.pmod(F.col("doc_id") * 37, F.length("text"))).cast("long")
+    base = _letters(F.substring(F.col("text"), pos.cast("int"), F.lit(1)))
     turn = F.translate(base, "ACGTN", "CGTAA")
     ref = F.when(F.col("doc_id") % 5 == 0, turn).otherwise(base)
     return rows.select(

@@ -36,6 +36,15 @@ def require(df: DataFrame, columns: list[str], what: str) -> None:
         raise ValueError(f"{what} lacks {', '.join(missing)}")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt out evenly where its scan has fewer partitions than there are cores, as of a file with few row groups.
+
+    So much is read only where the input is small for the cluster; a larger one is read as it lies, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def running_total(df: DataFrame, by: list[str], order: str, value: str, into: str, block: int = 1 << 16) -> DataFrame:
     """Adds the exclusive running total of ``value`` in the order of a long column.
 

@@ -7,7 +7,7 @@ import json
 import os
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import floor_div
@@ -41,19 +41,24 @@ def write_bed(rows: DataFrame, path: str, by: str | None = "condition") -> None:
     (out.partitionBy(by) if by else out).csv(path, sep="\t")
 
 
-def bedgraph_rows(track: DataFrame) -> DataFrame:
-    """(condition, chrom, start, end, value) summed over strands, where not 0. Runs of one strand don't overlap."""
-    borders = track.select("condition", "chrom", F.explode(F.array("start", "end")).alias("_s")).distinct()
-    from pyspark.sql import Window
-
-    segments = borders.withColumn("_e", F.lead("_s").over(Window.partitionBy("condition", "chrom").orderBy("_s"))).where("_e is not null")
-    if track.select(F.max("strand")).first()[0] in (None, 0):
-        return track.where("value <> 0").select("condition", "chrom", "start", "end", "value")
-    from ..operators.rangejoin import overlap_join
-
-    met = overlap_join(segments.select("condition", "chrom", F.col("_s").alias("start"), F.col("_e").alias("end")), track).where(F.col("condition") == F.col("r_condition"))
-    out = met.groupBy("condition", "chrom", "start", "end").agg(F.sum("r_value").alias("value"))
-    return out.where("value <> 0").select("condition", "chrom", "start", "end", "value")
+def bedgraph_rows(track: DataFrame, bin_size: int = 1 << 20) -> DataFrame:
+    """(condition, chrom, start, end, value) summed over strands, where not 0. Runs of one strand don't overlap.
+
+    Runs are cut at multiples of ``bin_size`` and where the other strand's begin or end: a sort sees one bin's borders.
+    """
+    at = F.explode(F.sequence(floor_div(F.col("start"), bin_size), floor_div(F.col("end") - 1, bin_size))).alias("_bin")
+    cut = track.where("end > start").select("condition", "chrom", "strand", "start", "end", "value", at)
+    cut = cut.withColumns({"start": F.greatest(F.col("start"), F.col("_bin") * bin_size), "end": F.least(F.col("end"), (F.col("_bin") + 1) * bin_size)})
+    cell = ["condition", "chrom", "_bin"]
+    # what each strand is from each border on: the value of what begins there, else 0 where something ends
+    border = lambda at, begins: F.struct(F.col(at).alias("s"), F.col("strand").alias("strand"), F.when(F.lit(begins), F.col("value")).alias("v"))
+    steps = cut.select(*cell, F.explode(F.array(border("start", True), border("end", False))).alias("x"))
+    state = lambda k: F.coalesce(F.max(F.when(F.col("x.strand") == k, F.col("x.v"))), F.max(F.when(F.col("x.strand") == k, F.lit(0.0)))).alias(f"v{k}")
+    steps = steps.groupBy(*cell, F.col("x.s").alias("start")).agg(state(0), state(1))
+    w = Window.partitionBy(*cell).orderBy("start")
+    now = lambda k: F.coalesce(F.last(f"v{k}", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0))
+    out = steps.select("condition", "chrom", "start", F.lead("start").over(w).alias("end"), (now(0) + now(1)).alias("value"))
+    return out.where("end is not null and value <> 0")
 
 
 def write_bedgraph(track: DataFrame, path: str) -> None:

@@ -93,6 +93,45 @@ def test_reads_and_normalisers(spark):
     assert all(r.value == pytest.approx(want[10 * r.idx + r.bin]) for r in z)
 
 
+def zscored(y):
+    sd = np.sqrt(((y - y.mean()) ** 2).sum() / (y.size - 1))
+    return (y - y.mean()) / sd if sd else y * 0
+
+
+def test_background_moves_with_the_normalisers(spark, tmp_path):
+    bed = lambda rows: spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "chrom string, start long, end long, name string, score string, strand string, ord long")
+    features = bed([("chr1", 0, 5, "a", "2", "."), ("chr1", 22, 24, "b", "3", ".")])
+    make = lambda **how: D.Cover.create_from_bed("x", features, conditions=["c"], genomesize={"chr1": 40}, mode="score", **how)
+    y = np.zeros(40)
+    y[:5], y[22:24] = 2, 3
+    roi = [("chr1", 0, 40)]
+    windows = dict(roi=roi, binsize=10, stepsize=10)
+    seen = [0, 1, 2, 3]
+    z = make(normalizer=["zscore"], store_whole_genome=True, **windows)
+    assert z[seen].reshape(-1) == pytest.approx(zscored(y))
+    assert z.interval("chr1", 3, 30)[:, 0, 0] == pytest.approx(zscored(y)[3:30])
+    assert make(normalizer=["zscorelog"], store_whole_genome=True, **windows)[seen].reshape(-1) == pytest.approx(zscored(np.log1p(y)))
+    parts = make(normalizer=["zscore"], **windows)
+    got = parts[seen].reshape(-1)
+    assert got == pytest.approx(zscored(y))
+    assert parts.interval("chr1", 3, 30)[:, 0, 0] == pytest.approx(zscored(y)[3:30])
+    assert {r.condition: r.background for r in parts.background().collect()} == {"c": pytest.approx(zscored(y)[-1])}
+    by5 = np.array([y[i : i + 5].max() for i in range(0, 40, 5)])
+    coarse = make(normalizer=["zscore"], resolution=5, **windows)
+    assert coarse[seen].reshape(-1) == pytest.approx(zscored(by5))
+    whole = make(normalizer=["zscore"], resolution=5, store_whole_genome=True, **windows)
+    assert whole[seen].reshape(-1) == pytest.approx(zscored(by5))
+    constant = D.Cover.create_from_bed("x", bed([("chr1", 0, 40, "a", "7", ".")]), conditions=["c"], genomesize={"chr1": 40}, mode="score", normalizer=["zscore"], **windows)
+    assert (constant[seen] == 0).all()
+    for cover, want in ((coarse, by5), (whole, by5)):
+        rows = {}
+        folder = tmp_path / str(id(cover))
+        cover.export_to_bigwig(str(folder))
+        for r in D.read_bigwig(spark, str(next(folder.iterdir()))).collect():
+            rows.update({p: r.value for p in range(r.start, r.end)})
+        assert [rows[p] for p in range(40)] == pytest.approx(np.repeat(zscored(want), 5), rel=1e-5)
+
+
 def test_arrays_become_covers(spark):
     w = Windows.create_from_file(as_intervals(spark, ROI), 200, 200)
     a = np.random.default_rng(1).integers(0, 9, (100, 4, 2)).astype(float)

@@ -151,3 +151,55 @@ def test_subsets(spark):
         access.subset(df)
     train, test = access.split_train_test([df, df], "chr2")
     assert [x.count() for x in (*train, *test)] == [1, 1, 1, 1] and test[0].first().chrom == "chr2"
+
+
+def test_merging_and_as_of_in_small_bins(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(rng.choice("ab"), s, s + rng.choice([1, 3, 8, 90])) for s in (rng.randrange(2000) for _ in range(150))]
+    df = spark.createDataFrame(rows, "chrom string, start long, end long")
+    for distance in (0, 4):
+        want = []
+        for c, s, e in sorted(rows):
+            if want and want[-1][0] == c and s <= want[-1][2] + distance:
+                want[-1][2] = max(want[-1][2], e)
+            else:
+                want.append([c, s, e])
+        for size in (7, 64, 1 << 20):
+            got = rangejoin.merge_intervals(df, distance, size).collect()
+            assert sorted([r.chrom, r.start, r.end] for r in got) == want
+    asked = spark.createDataFrame([(i, rng.choice("abc"), rng.randrange(2100)) for i in range(200)], "ord long, chrom string, start long")
+    for size in (5, 1 << 16):
+        found = rangejoin.nearest_before(asked, df, "ord", F.col("start"), size).collect()
+        assert len(found) == 200
+        for r in found:
+            before = [s for c, s, _ in rows if c == r.chrom and s <= r.start]
+            assert r.value == (str(max(before)) if before else None)
+
+
+def test_bedgraph_rows_of_two_strands(spark):
+    import random
+
+    from locusframe.sources import sinks
+
+    rng = random.Random(4)
+    rows, value = [], {}
+    for c in "xy":
+        for strand in (0, 1):
+            at = 0
+            while at < 300:
+                s = at + rng.randrange(20)
+                at = s + rng.randint(1, 25)
+                rows.append(("chr1", s, at, strand, c, rng.choice([0.1, 0.7, 2.0, -0.7])))
+    for _, s, e, _, c, v in rows:
+        for p in range(s, e):
+            value[c, p] = value.get((c, p), 0.0) + v
+    track_ = spark.createDataFrame(rows, "chrom string, start long, end long, strand int, condition string, value double")
+    for size in (16, 1 << 20):
+        got = {}
+        for r in sinks.bedgraph_rows(track_, size).collect():
+            for p in range(r.start, r.end):
+                assert (r.condition, p) not in got
+                got[r.condition, p] = r.value
+        assert got == {k: v for k, v in value.items() if v != 0}
