@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from ..schema import spread
 from ..shipping import ship as ship
 
 #: The word separators of every operator here: space, tab, newline, vertical tab, form feed, return.
@@ -18,7 +19,8 @@ SPACE_CLASS = r"[\x20\x09-\x0D]"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table, dealt out to all cores where its files have fewer parts than there are cores."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def partitions(spark: SparkSession) -> int:
