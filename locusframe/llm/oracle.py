@@ -89,12 +89,13 @@ SELECT *, NOT base_failed AND n_words - n_removed >= 0.3 * n_words AS kept FROM
 """
 
 OP10 = rf"""
-WITH l AS (SELECT doc_id, text, unnest(generate_series(1, len(string_split(text, chr(10))))) AS p, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL),
-h AS (SELECT *, CAST('0x' || substr(md5(line), 1, 8) AS BIGINT) AS v FROM l),
-r AS (SELECT *, (v + 31 * coalesce(lag(v) OVER (PARTITION BY doc_id ORDER BY p), 0)) % 3 = 0 AS ends FROM h),
-n AS (SELECT *, coalesce(sum(CASE WHEN ends THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c FROM r),
-k AS (SELECT doc_id, c, string_agg(line, chr(10) ORDER BY p) AS chunk, count(*) FILTER (regexp_matches(line, '{_WORD}')) AS written FROM n GROUP BY doc_id, c),
-f AS (SELECT *, written >= 2 AND row_number() OVER (PARTITION BY chunk, written >= 2 ORDER BY doc_id, c) > 1 AS gone FROM k),
+WITH l AS (SELECT doc_id, unnest(generate_series(1, len(string_split(text, chr(10))))) AS p, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL),
+w AS (SELECT doc_id, p, CAST('0x' || substr(md5(line), 1, 8) AS BIGINT) AS v, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS k, count(*) OVER (PARTITION BY doc_id) AS n FROM l WHERE regexp_matches(line, '{_WORD}')),
+r AS (SELECT *, (v + 31 * coalesce(lag(v) OVER (PARTITION BY doc_id ORDER BY p), 0)) % 2 = 0 AS cuts FROM w),
+e AS (SELECT doc_id, p FROM (SELECT *, lag(cuts) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM r) WHERE k > 1 AND k < n - 1 AND cuts AND (k = 2 OR NOT before)),
+c AS (SELECT l.*, coalesce(sum(CASE WHEN e.p IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY l.doc_id ORDER BY l.p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c FROM l LEFT JOIN e USING (doc_id, p)),
+k AS (SELECT doc_id, c, string_agg(line, chr(10) ORDER BY p) AS chunk, count(*) FILTER (regexp_matches(line, '{_WORD}')) AS written FROM c GROUP BY doc_id, c),
+f AS (SELECT *, written > 0 AND row_number() OVER (PARTITION BY chunk ORDER BY doc_id, c) > 1 AS gone FROM k),
 o AS (SELECT doc_id, coalesce(sum(written) FILTER (gone), 0) AS lost, coalesce(string_agg(chunk, chr(10) ORDER BY c) FILTER (NOT gone), '') AS kept FROM f GROUP BY doc_id)
 SELECT doc_id, CAST(coalesce(lost, 0) AS BIGINT) AS n_removed_lines, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents LEFT JOIN o USING (doc_id)
 """
