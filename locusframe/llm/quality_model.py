@@ -30,6 +30,8 @@ CLASSES[list(range(33))] = 0
 CLASSES[127] = 0
 CLASSES[[b for b in range(256) if b >= 128 or chr(b).isalnum()]] = 1
 
+#: Bytes of texts that are cut into n-grams at once.
+PIECE = 1 << 22
 #: Feature values that training holds at most (12 bytes each).
 MOST_VALUES = 40_000_000
 
@@ -57,7 +59,7 @@ def features(docs: DataFrame, bits: int, order: int = 2, text_col: str = "text")
     def run(batches):
         for b in batches:
             texts = b.column(1)
-            for s, e in spans(texts):
+            for s, e in spans(texts, PIECE):
                 row, feature, value = _values(texts.slice(s, e - s), bits, order)
                 ends = pa.array(np.searchsorted(row, np.arange(e - s + 1)).astype(np.int32))
                 lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (feature.astype(np.int32), value.astype(np.float32))]
@@ -135,7 +137,7 @@ def score(docs: DataFrame, weights: np.ndarray, order: int = 2, text_col: str =
         w = shared.value
         for b in batches:
             texts = b.column(1)
-            for s, e in spans(texts):
+            for s, e in spans(texts, PIECE):
                 row, feature, value = _values(texts.slice(s, e - s), bits, order)
                 dot = np.bincount(row, w[feature] * value, e - s) + w[-1]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(s, e - s).cast(loose(b.column(0).type)), pa.array(1 / (1 + np.exp(-np.clip(dot, -30, 30))))], ["row", "score"])
