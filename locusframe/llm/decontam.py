@@ -173,11 +173,12 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = 13, k: int = 5, s
     With ``cut``, the rows that stay lose the words of their hits.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    whole = docs.select(F.struct(*docs.columns).alias("row"), F.md5(text).alias("of"), text.alias("held"))
+    whole = docs.select(F.struct(*docs.columns).alias("row"), F.md5(text).alias("of"))
+    held = F.coalesce(F.col("row")[text_col].cast("string"), F.lit(""))
     found = _spans(docs, benchmark, window, k, text_col, item_col).select("digest", "spans")
     if share is None:
-        return whole.drop("held").join(found.select("digest").hint("rebalance"), F.col("of") == F.col("digest"), "left_anti").select("row.*")
+        return whole.join(found.select("digest").hint("rebalance"), F.col("of") == F.col("digest"), "left_anti").select("row.*")
     out = whole.join(found.hint("rebalance"), F.col("of") == F.col("digest"), "left")
-    out = out.where(F.col("spans").isNull() | (share * covered(F.col("spans")) < F.size(words_of(F.col("held")))))
-    left = F.when(F.col("spans").isNotNull(), without(F.col("held"), F.col("spans")))
+    out = out.where(F.col("spans").isNull() | (share * covered(F.col("spans")) < F.size(words_of(held))))
+    left = F.when(F.col("spans").isNotNull(), without(held, F.col("spans")))
     return out.select(*(F.coalesce(left, F.col("row")[c]).alias(c) if cut and c == text_col else F.col("row")[c].alias(c) for c in docs.columns))

@@ -61,14 +61,14 @@ def chunked(text: Column, mean_lines: int = 2, window: int = 2) -> Column:
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mean_lines: int = 2, window: int = 2, removed_col: str | None = None) -> DataFrame:
     """``docs`` with repeated chunks taken out of their texts; ``removed_col`` gets the number of written lines that went."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    key = F.md5(F.concat_ws("\x00", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), text))
+    key = F.unhex(F.md5(F.concat_ws("\x00", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), text)))
     rows = docs.select(key.alias("key"), F.col(id_col).alias("id"), text.alias("text"))
 
     places = rows.select("key", "id", F.posexplode(chunked(F.col("text"), mean_lines, window)).alias("place", "c")).where("c.written > 0")
-    places = places.select("key", "place", F.xxhash64("c.text").alias("h"), F.struct("id", "key", "place").alias("spot"))
+    places = places.select(F.xxhash64("c.text").alias("h"), F.struct("id", "key", "place").alias("spot"))
     first = places.groupBy("h").agg(F.min("spot").alias("first"), F.max("spot").alias("last")).where("first <> last").select("h", "first")
     # each right side is rebalanced, so that both sides are shuffled for the join and hot hashes can be split
-    candidates = places.join(first.hint("rebalance"), "h").select("key", "place", "h", (F.col("spot") == F.col("first")).alias("stays"))
+    candidates = places.join(first.hint("rebalance"), "h").select("spot.key", "spot.place", "h", (F.col("spot") == F.col("first")).alias("stays"))
     listed = candidates.groupBy("key").agg(F.collect_set(F.struct("place", "h", "stays")).alias("spots"))
 
     # chunks are made once a text, within the generator
@@ -84,8 +84,9 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         lost = F.aggregate("gone", F.lit(0), lambda a, i: a + F.get(chunks, i)["written"])
         return F.struct(F.array_join(F.transform(left, lambda c: c["text"]), "\n").alias("text"), lost.alias("lost"))
 
-    whole = docs.select(F.struct(*docs.columns).alias("row"), key.alias("of"), text.alias("held"))
-    made = F.when(F.col("gone").isNotNull(), let(chunked(F.col("held"), mean_lines, window), rebuilt))
+    whole = docs.select(F.struct(*docs.columns).alias("row"), key.alias("of"))
+    held = F.coalesce(F.col("row")[text_col].cast("string"), F.lit(""))
+    made = F.when(F.col("gone").isNotNull(), let(chunked(held, mean_lines, window), rebuilt))
     out = whole.join(gone, F.col("of") == F.col("key"), "left").select("row", made.alias("made"))
     columns = [F.coalesce("made.text", F.col("row")[c]).alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns if c != removed_col]
     if removed_col:
