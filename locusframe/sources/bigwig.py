@@ -6,13 +6,16 @@ import struct
 import zlib
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..shipping import ship
+from .ranged import by_ranges, load, located, open_at, options
 
 SCHEMA = "chrom string, start long, end long, value double"
+FILE_SCHEMA = SCHEMA + ", file string"
 MAGIC, TREE, INDEX = 0x888FFC26, 0x78CA8C91, 0x2468ACE0
 BLOCKS = 2000
 
@@ -40,43 +43,54 @@ def _leaves(f, at: int, key: int) -> Iterator[tuple[int, tuple[str, int]]]:
             yield from _leaves(f, struct.unpack("<Q", r[key:])[0], key)
 
 
-def data_blocks(f, index: int) -> list[tuple[int, int]]:
-    """(offset, size) of all data blocks, in order."""
+def data_blocks(f, index: int, near: list[tuple[int, int, int]] | None = None) -> list[tuple[int, int]]:
+    """(offset, size) of the data blocks, in order: of all, or of those that meet (chrom id, start, end) regions.
+
+    Branches of the index that no region meets aren't followed.
+    """
     out, nodes = [], [index + 48]
+    near = None if near is None else sorted(near)
+
+    def met(low: tuple[int, int], high: tuple[int, int]) -> bool:
+        return near is None or any((c, e) > low and (c, s) < high for c, s, e in near)
+
     while nodes:
         f.seek(nodes.pop())
         leaf, _, n = struct.unpack("<BBH", f.read(4))
         rows = [f.read(32 if leaf else 24) for _ in range(n)]
-        if leaf:
-            out += [struct.unpack("<QQ", r[16:]) for r in rows]
-        else:
-            nodes += [struct.unpack("<Q", r[16:])[0] for r in rows]
+        for r in rows:
+            first, start, last, end = struct.unpack("<IIII", r[:16])
+            if met((first, start), (last, end)):
+                if leaf:
+                    out.append(struct.unpack("<QQ", r[16:]))
+                else:
+                    nodes.append(struct.unpack("<Q", r[16:])[0])
     return sorted(out)
 
 
-def block_runs(data: bytes, chroms: dict[int, tuple[str, int]]) -> Iterator[tuple[str, int, int, float]]:
-    """The runs of one data block, of any of its three kinds."""
+def block_arrays(data: bytes) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """(chrom id, starts, ends, values) of one data block, of any of its three kinds."""
     ident, start, _, step, span, kind, _, n = struct.unpack_from("<IIIIIBBH", data)
-    name = chroms[ident][0]
-    for i in range(n):
-        if kind == 1:
-            s, e, v = struct.unpack_from("<IIf", data, 24 + 12 * i)
-        elif kind == 2:
-            s, v = struct.unpack_from("<If", data, 24 + 8 * i)
-            e = s + span
-        else:
-            (v,) = struct.unpack_from("<f", data, 24 + 4 * i)
-            s = start + i * step
-            e = s + span
-        yield name, s, e, float(v)
+    fields = {1: [("s", "<u4"), ("e", "<u4"), ("v", "<f4")], 2: [("s", "<u4"), ("v", "<f4")], 3: [("v", "<f4")]}[kind]
+    rows = np.frombuffer(data, np.dtype(fields), n, 24)
+    starts = rows["s"].astype(np.int64) if kind < 3 else start + step * np.arange(n, dtype=np.int64)
+    return ident, starts, rows["e"].astype(np.int64) if kind == 1 else starts + span, rows["v"].astype(np.float64)
 
 
-def runs(f, some: list[tuple[int, int]] | None = None) -> Iterator[tuple[str, int, int, float]]:
+def block_runs(data: bytes, chroms: dict[int, tuple[str, int]]) -> Iterator[tuple[str, int, int, float]]:
+    """The runs of one data block."""
+    ident, *arrays = block_arrays(data)
+    return ((chroms[ident][0], *r) for r in zip(*(a.tolist() for a in arrays)))
+
+
+def block_parts(f, some: list[tuple[int, int]] | None = None) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray]]:
+    """(chrom, starts, ends, values) of each data block."""
     chroms, index, packed = header(f)
     for at, size in some if some is not None else data_blocks(f, index):
         f.seek(at)
         raw = f.read(size)
-        yield from block_runs(zlib.decompress(raw) if packed else raw, chroms)
+        ident, *arrays = block_arrays(zlib.decompress(raw) if packed else raw)
+        yield chroms[ident][0], *arrays
 
 
 class _Part(InputPartition):
@@ -85,17 +99,30 @@ class _Part(InputPartition):
 
 
 class BigWigReader(DataSourceReader):
-    def __init__(self, path: str, size: int):
-        self.path, self.size = path, size
+    def __init__(self, files: list[tuple[str, int]], size: int, regions: list[tuple[str, int, int]] | None = None):
+        self.files, self.size, self.regions = files, size, regions
 
     def partitions(self):
-        with open(self.path, "rb") as f:
-            held = data_blocks(f, header(f)[1])
-        return [_Part(self.path, held[i : i + self.size]) for i in range(0, len(held), self.size)] or [_Part(self.path, [])]
+        out = []
+        for path, _ in self.files:
+            with open_at(path) as f:
+                chroms, index, _ = header(f)
+                ids = {name: i for i, (name, _) in chroms.items()}
+                near = None if self.regions is None else [(ids[c], s, e) for c, s, e in self.regions if c in ids]
+                held = data_blocks(f, index, near)
+            out += [_Part(path, held[i : i + self.size]) for i in range(0, len(held), self.size)]
+        return out or [_Part("", [])]
 
     def read(self, partition):
-        with open(partition.path, "rb") as f:
-            yield from runs(f, partition.some)
+        import pyarrow as pa
+
+        if not partition.some:
+            return
+        with open_at(partition.path) as f:
+            for name, *arrays in block_parts(f, partition.some):
+                n = len(arrays[0])
+                columns = [pa.array([name] * n, pa.string()), *map(pa.array, arrays), pa.array([partition.path] * n, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=["chrom", "start", "end", "value", "file"])
 
 
 class BigWigDataSource(DataSource):
@@ -106,14 +133,19 @@ class BigWigDataSource(DataSource):
         return "bigwig"
 
     def schema(self):
-        return SCHEMA
+        return FILE_SCHEMA
 
     def reader(self, schema):
-        return BigWigReader(self.options["path"].removeprefix("file://"), int(self.options.get("blocks", BLOCKS)))
+        files, regions = options(self.options)
+        return BigWigReader(files, int(self.options.get("blocks", BLOCKS)), regions)
+
 
+def read_bigwig(spark: SparkSession, path: str | list[str], nan_to_num: bool = True, regions: list[tuple[str, int, int]] | None = None) -> DataFrame:
+    """Runs of BIGWIG files, with their file; NaN becomes 0 unless told otherwise.
 
-def read_bigwig(spark: SparkSession, path: str | list[str], nan_to_num: bool = True) -> DataFrame:
-    """Runs of BIGWIG files in any store, with their file; NaN becomes 0 unless told otherwise."""
+    Files are read by data blocks, of which those that meet no region are left out; in a store that neither Python nor
+    pyarrow opens, each file is one value in one task (2 GB at most).
+    """
 
     def run(batches):
         import io
@@ -122,14 +154,29 @@ def read_bigwig(spark: SparkSession, path: str | list[str], nan_to_num: bool = T
 
         for pdf in batches:
             for name, content in zip(pdf["path"], pdf["content"]):
-                yield pd.DataFrame(list(runs(io.BytesIO(content))), columns=["chrom", "start", "end", "value"]).astype({"chrom": object, "start": "int64", "end": "int64", "value": float}).assign(file=name)
-
-    ship(spark)
-    out = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, SCHEMA + ", file string")
+                for chrom, starts, ends, values in block_parts(io.BytesIO(content)):
+                    yield pd.DataFrame({"chrom": chrom, "start": starts, "end": ends, "value": values, "file": name})
+
+    files = located(spark, path)
+    if by_ranges(files):
+        out = load(spark, BigWigDataSource, files, regions)
+    else:
+        ship(spark)
+        out = spark.read.format("binaryFile").load([p for p, _ in files]).select("path", "content").mapInPandas(run, FILE_SCHEMA)
     return out.withColumn("value", F.when(F.isnan("value"), 0.0).otherwise(F.col("value"))) if nan_to_num else out
 
 
 def bigwig_sizes(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(chrom, length, ord) of the files' headers."""
+    files = located(spark, path)
+    if by_ranges(files):
+        held = []
+        for p, _ in files:
+            with open_at(p) as f:
+                held += [(c, n, i) for i, (c, n) in sorted(header(f)[0].items())]
+        rows = spark.createDataFrame(held, "chrom string, length long, ord long")  # a row a chromosome and file
+        return rows.groupBy("chrom").agg(F.max("length").alias("length"), F.min("ord").alias("ord"))
+
     def run(batches):
         import io
 
@@ -140,12 +187,12 @@ def bigwig_sizes(spark: SparkSession, path: str | list[str]) -> DataFrame:
                 yield pd.DataFrame([(c, n, i) for i, (c, n) in sorted(header(io.BytesIO(content))[0].items())], columns=["chrom", "length", "ord"])
 
     ship(spark)
-    rows = spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "chrom string, length long, ord long")
+    rows = spark.read.format("binaryFile").load([p for p, _ in files]).select("content").mapInPandas(run, "chrom string, length long, ord long")
     return rows.groupBy("chrom").agg(F.max("length").alias("length"), F.min("ord").alias("ord"))
 
 
 def write_bigwig(f, sizes: list[tuple[str, int]], rows: Iterable[tuple[str, int, int, float]], items: int = 1024) -> None:
-    """Writes runs in order of chromosome name and start; one index level, no zoom levels. Only the index is held."""
+    """Writes runs in order of chromosome name and start; an index of as many levels as it takes, no zoom levels. Only the index is held."""
     chroms = sorted(sizes)
     ids = {c: i for i, (c, _) in enumerate(chroms)}
     key = max((len(c) for c, _ in chroms), default=1)
@@ -171,23 +218,25 @@ def write_bigwig(f, sizes: list[tuple[str, int]], rows: Iterable[tuple[str, int,
         held.append(r)
     flush()
     per = 512
-    groups = [index[i : i + per] for i in range(0, len(index), per)] or [[]]
-    bounds = lambda g: (g[0][0], g[0][1], g[-1][0], max((x[2] for x in g if x[0] == g[-1][0]), default=0)) if g else (0, 0, 0, 0)
-    f.write(struct.pack("<IIQIIIIQII", INDEX, per, len(index), *bounds(index), at, items, 0))
-    leaf_at = at + 48
-    if len(groups) > 1:
-        levels = [[(bounds(g), 0) for g in groups]]
-        while len(levels[-1]) > 1 and len(levels[-1]) > per:
-            raise ValueError("too many blocks for one index: write longer blocks")
-        root = 4 + 24 * len(groups)
-        place = leaf_at + root
-        body = struct.pack("<BBH", 0, 0, len(groups))
-        for g in groups:
-            body += struct.pack("<IIIIQ", *bounds(g), place)
-            place += 4 + 32 * len(g)
-        f.write(body)
-    for g in groups:
-        f.write(struct.pack("<BBH", 1, 0, len(g)) + b"".join(struct.pack("<IIIIQQ", c, s, c, e, a, n) for c, s, e, a, n in g))
+    # each level is a list of nodes, and each node a list of (first chrom, start, last chrom, end, place and size or node)
+    span = lambda g: (g[0][0], g[0][1], g[-1][2], max((x[3] for x in g if x[2] == g[-1][2]), default=0)) if g else (0, 0, 0, 0)
+    cut = lambda x: [x[i : i + per] for i in range(0, len(x), per)]
+    levels = [cut([(c, s, c, e, a, n) for c, s, e, a, n in index]) or [[]]]
+    while len(levels[-1]) > 1:
+        levels.append(cut([span(g) for g in levels[-1]]))
+    f.write(struct.pack("<IIQIIIIQII", INDEX, per, len(index), *span(levels[-1][0]), at, items, 0))
+    place = at + 48
+    for i in range(len(levels) - 1, 0, -1):
+        below = iter(levels[i - 1])
+        place += sum(4 + 24 * len(g) for g in levels[i])
+        child = place
+        for g in levels[i]:
+            f.write(struct.pack("<BBH", 0, 0, len(g)))
+            for x in g:
+                f.write(struct.pack("<IIIIQ", *x, child))
+                child += 4 + (32 if i == 1 else 24) * len(next(below))
+    for g in levels[0]:
+        f.write(struct.pack("<BBH", 1, 0, len(g)) + b"".join(struct.pack("<IIIIQQ", *x) for x in g))
     f.seek(0)
     f.write(struct.pack("<IHHQQQHHQQIQ", MAGIC, 4, 0, 64, data_at, at, 0, 0, 0, 0, 1 << 15, 0))
     f.seek(data_at)

@@ -6,6 +6,7 @@ import io
 import random
 import struct
 import zlib
+from pathlib import Path
 
 import pytest
 
@@ -104,13 +105,59 @@ def test_bam(spark, alignments):
     assert view(bam.read_bam(spark, path)) == want
     assert [(r.chrom, r.length) for r in bam.bam_sizes(spark, path).orderBy("ord").collect()] == REFS
     for split in (1, 3000, 1 << 30):  # every record once, wherever the file is cut
-        reader = bam.BamReader(path, split)
+        reader = bam.BamReader([(path, Path(path).stat().st_size)], split)
         parts = reader.partitions()
-        assert sorted(r[-1] for p in parts for r in reader.read(p)) == sorted(r[0] for r in rows), split
+        assert sorted(r[-2] for p in parts for r in reader.rows(p)) == sorted(r[0] for r in rows), split
     spark.dataSource.register(bam.BamDataSource)
     assert view(spark.read.format("bam").option("split", 9000).load(path)) == want
 
 
+def bai_file(data):
+    """An index that files every record of a BAM file under its smallest bin, without a linear index."""
+    f = io.BytesIO(data)
+    refs, block_at, place = bam.header(f)
+    text, bounds = b"", []
+    for offset, part in bam.blocks(f, block_at):
+        bounds.append((offset, len(text)))
+        text += part
+    voffset = lambda at: next(o << 16 | (at - b) for o, b in reversed(bounds) if b <= at)
+    bins, at = [{} for _ in refs], place
+    while at < len(text):
+        size = struct.unpack_from("<i", text, at)[0]
+        row = bam.record(text, at, refs)
+        start, end = row[1], row[2]
+        bin_of = next((((1 << 3 * n) - 1) // 7 + (start >> k) for n, k in ((5, 14), (4, 17), (3, 20), (2, 23), (1, 26)) if start >> k == (end - 1) >> k), 0)
+        bins[[c for c, _ in refs].index(row[0])].setdefault(bin_of, []).append((voffset(at), voffset(min(at + 4 + size, len(text) - 1))))
+        at += 4 + size
+    out = b"BAI\1" + struct.pack("<i", len(refs))
+    for held in bins:
+        out += struct.pack("<i", len(held))
+        for ident, chunks in held.items():
+            out += struct.pack("<Ii", ident, len(chunks)) + b"".join(struct.pack("<QQ", *c) for c in chunks)
+        out += struct.pack("<i", 0)
+    return out
+
+
+def test_bam_index(spark, tmp_path):
+    rows = sorted(((f"r{i}", i % 2, 37 * i, 9, 0, [(30, 0)], 30, -1, -1, 0) for i in range(1000)), key=lambda r: r[1:3])
+    path = tmp_path / "x.bam"
+    path.write_bytes(bam_file(rows))
+    (tmp_path / "x.bam.bai").write_bytes(bai_file(path.read_bytes()))
+    regions = [("chr1", 0, 500), ("chr2", 20_000, 20_100)]
+    near = lambda start, end, chrom: any(c == chrom and s < end and e > start for c, s, e in regions)
+    want = sorted(r[0] for r in rows if near(r[2], r[2] + 30, REFS[r[1]][0]))
+    for split in (300, 1 << 20):
+        reader = bam.BamReader([(str(path), path.stat().st_size)], split, regions)
+        read = [r for p in reader.partitions() for r in reader.rows(p)]
+        assert sorted(r[-2] for r in read if near(r[1], r[2], r[0])) == want and len({r[-2] for r in read}) == len(read)
+        assert len(want) <= len(read) < 1000
+    got = bam.read_bam(spark, str(path), regions).collect()
+    assert sorted(r.name for r in got if near(r.reference_start, r.reference_end, r.chrom)) == want and len(got) < 1000
+    assert bam.read_bam(spark, str(path), []).count() == 0 and bam.read_bam(spark, str(tmp_path / "*.bam")).count() == 1000
+    with pytest.raises(FileNotFoundError):
+        bam.read_bam(spark, str(tmp_path / "none.bam"))
+
+
 def test_bad_bam():
     with pytest.raises(ValueError):
         bam.header(io.BytesIO(b"not a bam file at all"))
@@ -137,6 +184,21 @@ def test_bigwig_round_trip(spark, tmp_path):
     assert rows(spark.read.format("bigwig").option("blocks", 100).load(str(path))) == want
 
 
+def test_bigwig_index_levels_and_regions(spark, tmp_path):
+    n = 512 * 512 + 700  # more blocks than two levels of the index hold
+    path = tmp_path / "x.bw"
+    with open(path, "wb") as f:
+        bigwig.write_bigwig(f, [("a", 10 * n)], (("a", 10 * i, 10 * i + 5, float(i % 7 + 1)) for i in range(n)), items=1)
+    with open(path, "rb") as f:
+        index = bigwig.header(f)[1]
+        assert len(bigwig.data_blocks(f, index)) == n
+        assert len(bigwig.data_blocks(f, index, [(0, 1000, 2000), (0, 2_000_001, 2_000_002)])) == 101
+    rows = bigwig.read_bigwig(spark, str(path), regions=[("a", 1000, 1020), ("b", 0, 9)]).orderBy("start").collect()
+    assert [(r.start, r.end, r.value) for r in rows] == [(1000, 1005, 3.0), (1010, 1015, 4.0)]
+    reader = bigwig.BigWigReader([(str(path), path.stat().st_size)], 5000)
+    assert len(reader.partitions()) == -(-n // 5000)
+
+
 def test_bigwig_block_kinds():
     head = lambda kind, n: struct.pack("<IIIIIBBH", 0, 100, 200, 10, 5, kind, 0, n)
     chroms = {0: ("c", 500)}
