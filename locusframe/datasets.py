@@ -6,6 +6,8 @@ the few windows that a caller wants as an array.
 
 from __future__ import annotations
 
+import hashlib
+import warnings
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
@@ -17,7 +19,7 @@ from .functions import sequence as Q
 from .operators import access, normalize, tensor, track, variants
 from .operators.windows import Windows, genome_size
 from .schema import ceil_div, floor_div
-from .sources import sinks
+from .sources import ranged, sinks
 from .sources.bam import bam_sizes, read_bam
 from .sources.bigwig import bigwig_sizes, read_bigwig
 from .sources.fasta import fixed_length, read_fasta, sizes as fasta_sizes
@@ -75,6 +77,40 @@ def _windows(roi, binsize, stepsize, flank, resolution, zero_padding, random_sta
     return Windows.create_from_file(regions, binsize, stepsize, flank, zero_padding, resolution is None, random_state)
 
 
+#: Parameters of array stores, which tables don't need: taken, without effect.
+NEEDLESS = {"storage", "dtype", "verbose"}
+
+
+@dataclass(frozen=True)
+class Cache:
+    """Where a dataset's table is kept: ``cache`` is True (the output folder), a folder that all executors see, or False.
+
+    A table is made anew where its files or parameters differ, or with ``overwrite``; ``datatags`` name subfolders.
+    """
+
+    folder: str | None
+    overwrite: bool = False
+
+    @classmethod
+    def of(cls, name: str, more: dict) -> Cache:
+        if unknown := more.keys() - NEEDLESS - {"cache", "overwrite", "datatags"}:
+            raise TypeError(f"unknown parameters: {', '.join(sorted(unknown))}")
+        _checked_name(name)
+        where, tags = more.get("cache", False), more.get("datatags") or [name]
+        root = sinks.output_folder() if where is True else where
+        return cls("/".join([root, "datasets", *([tags] if isinstance(tags, str) else tags)]) if where else None, bool(more.get("overwrite")))
+
+    def table(self, sources: list, parts: dict, make: Callable[[], DataFrame]) -> DataFrame:
+        """What ``make`` gives, or the table kept for the same files, bytes of arrays and parameters."""
+        if self.folder is None:
+            return make()
+        if any(isinstance(s, DataFrame) for s in sources):
+            raise ValueError("a DataFrame's rows can't be told from changed ones: write it, or leave out cache")
+        paths = lambda s: isinstance(s, str) or isinstance(s, (list, tuple)) and all(isinstance(x, str) for x in s)
+        held = [ranged.stamps(_session(), s) if paths(s) else s for s in sources]
+        return sinks.cached(_session(), self.folder, sinks.cache_key(parts, held), make, self.overwrite)
+
+
 @dataclass(frozen=True)
 class Cover(Dataset):
     """Signal per window, bin, strand and condition."""
@@ -93,6 +129,8 @@ class Cover(Dataset):
     only_overlapping: bool = False
     padding_value: float = 0.0
     tail: str = "cycle"
+    #: What reads the signal near windows, where files can be read in part.
+    source: Callable[[Windows], DataFrame] | None = None
 
     def __post_init__(self):
         _checked_name(self.name)
@@ -106,36 +144,54 @@ class Cover(Dataset):
     # -- sources
 
     @classmethod
-    def create_from_bam(cls, name, bamfiles, roi=None, genomesize=None, conditions=None, min_mapq=None, binsize=None, stepsize=None, flank=0, resolution=1, stranded=True, pairedend="5prime", template_extension=0, normalizer=None, zero_padding=True, random_state=None, store_whole_genome=False, reads: DataFrame | None = None, **_):
-        """Read counts of BAM files, or of a table of ``reads`` with a condition column. ``template_extension`` has no effect."""
-        spark, files = _session(), None if reads is not None else check_files(bamfiles)
+    def create_from_bam(cls, name, bamfiles, roi=None, genomesize=None, conditions=None, min_mapq=None, binsize=None, stepsize=None, flank=0, resolution=1, stranded=True, pairedend="5prime", template_extension=0, normalizer=None, zero_padding=True, random_state=None, store_whole_genome=False, reads: DataFrame | None = None, **more):
+        """Read counts of BAM files, or of a table of ``reads`` with a condition column. ``template_extension`` has no effect.
+
+        Of indexed files only the windows' chromosomes are read: a read may count far away, at the end of its pair.
+        """
+        spark, files, cache = _session(), None if reads is not None else check_files(bamfiles), Cache.of(name, more)
+        if template_extension:
+            warnings.warn("template_extension has no effect: reads count wherever they lie", stacklevel=2)
         if reads is None:
             conditions = list(conditions or map(stem, files))
-            parts = [read_bam(spark, f).withColumn("condition", F.lit(c)) for f, c in zip(files, conditions)]
-            reads = parts[0]
-            for p in parts[1:]:
-                reads = reads.unionByName(p)
         sizes = _sizes(genomesize) if genomesize is not None else bam_sizes(spark, files) if files else None
-        signal = track.read_track(reads, F.col("condition"), min_mapq, pairedend, stranded, None if store_whole_genome else sizes, flank)
+
+        def signal_near(near: Windows | None) -> DataFrame:
+            held = reads
+            if held is None:
+                chroms = None if near is None else [(c, 0, 1 << 29) for (c,) in near.df.select("chrom").distinct().collect()]  # a row a chromosome
+                held = _united([read_bam(spark, f, chroms).withColumn("condition", F.lit(c)) for f, c in zip(files, conditions)])
+            return track.read_track(held, F.col("condition"), min_mapq, pairedend, stranded, None if store_whole_genome else sizes, flank)
+
         windows = _windows(roi, binsize, stepsize, flank, resolution, zero_padding, random_state, sizes if store_whole_genome else None)
-        return cls(name, signal, windows, tuple(conditions), resolution, "sum", stranded, _names(normalizer), sizes, store_whole_genome)
+        part = reads is None and cache.folder is None and not store_whole_genome and windows is not None
+        parts = {"of": "bam", "conditions": list(conditions), "mapq": min_mapq, "pairs": pairedend, "stranded": stranded, "whole": store_whole_genome, "flank": flank}
+        if cache.folder and sizes is not None:
+            parts["sizes"] = sorted(map(tuple, sizes.select("chrom", "length").collect()))  # a row a chromosome
+        signal = signal_near(windows) if part else cache.table(files if reads is None else [reads], parts, lambda: signal_near(None))
+        return cls(name, signal, windows, tuple(conditions), resolution, "sum", stranded, _names(normalizer), sizes, store_whole_genome, source=signal_near if part else None)
 
     @classmethod
-    def create_from_bigwig(cls, name, bigwigfiles, roi=None, genomesize=None, conditions=None, binsize=None, stepsize=None, resolution=1, flank=0, collapser=None, normalizer=None, zero_padding=True, random_state=None, store_whole_genome=False, nan_to_num=True, **_):
-        spark, files = _session(), check_files(bigwigfiles)
+    def create_from_bigwig(cls, name, bigwigfiles, roi=None, genomesize=None, conditions=None, binsize=None, stepsize=None, resolution=1, flank=0, collapser=None, normalizer=None, zero_padding=True, random_state=None, store_whole_genome=False, nan_to_num=True, **more):
+        """Signal of BIGWIG files, of which only blocks near the windows are read unless the whole genome is stored."""
+        spark, files, cache = _session(), check_files(bigwigfiles), Cache.of(name, more)
         conditions = list(conditions or map(stem, files))
-        signal = None
-        for f, c in zip(files, conditions):
-            one = read_bigwig(spark, f, nan_to_num).select("chrom", "start", "end", F.lit(0).alias("strand"), F.lit(c).alias("condition"), "value")
-            signal = one if signal is None else signal.unionByName(one)
+
+        def signal_near(near: Windows | None) -> DataFrame:
+            regions = None if near is None else ranged.reach(near.flanked())
+            one = lambda f, c: read_bigwig(spark, f, nan_to_num, regions).select("chrom", "start", "end", F.lit(0).alias("strand"), F.lit(c).alias("condition"), "value")
+            return _united([one(f, c) for f, c in zip(files, conditions)])
+
         sizes = _sizes(genomesize) if genomesize is not None else bigwig_sizes(spark, files)
         windows = _windows(roi, binsize, stepsize, flank, resolution, zero_padding, random_state, sizes if store_whole_genome else None)
-        return cls(name, signal, windows, tuple(conditions), resolution, collapser or "mean", False, _names(normalizer), sizes, store_whole_genome)
+        part = cache.folder is None and not store_whole_genome and windows is not None
+        signal = signal_near(windows) if part else cache.table(files, {"of": "bigwig", "conditions": conditions, "nan": nan_to_num}, lambda: signal_near(None))
+        return cls(name, signal, windows, tuple(conditions), resolution, collapser or "mean", False, _names(normalizer), sizes, store_whole_genome, source=signal_near if part else None)
 
     @classmethod
-    def create_from_bed(cls, name, bedfiles, roi=None, genomesize=None, conditions=None, binsize=None, stepsize=None, resolution=1, flank=0, mode="binary", collapser=None, normalizer=None, minoverlap=None, zero_padding=True, random_state=None, store_whole_genome=False, **_):
+    def create_from_bed(cls, name, bedfiles, roi=None, genomesize=None, conditions=None, binsize=None, stepsize=None, resolution=1, flank=0, mode="binary", collapser=None, normalizer=None, minoverlap=None, zero_padding=True, random_state=None, store_whole_genome=False, **more):
         """Features as signal; modes 'binary', 'score', 'bedgraph', 'categorical' or 'score_category', and 'name_category'."""
-        spark = _session()
+        spark, cache = _session(), Cache.of(name, more)
         files = [bedfiles] if isinstance(bedfiles, DataFrame) else check_files(bedfiles)
         read = lambda f: as_intervals(spark, f) if isinstance(f, DataFrame) else (read_bedgraph if mode == "bedgraph" else read_bed)(spark, f)
         features = [read(f) for f in files]
@@ -148,17 +204,16 @@ class Cover(Dataset):
             if len(features) > 1 and conditions is None:
                 raise ValueError("categories are taken from a single file: give conditions")
             conditions = list(conditions or track.categories(features[0], mode))
-        signal = None
-        for f, c in zip(features, conditions if plain else [None] * len(features)):
-            one = track.feature_track(f, mode, c or "signal", None if plain else conditions)
-            signal = one if signal is None else signal.unionByName(one)
+        made = lambda: _united([track.feature_track(f, mode, c or "signal", None if plain else conditions) for f, c in zip(features, conditions if plain else [None] * len(features))])
+        signal = cache.table(files, {"of": "bed", "conditions": conditions, "mode": mode}, made)
         sizes = _sizes(genomesize) if genomesize is not None else genome_size(features[0] if len(features) == 1 else features[0].unionByName(features[1], allowMissingColumns=True))
         windows = _windows(roi, binsize, stepsize, flank, resolution, zero_padding, random_state, sizes if store_whole_genome else None)
         return cls(name, signal, windows, tuple(conditions), resolution, collapser or "max", False, _names(normalizer), sizes, store_whole_genome, minoverlap, True)
 
     @classmethod
-    def create_from_array(cls, name, array, gindexer: Windows, genomesize=None, conditions=None, resolution=None, padding_value=0.0, store_whole_genome=False, **_):
+    def create_from_array(cls, name, array, gindexer: Windows, genomesize=None, conditions=None, resolution=None, padding_value=0.0, store_whole_genome=False, **more):
         """Values (windows, positions[, strands], conditions) of windows."""
+        cache = Cache.of(name, more)
         a = np.asarray(array, float)
         n = len(gindexer)
         if len(a) != n:
@@ -176,7 +231,9 @@ class Cover(Dataset):
         rows = spark.createDataFrame([(i, list(map(float, x.reshape(-1)))) for i, x in enumerate(a)], "idx long, values array<double>")
         names = F.array(*map(F.lit, conditions))
         cells = tensor.unstack(rows, a.shape[1:]).select("idx", F.col("pos").cast("long").alias("bin"), "strand", F.get(names, F.col("condition")).alias("condition"), "value")
-        signal = track.from_windows(cells, gindexer.flanked(), resolution)
+        parts = {"of": "array", "conditions": conditions, "resolution": resolution, "shape": a.shape}
+        places = [] if cache.folder is None else [tuple(map(str, r)) for r in gindexer.flanked().select("idx", "chrom", "start", "end", "strand").orderBy("idx").collect()]  # as long as the array
+        signal = cache.table([hashlib.sha256(a.tobytes()).hexdigest().encode(), places], parts, lambda: track.from_windows(cells, gindexer.flanked(), resolution))
         return cls(name, signal, gindexer, tuple(conditions), resolution, "mean", strands == 2, (), genome_size(gindexer.df.withColumn("ord", F.col("idx"))), store_whole_genome, padding_value=padding_value)
 
     # -- data
@@ -188,7 +245,7 @@ class Cover(Dataset):
         return self.windows
 
     def with_windows(self, windows: Windows) -> Cover:
-        return replace(self, windows=windows)
+        return replace(self, windows=windows, signal=self.source(windows) if self.source else self.signal)
 
     @property
     def strands(self) -> int:
@@ -328,6 +385,13 @@ class Cover(Dataset):
         sinks.write_bigwigs(signal, self.sizes, folder, self.name)
 
 
+def _united(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
+
+
 def _names(normalizer) -> tuple:
     return () if not normalizer else tuple(normalizer) if isinstance(normalizer, (list, tuple)) else (normalizer,)
 
@@ -355,17 +419,17 @@ class Bioseq(Dataset):
         Q.alphabet(self.seqtype)
 
     @classmethod
-    def create_from_refgenome(cls, name, refgenome, roi=None, binsize=None, stepsize=None, flank=0, order=1, store_whole_genome=False, zero_padding=True, random_state=None, **_):
+    def create_from_refgenome(cls, name, refgenome, roi=None, binsize=None, stepsize=None, flank=0, order=1, store_whole_genome=False, zero_padding=True, random_state=None, **more):
         if roi is None and not store_whole_genome:
             raise ValueError("regions are needed unless the whole genome is stored")
-        seqs = refgenome if isinstance(refgenome, DataFrame) else read_fasta(_session(), refgenome)
+        seqs = Cache.of(name, more).table([refgenome], {"of": "fasta"}, lambda: refgenome if isinstance(refgenome, DataFrame) else read_fasta(_session(), refgenome))
         windows = _windows(roi, binsize, stepsize, flank, 1, zero_padding, random_state, fasta_sizes(seqs))
         return cls(name, seqs, windows, order, "dna", store_whole_genome)
 
     @classmethod
-    def create_from_seq(cls, name, fastafile, seqtype="dna", order=1, fixedlen=None, **_):
+    def create_from_seq(cls, name, fastafile, seqtype="dna", order=1, fixedlen=None, **more):
         """Each sequence of a file is a region of its own."""
-        seqs = fastafile if isinstance(fastafile, DataFrame) else read_fasta(_session(), fastafile)
+        seqs = Cache.of(name, more).table([fastafile], {"of": "fasta"}, lambda: fastafile if isinstance(fastafile, DataFrame) else read_fasta(_session(), fastafile))
         seqs = fixed_length(seqs, fixedlen, seqtype)
         length = seqs.select(F.length("seq")).first()[0]
         windows = replace(Windows.create_from_genomesize(fasta_sizes(seqs)), binsize=length)

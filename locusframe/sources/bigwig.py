@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -49,10 +50,17 @@ def data_blocks(f, index: int, near: list[tuple[int, int, int]] | None = None) -
     Branches of the index that no region meets aren't followed.
     """
     out, nodes = [], [index + 48]
-    near = None if near is None else sorted(near)
+    apart: list[tuple[int, int, int]] = []
+    for c, s, e in sorted(near or []):
+        if apart and apart[-1][0] == c and s <= apart[-1][2]:
+            apart[-1] = (c, apart[-1][1], max(e, apart[-1][2]))
+        else:
+            apart.append((c, s, e))
+    ends = [(c, e) for c, _, e in apart]
 
     def met(low: tuple[int, int], high: tuple[int, int]) -> bool:
-        return near is None or any((c, e) > low and (c, s) < high for c, s, e in near)
+        i = bisect_right(ends, low)  # the first region that ends behind
+        return near is None or i < len(ends) and apart[i][:2] < high
 
     while nodes:
         f.seek(nodes.pop())

@@ -41,8 +41,7 @@ def exists(path: str) -> bool:
     return os.path.exists(at) if store is None else store.get_file_info(at).is_file
 
 
-def located(spark: SparkSession, path: str | list[str]) -> list[tuple[str, int]]:
-    """(path, bytes) of the files that paths, folders and patterns name; one that names none raises."""
+def _statuses(spark: SparkSession, path: str | list[str]) -> list:
     conf, jvm = spark._jsc.hadoopConfiguration(), spark._jvm
     out = []
     for one in [path] if isinstance(path, str) else path:
@@ -53,10 +52,20 @@ def located(spark: SparkSession, path: str | list[str]) -> list[tuple[str, int]]
             raise FileNotFoundError(one)
         for status in found:
             held = store.listStatus(status.getPath()) if status.isDirectory() else [status]
-            out += [(s.getPath().toString(), s.getLen()) for s in held if s.isFile() and not s.getPath().getName().startswith(("_", "."))]
+            out += [s for s in held if s.isFile() and not s.getPath().getName().startswith(("_", "."))]
     return out
 
 
+def located(spark: SparkSession, path: str | list[str]) -> list[tuple[str, int]]:
+    """(path, bytes) of the files that paths, folders and patterns name; one that names none raises."""
+    return [(s.getPath().toString(), s.getLen()) for s in _statuses(spark, path)]
+
+
+def stamps(spark: SparkSession, path: str | list[str]) -> list[tuple[str, int, int]]:
+    """(path, bytes, time of the last change) of the files that paths name, in any store."""
+    return [(s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in _statuses(spark, path)]
+
+
 def by_ranges(files: list[tuple[str, int]]) -> bool:
     """Whether files can be read by ranges: the driver tries the first of each store."""
     for one in {path.split(":", 1)[0]: path for path, _ in files}.values():
@@ -102,8 +111,8 @@ def arrow_batches(rows: Iterable[tuple], schema) -> Iterator:
 
 def reach(windows: DataFrame) -> list[tuple[str, int, int]]:
     """(chrom, start, end) runs that hold all windows, in steps of ``REACH``: a row a step reaches the driver."""
-    first = F.greatest(floor_div(F.col("start"), REACH), F.lit(0))
-    last = F.greatest(floor_div(F.col("end") - 1, REACH), first)
+    first = F.greatest(floor_div(F.col("start"), REACH), F.lit(0).cast("long"))
+    last = F.greatest(floor_div(F.col("end"), REACH), first)
     steps = windows.select("chrom", F.explode(F.sequence(first, last)).alias("step")).distinct()
     out: list[tuple[str, int, int]] = []
     for chrom, step in sorted(map(tuple, steps.collect())):

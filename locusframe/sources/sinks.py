@@ -89,10 +89,9 @@ def write_bigwigs(track: DataFrame, sizes: DataFrame, folder: str, name: str) ->
         one.repartition(1).sortWithinPartitions("chrom", "start").mapInPandas(run, "path string").collect()
 
 
-def cache_key(parts: dict, files: list[str] = ()) -> str:
-    """SHA-256 of parameters and of each file's name, size and time."""
-    held = [(f, os.path.getsize(f), os.path.getmtime(f)) if os.path.exists(f) else (f,) for f in files]
-    return hashlib.sha256(json.dumps([parts, held], sort_keys=True, default=str).encode()).hexdigest()
+def cache_key(parts: dict, files: list = ()) -> str:
+    """SHA-256 of parameters and of each file's name, size and time (``ranged.stamps``), or of what else stands for it."""
+    return hashlib.sha256(json.dumps([parts, list(files)], sort_keys=True, default=str).encode()).hexdigest()
 
 
 def cached(spark: SparkSession, folder: str, key: str, make: Callable[[], DataFrame], overwrite: bool = False) -> DataFrame:

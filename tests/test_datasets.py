@@ -8,6 +8,7 @@ import pytest
 
 from locusframe import datasets as D
 from locusframe.operators.windows import Windows
+from locusframe.sources import bam
 from locusframe.sources.intervals import as_intervals
 
 ROI = [("chr1", 15000, 25000, "a", "0", "+"), ("chr2", 15000, 25000, "b", "0", "-")]
@@ -223,3 +224,48 @@ def test_cover_from_files(spark, tmp_path):
     c.export_to_bigwig(str(tmp_path))
     back = D.Cover.create_from_bigwig("x", str(tmp_path / "x.s.bigwig"), roi=pd.DataFrame({"chrom": ["chr1"], "start": [15000], "end": [25000]}), binsize=200, resolution=200)
     assert back[4].item() == 0.5 and back[:].sum() == 0.5
+
+
+def test_signal_is_read_near_windows_and_kept(spark, tmp_path):
+    from locusframe.sources import bigwig
+
+    n = 3 << 20
+    path = tmp_path / "s.bw"
+    with open(path, "wb") as f:
+        bigwig.write_bigwig(f, [("chr1", n)], (("chr1", i, i + 512, float(i // 512 % 5)) for i in range(0, n, 512)), items=64)
+    make = lambda **how: D.Cover.create_from_bigwig("x", str(path), roi=[("chr1", 1024, 5120)], binsize=1024, resolution=512, **how)
+    cover = make()
+    assert cover.signal.count() < n // 512 // 2 and cover[:].reshape(-1).tolist() == [2, 3, 4, 0, 1, 2, 3, 4]
+    far = cover.view([("chr1", n - 1024, n)])
+    want = [float((n // 512 - k) % 5) for k in (2, 1)]
+    assert far[:].reshape(-1).tolist() == want
+    folder = str(tmp_path / "kept")
+    kept = make(cache=folder, datatags=["a", "b"])
+    assert (kept[:] == cover[:]).all() and kept.view([("chr1", n - 1024, n)])[:].reshape(-1).tolist() == want
+    tables = lambda: sorted((tmp_path / "kept" / "datasets" / "a" / "b").iterdir())
+    first = tables()
+    written = (first[0] / "_SUCCESS").stat().st_mtime_ns
+    make(cache=folder, datatags=["a", "b"])
+    assert tables() == first and len(first) == 1 and (first[0] / "_SUCCESS").stat().st_mtime_ns == written
+    make(cache=folder, datatags=["a", "b"], overwrite=True)
+    assert tables() == first and (first[0] / "_SUCCESS").stat().st_mtime_ns != written
+    make(cache=folder, datatags=["a", "b"], nan_to_num=False)
+    assert len(tables()) == 2
+    w = Windows.create_from_file(as_intervals(spark, [("chr1", 0, 20)]), 10, 10)
+    arrays = [D.Cover.create_from_array("y", np.full((2, 1), v), w, cache=folder) for v in (1.0, 2.0, 1.0)]
+    assert [a[:].reshape(-1).tolist() for a in arrays] == [[1, 1], [2, 2], [1, 1]]
+    assert len(list((tmp_path / "kept" / "datasets" / "y").iterdir())) == 2
+
+
+def test_parameters_are_known(spark, genome_df):
+    f = as_intervals(spark, [("chr1", 0, 18)])
+    with pytest.raises(TypeError, match="resolutoin"):
+        D.Cover.create_from_bed("x", f, roi=f, binsize=2, resolutoin=2)
+    with pytest.raises(TypeError):
+        D.Bioseq.create_from_refgenome("x", genome_df, roi=ROI, flanks=2)
+    with pytest.raises(ValueError, match="cache"):
+        D.Cover.create_from_bed("x", f, roi=f, binsize=2, cache=True)
+    D.Cover.create_from_bed("x", f, roi=f, binsize=2, storage="sparse", dtype="float32", verbose=True)
+    reads = spark.createDataFrame([], bam.FILE_SCHEMA + ", condition string")
+    with pytest.warns(UserWarning, match="template_extension"):
+        D.Cover.create_from_bam("x", None, roi=f, conditions=["a"], reads=reads, binsize=2, template_extension=5)
