@@ -7,6 +7,7 @@ the few windows that a caller wants as an array.
 from __future__ import annotations
 
 import hashlib
+import re
 import warnings
 from collections.abc import Callable
 from dataclasses import dataclass, replace
@@ -667,6 +668,36 @@ class VariantStreamer:
     def predict(self, model, conditions: list[str]) -> DataFrame:
         return variants.predict_effects(self.rows(), model, conditions, self.batch_size)
 
+    def write(self, model, conditions: list[str], folder: str, condition_filter: str | None = None) -> DataFrame:
+        """The effects as tables in a folder; with a filter, of the conditions in whose name its pattern is found."""
+        scored = self.predict(model, conditions)
+        if condition_filter is not None:
+            left_out = [c for c in conditions if not re.search(condition_filter, c)]
+            scored = scored.drop(*(f"{a}_{c}" for a in ("ref", "alt", "diff", "logodds") for c in left_out))
+        return variants.write_effects(scored, folder)
+
+
+def input_attribution(inputs: list[Dataset], gradient: Callable, chrom: str, start: int, end: int, steps: int = 50) -> list[DataFrame]:
+    """For each input (pos, strand, condition, value): integrated gradients along an interval, where windows overlap the greatest magnitude.
+
+    ``gradient``: as in ``tensor.integrated_gradients``. Windows count that meet the interval in all inputs.
+    """
+    near = [d.gindexer.flanked().where((F.col("chrom") == chrom) & (F.col("start") < end) & (F.col("end") > start)) for d in inputs]
+    held = None
+    for i, (d, w) in enumerate(zip(inputs, near)):
+        one = d.rows().join(w.select("idx"), "idx", "left_semi").select("idx", F.col("values").alias(f"d{i}"))
+        held = one if held is None else held.join(one, "idx")
+    scored = tensor.integrated_gradients(held, gradient, [f"d{i}" for i in range(len(inputs))], steps)
+    out = []
+    for i, (d, w) in enumerate(zip(inputs, near)):
+        size = getattr(d, "resolution", 1) or 1
+        cells = tensor.unstack(scored.select("idx", F.col(f"d{i}").alias("values")), d.shape[1:]).join(w.select("idx", F.col("start").alias("_w")), "idx")
+        first = F.col("_w") + F.col("pos") * size
+        cells = cells.select(F.explode(F.sequence(first, first + (size - 1))).alias("at"), "strand", "condition", "value")
+        cells = cells.where((F.col("at") >= start) & (F.col("at") < end))
+        out.append(tensor.max_abs(cells.withColumnRenamed("at", "pos"), ["pos", "strand", "condition"]))
+    return out
+
 
 def view(data: Dataset, regions) -> Dataset:
     return data.view(regions)

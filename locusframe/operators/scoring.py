@@ -101,6 +101,69 @@ def score(df: DataFrame, how: str | Callable, percondition: bool = True) -> Data
     return NAMES[how](df)
 
 
+class Scorer:
+    """A score of each layer and condition, and what writes it.
+
+    ``score_fct``: a metric's name, a function of (labels, predictions), or, without outputs, of predictions; None keeps the
+    predictions. Its exporter is called as (folder, name, results, key columns) after each scoring, or by ``export`` for all
+    scorings together. ``conditions`` name conditions that are numbers.
+    """
+
+    def __init__(self, name: str, score_fct: str | Callable | None = None, conditions: list[str] | None = None, exporter: Callable | None = None, immediate_export: bool = True, percondition: bool = True, subdir: str = "evaluation"):
+        if isinstance(score_fct, str) and score_fct not in NAMES:
+            raise ValueError(f"unknown score {score_fct}")
+        self.name, self.how, self.conditions, self.percondition = name, score_fct, conditions, percondition
+        self.exporter, self.immediate, self.subdir = exporter, immediate_export, subdir
+        self.results: DataFrame | None = None
+
+    def _named(self, df: DataFrame) -> DataFrame:
+        if self.conditions is None or dict(df.dtypes)["condition"] == "string":
+            return df
+        return df.withColumn("condition", F.get(F.array(*map(F.lit, self.conditions)), F.col("condition").cast("int")))
+
+    def _layer(self, predicted: DataFrame, outputs: DataFrame | None) -> DataFrame:
+        if outputs is not None:
+            at = [c for c in predicted.columns if c != "value"]
+            rows = self._named(outputs.withColumnRenamed("value", "y").join(predicted.withColumnRenamed("value", "p"), at))
+            return score(rows, self.how, self.percondition)
+        rows = self._named(predicted)
+        if self.how is None:
+            return rows if self.percondition else rows.withColumn("condition", F.lit("across"))
+        if isinstance(self.how, str):
+            raise ValueError(f"{self.how} needs outputs")
+        how = self.how
+        return score(rows.select("condition", F.col("value").alias("y"), F.col("value").alias("p")), lambda _, p: how(p), self.percondition)
+
+    def score(self, predicted: dict[str, DataFrame], outputs: dict[str, DataFrame] | None = None, model: str = "model", folder: str | None = None, datatags: list[str] | None = None) -> DataFrame:
+        """(model, layer, condition, value) rows of layers' (condition, value) rows, paired by all their other columns."""
+        if outputs is not None:
+            if self.how is None:
+                raise ValueError("outputs need a score")
+            check_dimensions(outputs, predicted)
+        out = None
+        for layer, rows in predicted.items():
+            one = self._layer(rows, outputs and outputs[layer])
+            one = one.select(F.lit(model).alias("model"), F.lit(layer).alias("layer"), *one.columns)
+            out = one if out is None else out.unionByName(one)
+        if self.immediate:
+            if folder is not None:
+                self._write(out, folder, model, datatags, ["layer", "condition"] if len(predicted) > 1 else ["condition"])
+        else:
+            self.results = out if self.results is None else self.results.unionByName(out)
+        return out
+
+    def export(self, folder: str, collection: str, datatags: list[str] | None = None) -> None:
+        """Writes what was scored so far; nothing where nothing was."""
+        if self.results is not None:
+            self._write(self.results, folder, collection, datatags, ["model", "layer", "condition"])
+
+    def _write(self, results: DataFrame, folder: str, collection: str, datatags: list[str] | None, keys: list[str]) -> None:
+        from ..sources.sinks import ExportJson
+
+        at = [folder, self.subdir, collection, *(["-".join(datatags)] if datatags else [])]
+        (self.exporter or ExportJson())("/".join(at), self.name, results, keys)
+
+
 def masked_loss(df: DataFrame, loss: str = "mse") -> DataFrame:
     """(condition, value): a mean loss over the rows whose target isn't missing."""
     y, p = F.col("y"), F.col("p")

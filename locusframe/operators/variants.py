@@ -115,3 +115,12 @@ def predict_effects(streamed: DataFrame, model: Callable, conditions: list[str],
 def bed_rows(rows: DataFrame) -> DataFrame:
     """chrom, start, start + 1, name_REF>ALT."""
     return rows.select("chrom", F.col("pos").alias("start"), (F.col("pos") + 1).alias("end"), F.concat("name", F.lit("_"), "ref", F.lit(">"), "alt").alias("name"))
+
+
+def write_effects(scored: DataFrame, folder: str) -> DataFrame:
+    """``folder``/scores as Parquet, and ``folder``/snps.bed.gz as compressed parts in the variants' order; gives the scores as written."""
+    scored.write.mode("overwrite").parquet(f"{folder}/scores")
+    held = scored.sparkSession.read.parquet(f"{folder}/scores")
+    rows = bed_rows(held.repartitionByRange("ord").sortWithinPartitions("ord"))
+    rows.write.mode("overwrite").csv(f"{folder}/snps.bed.gz", sep="\t", compression="gzip")
+    return held

@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import track
 from ..schema import floor_div
 from ..shipping import ship
 
@@ -24,8 +25,77 @@ def write_json(scores: DataFrame, path: str) -> None:
     score_json(scores).select("json").write.mode("overwrite").text(path)
 
 
-def write_tsv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").csv(path, sep="\t", header=True)
+def write_tsv(df: DataFrame, path: str, header: bool = True) -> None:
+    df.write.mode("overwrite").csv(path, sep="\t", header=header)
+
+
+class ExportJson:
+    """Scores as lines of {key, value}; ``annot`` and ``row_names`` are lines of their own."""
+
+    def __init__(self, filesuffix: str = "json", annot: dict | None = None, row_names: list | None = None):
+        self.suffix, self.more = filesuffix, {k: v for k, v in (("annot", annot), ("row_names", row_names)) if v is not None}
+
+    def rows(self, results: DataFrame, keys: list[str]) -> DataFrame:
+        values = [c for c in results.columns if c not in ("model", "layer", "condition")]
+        value = F.col("value") if values == ["value"] else F.struct(*values)
+        out = results.select(F.to_json(F.struct(F.concat_ws("-", *keys).alias("key"), value.alias("value"))).alias("json"))
+        lines = [(json.dumps({"key": k, "value": v}),) for k, v in self.more.items()]
+        return out.unionByName(results.sparkSession.createDataFrame(lines, "json string")) if lines else out
+
+    def __call__(self, folder: str, name: str, results: DataFrame, keys: list[str]) -> None:
+        self.rows(results, keys).write.mode("overwrite").text(f"{folder}/{name}.{self.suffix}")
+
+
+class ExportTsv:
+    """Scores as a column a key and a row a place (one place where there is no ``idx``), then annotations and row names."""
+
+    def __init__(self, filesuffix: str = "tsv", annot: dict | None = None, row_names: list | None = None):
+        self.suffix, self.more = filesuffix, {f"annot.{k}": v for k, v in (annot or {}).items()} | ({} if row_names is None else {"row_names": row_names})
+
+    def rows(self, results: DataFrame, keys: list[str]) -> DataFrame:
+        at = [c for c in ("idx", "bin") if c in results.columns] or ["idx"]
+        if "idx" not in results.columns:
+            results = results.withColumn("idx", F.lit(0).cast("long"))
+        named = results.withColumn("_key", F.concat_ws("-", *keys))
+        names = sorted(r[0] for r in named.select("_key").distinct().collect())  # they become columns
+        out = named.groupBy(*at).pivot("_key", names).agg(F.first("value"))
+        if self.more:
+            lists = [[x.item() if hasattr(x, "item") else x for x in v] for v in self.more.values()]
+            held = results.sparkSession.createDataFrame([(i, *r) for i, r in enumerate(zip(*lists, strict=True))], ["idx", *(f"_m{i}" for i in range(len(lists)))])
+            out = out.join(held, "idx", "left").withColumnsRenamed({f"_m{i}": k for i, k in enumerate(self.more)})
+        return out
+
+    def __call__(self, folder: str, name: str, results: DataFrame, keys: list[str]) -> None:
+        rows = self.rows(results, keys)
+        at = [c for c in ("idx", "bin") if c in rows.columns]
+        rows = rows.repartitionByRange(*at).sortWithinPartitions(*at)
+        write_tsv(rows.drop(*at), f"{folder}/{name}.{self.suffix}")
+
+
+class ExportBed:
+    """Predictions (idx, bin, condition, value) of windows as BED, a folder a key."""
+
+    def __init__(self, windows: DataFrame, resolution: int):
+        self.windows, self.resolution = windows, resolution
+
+    def __call__(self, folder: str, name: str, results: DataFrame, keys: list[str]) -> None:
+        named = results.select("idx", "bin", F.concat_ws(".", *keys).alias("condition"), "value")
+        write_bed(bed_rows(self.windows, named, self.resolution), f"{folder}/{name}.bed")
+
+
+class ExportBigwig(ExportBed):
+    """Predictions of windows as BIGWIG, a file a key; of windows that overlap, the last one is written."""
+
+    def track(self, results: DataFrame, keys: list[str]) -> DataFrame:
+        named = results.select("idx", "bin", F.concat_ws(".", *keys).alias("condition"), "value")
+        w = self.windows.select("idx", "chrom", F.col("start").alias("_w"), F.col("end").alias("_e")).join(named, "idx")
+        start = F.col("_w") + F.col("bin") * self.resolution
+        runs = w.select("chrom", start.alias("start"), F.least(start + self.resolution, F.col("_e")).alias("end"), F.lit(0).alias("strand"), "condition", "value", F.col("idx").cast("long").alias("ord")).where("start < end")
+        return track.paint(runs, ["value"], ["strand", "condition"])
+
+    def __call__(self, folder: str, name: str, results: DataFrame, keys: list[str]) -> None:
+        sizes = self.windows.groupBy("chrom").agg(F.max("end").alias("length"))
+        write_bigwigs(self.track(results, keys), sizes, folder, name)
 
 
 def bed_rows(windows: DataFrame, predictions: DataFrame, resolution: int) -> DataFrame:
