@@ -14,9 +14,14 @@ the same keys are taken: links that have no equal segment before one of at most
 
 Only distinct fingerprints take part, so exact copies cost one row. A run of fingerprints with one key gives a forest
 of least links that connects whatever its links connect, never all pairs; long runs are dealt out in blocks of bounded
-size. A forest of least links has, between two texts, the most similar ways there are, and these are what a similarity
-is then checked on: only such links are compared as texts, so a check is linear in a group. In groups of many texts
-of just about that similarity, a class can fall apart where a checked way fails beside one that wasn't taken.
+size.
+
+Where a ``similarity`` is asked for, the forest only proposes links, which are compared as texts. What it leaves out
+(links beside those taken, of lost segments, beyond the distance) is found exactly: in one order of all shingles, two sets
+of that similarity share one of their first n - ceil(similarity * n) + 1 ones (prefix filter), in fact so many that most
+other pairs are out by count; the pairs that remain between different classes are compared as texts too. So classes
+are those of all pairs of texts that reach the similarity. Shingles frequent in a sample come last in the order, which
+only spares pairs; there is no cap on how many texts share one.
 
 Edge cases: null and blank texts have fingerprint 0 and link like any other; texts of fewer words than a shingle are one
 shingle; rows that repeat a doc_id get their own texts' classes; rows with a null doc_id take part in linking but never
@@ -39,6 +44,8 @@ from .common import checkpoint, partitions, ship
 BLOCK = 4096
 #: Runs up to this length are compared all at once; longer ones fingerprint by fingerprint.
 SHORT = 256
+#: Texts from which the frequent shingles are learnt.
+SAMPLE = 20_000
 _FP = ">u8"
 
 
@@ -47,21 +54,30 @@ def simhash(text: bytes, shingle: int = 4, words: int = 1, distinct: bool = Fals
 
     ``distinct``: each shingle votes once.
     """
-    from xxhash import xxh64_digest
-
-    cut = text.lower().split()
-    if not cut:
+    grams = _grams(text, shingle)
+    if grams == [b""]:
         return bytes(8 * words)
-    grams = list(map(b" ".join, zip(*(cut[i:] for i in range(shingle))))) if len(cut) >= shingle else [b" ".join(cut)]
     grams = set(grams) if distinct else grams
-    out = []
-    for s in range(seed, seed + words):
-        hashes = np.frombuffer(b"".join(map(partial(xxh64_digest, seed=s), grams)), np.uint8)
-        votes = np.zeros(64, np.int64)
-        for i in range(0, len(hashes), 1 << 19):
-            votes += np.unpackbits(hashes[i : i + (1 << 19)]).reshape(-1, 64).sum(0, dtype=np.int64)
-        out.append(np.packbits(2 * votes > len(grams)).tobytes())
-    return b"".join(out)
+    return b"".join(_majority(_hashes(grams, s)) for s in range(seed, seed + words))
+
+
+def _grams(text: bytes, shingle: int) -> list[bytes]:
+    cut = text.lower().split()
+    return list(map(b" ".join, zip(*(cut[i:] for i in range(shingle))))) if len(cut) >= shingle else [b" ".join(cut)]
+
+
+def _hashes(grams, seed: int) -> np.ndarray:
+    """Bytes of the XXH64 hashes."""
+    from xxhash import xxh64_digest
+
+    return np.frombuffer(b"".join(map(partial(xxh64_digest, seed=seed), grams)), np.uint8)
+
+
+def _majority(hashes: np.ndarray) -> bytes:
+    votes = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), 1 << 19):
+        votes += np.unpackbits(hashes[i : i + (1 << 19)]).reshape(-1, 64).sum(0, dtype=np.int64)
+    return np.packbits(2 * votes > len(hashes) // 8).tobytes()
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, words: int = 1, distinct: bool = False) -> DataFrame:
@@ -287,19 +303,237 @@ def links(fps: DataFrame, max_distance: int = 4, words: int = 1, segments: int |
 
 def shingle_set(text: bytes, shingle: int) -> np.ndarray:
     """Sorted distinct XXH64 hashes of a text's shingles."""
-    from xxhash import xxh64_digest
+    return np.unique(_hashes(set(_grams(text, shingle)), 0).view("<u8"))
 
-    cut = text.lower().split()
-    grams = set(map(b" ".join, zip(*(cut[i:] for i in range(shingle))))) if len(cut) >= shingle else {b" ".join(cut)}
-    return np.unique(np.frombuffer(b"".join(map(xxh64_digest, grams)), "<u8"))
+
+def frequent(texts: DataFrame, shingle: int, sample: int = SAMPLE, least: int = 5, most: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, sorted, of shingles that ``least`` of some ``sample`` rows of ``texts`` (text) have, and their ranks by number of rows."""
+    ship(texts.sparkSession)
+
+    def run(batches):
+        for b in batches:
+            for t in b.column(0).cast(pa.large_binary()):
+                hashes = np.unique(_hashes(set(_grams(t.as_buffer().to_pybytes(), shingle)), 42).view("<i8"))
+                for i in range(0, len(hashes), 1 << 16):
+                    yield pa.RecordBatch.from_arrays([pa.array(hashes[i : i + (1 << 16)])], ["key"])
+
+    rows = texts.count()
+    some = texts.sample(sample / rows, 1) if rows > sample else texts
+    counts = some.mapInArrow(run, "key long").groupBy("key").count().where(F.col("count") >= least)
+    found = counts.orderBy(F.desc("count"), "key").limit(most).toArrow()
+    keys, order = found["key"].to_numpy().view(np.uint64), np.arange(found.num_rows)[::-1]
+    by = np.argsort(keys)
+    return keys[by], order[by]
+
+
+def _least(n, share: float):
+    """The least number of ``n`` that is that share of them."""
+    return np.ceil(share * n - 1e-9).astype(np.int64)
+
+
+def prefix(hashes: np.ndarray, similarity: float, known: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Of sorted distinct hashes the first n - ceil(similarity * n) + 1 in the order of all shingles; ``known``: of ``frequent``."""
+    keys, ranks = known
+    if len(keys):
+        at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+        rank = np.where(keys[at] == hashes, ranks[at], -1)
+        hashes = hashes[np.argsort(rank, kind="stable")]
+    return hashes[: len(hashes) - int(_least(np.float64(len(hashes)), similarity)) + 1]
+
+
+def signed(docs: DataFrame, id_col: str, text_col: str, shingle: int, words: int, similarity: float) -> DataFrame:
+    """(id, digest, fp, node, size, prefix): as ``fingerprints`` of distinct shingles; 128 bits that stand for the set of shingles, how many it has and the hashes of its prefix."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    known = frequent(docs.select(text), shingle)
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches):
+        from xxhash import xxh3_128_digest
+
+        for b in batches:
+            fps, nodes, sizes, firsts = [], [], [], []
+            for t in b.column(2).cast(pa.large_binary()):
+                data = t.as_buffer().to_pybytes()
+                grams = set(_grams(data, shingle))
+                own = _hashes(grams, 42)
+                fps.append(bytes(8 * words) if b"" in grams else b"".join([_majority(own), *(_majority(_hashes(grams, s)) for s in range(43, 42 + words))]))
+                own = np.unique(own.view("<u8"))
+                nodes.append(xxh3_128_digest(own.tobytes()))
+                sizes.append(len(own))
+                firsts.append(prefix(own, similarity, known).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.binary()), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(firsts, pa.binary())], ["id", "digest", "fp", "node", "size", "prefix"])
+
+    return docs.select(F.col(id_col).alias("id"), F.md5(text).alias("digest"), text.alias("text")).mapInArrow(run, f"id {kind}, digest string, fp binary, node binary, size long, prefix binary")
+
+
+_HELD = ["key", "class", "size", "node"]
+_FOUND = "hot boolean, block long, key long, class long, size long, node long, a long, b long, need long"
+
+
+def _pairs(size: np.ndarray, node: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
+    """(a, b, need) of those pairs (i, j) whose sizes allow the similarity; ``need``: the least number of shared hashes of prefixes that does."""
+    x, y = size[i], size[j]
+    ok = np.minimum(x, y) >= similarity * np.maximum(x, y) - 1e-9
+    x, y, a, b = x[ok], y[ok], node[i[ok]], node[j[ok]]
+    need = _least(x + y, similarity / (1 + similarity)) - _least(np.maximum(x, y), similarity) + 1
+    return np.stack([np.minimum(a, b), np.maximum(a, b), need])
+
+
+def _across(rows: np.ndarray, similarity: float):
+    """(a, b, need) of pairs of different classes in runs of one key; ``rows``: as ``_HELD``, sorted by key and class."""
+    begin = np.flatnonzero(np.r_[True, rows[0, 1:] != rows[0, :-1]])
+    length = np.diff(np.r_[begin, rows.shape[1]])
+    mixed = rows[1, begin] != rows[1, begin + length - 1]
+    for at, n in zip(begin[mixed & (length > SHORT)], length[mixed & (length > SHORT)]):
+        _, cls, size, node = rows[:, at : at + n]
+        for i, j in enumerate(np.searchsorted(cls, cls, "right")):  # whatever comes after its own class
+            if j < n:
+                to = np.arange(j, n)
+                yield _pairs(size, node, np.full(len(to), i), to, similarity)
+    key, cls, size, node = rows[:, np.repeat(mixed & (length <= SHORT), length)]
+    for d in range(1, SHORT):
+        same = np.flatnonzero(key[d:] == key[:-d]) if len(key) > d else ()
+        if not len(same):
+            break
+        same = same[cls[same] != cls[same + d]]
+        yield _pairs(size, node, same, same + d, similarity)
+
+
+def _between(x: np.ndarray, y: np.ndarray, similarity: float):
+    """(a, b, need) of pairs of different classes between two blocks of a run."""
+    size, node = np.r_[x[2], y[2]], np.r_[x[3], y[3]]
+    for i in range(x.shape[1]):
+        to = np.flatnonzero(y[1] != x[1, i]) + x.shape[1]
+        yield _pairs(size, node, np.full(len(to), i), to, similarity)
+
+
+def _gathered(found, most: int = 1 << 17):
+    """Fewer, larger arrays of the same columns."""
+    held, n = [], 0
+    for x in found:
+        if x.shape[1]:
+            held.append(x)
+            n += x.shape[1]
+        if n >= most:
+            yield np.concatenate(held, 1)
+            held, n = [], 0
+    if held:
+        yield np.concatenate(held, 1)
+
+
+def _across_runs(batches, similarity: float, block: int):
+    """Reads ``_HELD`` sorted by key and class; gives pairs, and blocks of the rows of very long runs."""
+
+    def hot(rows: np.ndarray, number: int) -> pa.RecordBatch:
+        n = rows.shape[1]
+        none = pa.nulls(n, pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(np.ones(n, bool)), pa.array(np.full(n, number)), *map(pa.array, rows), none, none, none], _NAMES)
+
+    def pairs(rows: np.ndarray):
+        for x in _gathered(_across(rows, similarity)):
+            none = pa.nulls(x.shape[1], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(x.shape[1], bool)), *[none] * 5, *map(pa.array, x)], _NAMES)
+
+    rows, flushed = np.zeros((4, 0), np.int64), 0
+    for batch in batches:
+        rows = np.concatenate([rows, np.stack([c.to_numpy() for c in batch.columns])], 1)
+        last = int(np.searchsorted(rows[0], rows[0, -1])) if rows.shape[1] else 0
+        if last:
+            if flushed:
+                n = int(np.searchsorted(rows[0], rows[0, 0], "right"))
+                yield hot(rows[:, :n], flushed)
+                rows, last, flushed = rows[:, n:], last - n, 0
+            if last:
+                yield from pairs(rows[:, :last])
+            rows = rows[:, last:]
+        while rows.shape[1] > 2 * block:
+            yield hot(rows[:, :block], flushed)
+            rows, flushed = rows[:, block:], flushed + 1
+    if flushed:
+        yield hot(rows, flushed)
+    elif rows.shape[1]:
+        yield from pairs(rows)
+
+
+_NAMES = [x.split()[0] for x in _FOUND.split(", ")]
+
+
+def _across_blocks(batches, similarity: float):
+    """Reads (key, x, y, second, class, size, node) sorted by the first four: rows of block x, then of block y."""
+
+    def done(first: list, second: list):
+        x = np.concatenate(first, 1)
+        for p in _gathered(_between(x, np.concatenate(second, 1), similarity) if second else _across(x, similarity)):
+            yield pa.RecordBatch.from_arrays([*map(pa.array, p)], ["a", "b", "need"])
+
+    held, name = ([], []), None
+    for b in batches:
+        ids = np.stack([b.column(i).to_numpy() for i in range(4)], 1)
+        rows = np.stack([b.column(i).to_numpy() for i in (0, 4, 5, 6)])
+        cuts = np.r_[0, np.flatnonzero((ids[1:] != ids[:-1]).any(1)) + 1, len(ids)]
+        for s, e in zip(cuts[:-1], cuts[1:]):
+            if e > s:
+                if name is not None and tuple(ids[s, :3]) != name:
+                    yield from done(*held)
+                    held = ([], [])
+                name = tuple(ids[s, :3])
+                held[ids[s, 3]].append(rows[:, s:e])
+    if held[0]:
+        yield from done(*held)
+
+
+def unlinked(marks: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, shared): all pairs of nodes of different classes (``groups``: node, root) that can reach the similarity.
+
+    ``marks``: (node, size, prefix), a node in any number of rows.
+    """
+    spark = marks.sparkSession
+    ship(spark)
+    n = partitions(spark)
+    sets = marks.groupBy("node").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"))
+    sets = sets.join(groups, "node", "left").select(F.xxhash64(F.coalesce("root", "node")), "size", F.xxhash64("node"), "prefix")
+
+    def keyed(batches):
+        for b in batches:
+            firsts = [x.as_buffer().to_pybytes() for x in b.column(3)]
+            at = 0
+            while at < len(firsts):  # some 2^18 rows at once
+                to, total = at, 0
+                while to < len(firsts) and (to == at or total + len(firsts[to]) // 8 <= 1 << 18):
+                    total += len(firsts[to]) // 8
+                    to += 1
+                count = [len(x) // 8 for x in firsts[at:to]]
+                columns = [np.repeat(c.slice(at, to - at).to_numpy(), count) for c in b.columns[:3]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(firsts[at:to]), "<i8")), *map(pa.array, columns)], _HELD)
+                at = to
+
+    rows = sets.mapInArrow(keyed, "key long, class long, size long, node long").repartition(n, "key").sortWithinPartitions("key", "class")
+    found = checkpoint(rows.mapInArrow(partial(_across_runs, similarity=similarity, block=BLOCK), _FOUND))
+    out = found.where(~F.col("hot")).select("a", "b", "need")
+    hot = found.where("hot")
+    if not hot.isEmpty():
+        blocks = hot.groupBy("key", "block").agg(F.min("class").alias("lo"), F.max("class").alias("hi"))
+        x, y = (blocks.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("block", "lo", "hi"))) for side in "xy")
+        cells = x.join(y, "key").where("block_x <= block_y and least(lo_x, lo_y) < greatest(hi_x, hi_y)").select("key", F.col("block_x").alias("x"), F.col("block_y").alias("y"))
+        sides = cells.select("key", "x", "y", F.col("x").alias("block"), F.lit(0).cast("long").alias("second"))
+        sides = sides.union(cells.where("x < y").select("key", "x", "y", "y", F.lit(1).cast("long")))
+        dealt = hot.join(sides, ["key", "block"]).select("key", "x", "y", "second", "class", "size", "node")
+        dealt = dealt.repartition(n, "key", "x", "y").sortWithinPartitions("key", "x", "y", "second", "class")
+        out = out.unionByName(dealt.mapInArrow(partial(_across_blocks, similarity=similarity), "a long, b long, need long"))
+    # sets whose 64 bits of hash are the same only make more pairs to compare
+    pairs = out.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("need").alias("need")).where("shared >= need")
+    whole = marks.select("node").distinct().select(F.xxhash64("node").alias("short"), "node")
+    for c in "ab":
+        pairs = pairs.withColumnRenamed(c, "short").join(whole.withColumnRenamed("node", c), "short").drop("short")
+    return pairs.select("a", "b", "shared")
 
 
 def alike(pairs: DataFrame, marks: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The ``pairs`` (a, b) of fingerprints whose texts reach the similarity; ``marks``: (digest, fp), ``texts``: (digest, text)."""
+    """The ``pairs`` (a, b) of nodes whose texts reach the similarity; ``marks``: (digest, node), ``texts``: (digest, text)."""
     ship(pairs.sparkSession)
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    asked = marks.join(asked.hint("rebalance"), "fp").groupBy("fp").agg(F.min("digest").alias("digest"))  # one text for each fingerprint
-    held = checkpoint(texts.join(asked.hint("rebalance"), "digest").groupBy("fp").agg(F.min("text").alias("text")))
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    asked = marks.join(asked.hint("rebalance"), "node").groupBy("node").agg(F.min("digest").alias("digest"))  # all texts of a node have one set
+    held = checkpoint(texts.join(asked.hint("rebalance"), "digest").groupBy("node").agg(F.min("text").alias("text")))
 
     def compared(batches):
         for b in batches:
@@ -308,18 +542,18 @@ def alike(pairs: DataFrame, marks: DataFrame, texts: DataFrame, shingle: int, si
             for i in range(b.num_rows):
                 sets = []
                 for c in (0, 1):
-                    fp = b.column(c)[i].as_py()
-                    if fp not in known:
+                    node = b.column(c)[i].as_py()
+                    if node not in known:
                         if len(known) >= 64:
                             known.clear()
-                        known[fp] = shingle_set(b.column(c + 2)[i].as_buffer().to_pybytes(), shingle)
-                    sets.append(known[fp])
+                        known[node] = shingle_set(b.column(c + 2)[i].as_buffer().to_pybytes(), shingle)
+                    sets.append(known[node])
                 both = len(np.intersect1d(*sets, assume_unique=True))
                 ok[i] = both >= similarity * (len(sets[0]) + len(sets[1]) - both) - 1e-9
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok))
 
-    first = held.select(F.col("fp").alias("a"), F.col("text").cast("binary").alias("at"))
-    second = held.select(F.col("fp").alias("b"), F.col("text").cast("binary").alias("bt"))
+    first = held.select(F.col("node").alias("a"), F.col("text").cast("binary").alias("at"))
+    second = held.select(F.col("node").alias("b"), F.col("text").cast("binary").alias("bt"))
     return pairs.hint("rebalance").join(first, "a").hint("rebalance").join(second, "b").select("a", "b", "at", "bt").mapInArrow(compared, "a binary, b binary")
 
 
@@ -357,19 +591,48 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marks.join(classes, "fp").select(F.col("id").alias(id_col), F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
+def similar(marks: DataFrame, texts: DataFrame, proposed: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(node, root) of the classes of all pairs of nodes that reach the similarity; ``marks``: as of ``signed``.
+
+    Links that fingerprints propose come first: what they join needs no more pairs.
+    """
+    digests, of = marks.select("digest", "node"), marks.select("fp", "node").distinct()
+    stands = of.groupBy("fp").agg(F.min("node").alias("stands"))
+    pairs = proposed
+    for c in "ab":
+        pairs = pairs.withColumnRenamed(c, "fp").join(stands, "fp").drop("fp").withColumnRenamed("stands", c)
+    equal = of.join(stands, "fp").where("node <> stands").select(F.col("stands").alias("a"), F.col("node").alias("b"))
+    found = checkpoint(alike(checkpoint(pairs.unionByName(equal)), digests, texts, shingle, similarity))
+    groups = checkpoint(components(found))
+    asked = checkpoint(unlinked(marks.select("node", "size", "prefix"), groups, similarity))
+    # one for each node first, as these may join the classes of many others
+    best = checkpoint(asked.groupBy("a").agg(F.max_by("b", "shared").alias("b")))
+    for some in (best, asked.join(best, ["a", "b"], "left_anti")):
+        for c in "ab":
+            root = groups.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+            some = some.join(root, c, "left").withColumn(f"root_{c}", F.coalesce(f"root_{c}", c))
+        some = checkpoint(some.where("root_a <> root_b").select("a", "b"))
+        if not some.isEmpty():
+            found = checkpoint(found.unionByName(alike(some, digests, texts, shingle, similarity)))
+            groups = checkpoint(components(found))
+    return groups
+
+
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float | None = 0.8, max_distance: int = 26, segments: int | None = 17, words: int = 2) -> DataFrame:
     """The rows of ``docs`` that stay: one of each class, that of the least id, then of the least MD5 of its text.
 
-    Fingerprints are of distinct shingles; those that are equal are one class without a check (for texts below a
-    similarity of 0.8, all of 128 bits agree with a probability under 1e-9).
+    Fingerprints are of distinct shingles. With a similarity the classes are those of all pairs of texts that reach it.
     """
-    marks = checkpoint(fingerprints(docs, id_col, text_col, shingle, words, True))
-    found = links(marks.select("fp").distinct(), max_distance, words, segments)
-    if similarity is not None:
+    if similarity is None:
+        marks = checkpoint(fingerprints(docs, id_col, text_col, shingle, words, True).withColumn("node", F.col("fp")))
+        groups = checkpoint(components(links(marks.select("fp").distinct(), max_distance, words, segments)))
+    else:
+        marks = checkpoint(signed(docs, id_col, text_col, shingle, words, similarity))
+        found = checkpoint(links(marks.select("fp").distinct(), max_distance, words, segments))
         text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-        found = alike(checkpoint(found), marks.select("digest", "fp"), docs.select(F.md5(text).alias("digest"), text.alias("text")), shingle, similarity)
-    groups = checkpoint(components(found))
-    of = marks.join(groups, F.col("fp") == F.col("node"), "left").select(F.coalesce("root", "fp").alias("class"), F.struct(F.col("id").isNull().alias("none"), "id", "digest").alias("row"))
+        groups = similar(marks, docs.select(F.md5(text).alias("digest"), text.alias("text")), found, shingle, similarity)
+    groups = groups.withColumnRenamed("node", "of")
+    of = marks.join(groups, F.col("node") == F.col("of"), "left").select(F.coalesce("root", "node").alias("class"), F.struct(F.col("id").isNull().alias("none"), "id", "digest").alias("row"))
     keep = checkpoint(of.groupBy("class").agg(F.min("row").alias("row"))).select("class", "row.id", "row.digest")
     repeated = not of.join(keep.select("class", F.col("id").alias("k"), F.col("digest").alias("d")).hint("rebalance"), "class").where(F.col("row.id").eqNullSafe(F.col("k")) & (F.col("row.digest") == F.col("d"))).groupBy("class").count().where("count > 1").isEmpty()
     whole = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("of"), F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("sum"))

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -160,6 +161,72 @@ def test_deduplicate_keeps_one_of_each_group(spark, docs, corpus):
     assert sorted(want.values()) == sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in kept.collect())
 
 
+def families(rng, sizes, copies):
+    """Texts whose similarities lie on both sides of 0.8: words changed, put in, left out, or added at the end."""
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    for size in sizes:
+        base = [word() for _ in range(size)]
+        for _ in range(copies):
+            copy = list(base)
+            for _ in range(rng.randint(1, max(2, size // 25))):
+                at = rng.randrange(len(copy))
+                copy[at : at + rng.choice([0, 1, 1, 1, 2])] = [word()] * rng.randint(0, 1)
+            yield " ".join(copy + [word() for _ in range(rng.choice([0, 0, size // 8]))])
+
+
+def brute(texts):
+    """The number of each text's class by all pairs."""
+    sets = [shingled(t) for t in texts]
+    group = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if group[i] != group[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9:
+                old = group[i]
+                group = [group[j] if g == old else g for g in group]
+    return group
+
+
+@pytest.mark.parametrize("block", [4096, 16])
+def test_deduplicate_leaves_out_no_pair_of_the_similarity(spark, monkeypatch, block):
+    monkeypatch.setattr(S, "BLOCK", block)
+    texts = list(families(random.Random(12), [9, 14, 30, 60, 100, 100, 200, 400], 40))
+    group = brute(texts)
+    want = {group.index(g) for g in group}
+    assert len(want) > 100 and len(texts) - len(want) > 100
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {r.doc_id for r in S.deduplicate(docs).collect()} == want
+
+
+@pytest.mark.parametrize("block", [4096, 16])
+def test_pairs_of_different_classes_come_from_runs_of_any_length(spark, monkeypatch, block):
+    """Every pair that can reach the similarity is asked for, whatever shingles are frequent and however blocks fall."""
+    monkeypatch.setattr(S, "BLOCK", block)
+    rng = random.Random(13)
+    texts = list(families(rng, [12, 40, 100], 50))
+    whole = [S._hashes(set(S._grams(t.encode(), 5)), 42).view("<u8") for t in texts]
+    known = np.unique(rng.sample([int(x) for w in whole for x in w], 100)).astype(np.uint64)
+    sets = [(bytes([i]) * 16, len(w), S.prefix(np.unique(w), 0.8, (known, np.arange(len(known)))).tobytes()) for i, w in enumerate(whole)]
+    marks = spark.createDataFrame(sets + sets[:9], "node binary, size long, prefix binary")
+    root = [i - i % 3 for i in range(len(texts))]
+    groups = spark.createDataFrame([(bytes([i]) * 16, bytes([r]) * 16) for i, r in enumerate(root) if i < 120], "node binary, root binary")
+    got = [tuple(sorted((r.a[0], r.b[0]))) for r in S.unlinked(marks, groups, 0.8).collect()]
+    of = [root[i] if i < 120 else i for i in range(len(texts))]
+    words = [shingled(t) for t in texts]
+    want = {(i, j) for j in range(len(texts)) for i in range(j) if of[i] != of[j] and len(words[i] & words[j]) >= 0.8 * len(words[i] | words[j])}
+    assert len(got) == len(set(got)) and want <= set(got) and len(want) > 100
+    assert all(of[i] != of[j] for i, j in got)
+
+
+def test_frequent_shingles_are_last_in_the_order(spark):
+    texts = spark.createDataFrame([(f"{i} x y z own{i} the same five words here",) for i in range(8)], "text string")
+    keys, ranks = S.frequent(texts, 5)
+    common = np.unique(S._hashes([b"the same five words here"], 42).view("<u8"))
+    assert keys.tolist() == common.tolist() and ranks.tolist() == [0]
+    hashes = np.unique(np.r_[common, np.arange(1, 12, dtype=np.uint64)])
+    assert common[0] not in S.prefix(hashes, 0.8, (keys, ranks)) and S.prefix(hashes, 0.0, (keys, ranks))[-1] == common[0]
+    assert [len(S.prefix(np.arange(n, dtype=np.uint64), 0.8, (keys, ranks))) for n in (1, 4, 5, 10, 300)] == [1, 1, 2, 3, 61]
+
+
 def test_empty(empty):
     assert S.near_duplicates(empty).count() == 0
     assert S.deduplicate(empty).count() == 0
