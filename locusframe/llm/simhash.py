@@ -18,9 +18,9 @@ size.
 
 Where a ``similarity`` is asked for, the forest only proposes links, which are compared as texts. What it leaves out
 (links beside those taken, of lost segments, beyond the distance) is found exactly: in one order of all shingles, two sets
-of that similarity share one of their first n - ceil(similarity * n) + 1 ones (prefix filter), in fact so many that most
-other pairs are out by count; the pairs that remain between different classes are compared as texts too. So classes
-are those of all pairs of texts that reach the similarity. Shingles frequent in a sample come last in the order, which
+of that similarity share one of their first n - ceil(similarity * n) + 1 ones (prefix filter), and enough must follow the
+first they share (positional filter); the pairs that remain between different classes are compared as texts too. So
+classes are those of all pairs of texts that reach the similarity. Shingles frequent in a sample come last in the order, which
 only spares pairs; there is no cap on how many texts share one.
 
 Edge cases: null and blank texts have fingerprint 0 and link like any other; texts of fewer words than a shingle are one
@@ -45,7 +45,7 @@ BLOCK = 4096
 #: Runs up to this length are compared all at once; longer ones fingerprint by fingerprint.
 SHORT = 256
 #: Texts from which the frequent shingles are learnt.
-SAMPLE = 20_000
+SAMPLE = 50_000
 _FP = ">u8"
 
 
@@ -306,7 +306,7 @@ def shingle_set(text: bytes, shingle: int) -> np.ndarray:
     return np.unique(_hashes(set(_grams(text, shingle)), 0).view("<u8"))
 
 
-def frequent(texts: DataFrame, shingle: int, sample: int = SAMPLE, least: int = 5, most: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
+def frequent(texts: DataFrame, shingle: int, sample: int = SAMPLE, least: int = 2, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
     """Hashes, sorted, of shingles that ``least`` of some ``sample`` rows of ``texts`` (text) have, and their ranks by number of rows."""
     ship(texts.sparkSession)
 
@@ -366,45 +366,46 @@ def signed(docs: DataFrame, id_col: str, text_col: str, shingle: int, words: int
     return docs.select(F.col(id_col).alias("id"), F.md5(text).alias("digest"), text.alias("text")).mapInArrow(run, f"id {kind}, digest string, fp binary, node binary, size long, prefix binary")
 
 
-_HELD = ["key", "class", "size", "node"]
-_FOUND = "hot boolean, block long, key long, class long, size long, node long, a long, b long, need long"
+_HELD = ["key", "class", "size", "place", "node"]
+_FOUND = "hot boolean, block long, key long, class long, size long, place long, node long, a long, b long"
 
 
-def _pairs(size: np.ndarray, node: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
-    """(a, b, need) of those pairs (i, j) whose sizes allow the similarity; ``need``: the least number of shared hashes of prefixes that does."""
-    x, y = size[i], size[j]
-    ok = np.minimum(x, y) >= similarity * np.maximum(x, y) - 1e-9
-    x, y, a, b = x[ok], y[ok], node[i[ok]], node[j[ok]]
-    need = _least(x + y, similarity / (1 + similarity)) - _least(np.maximum(x, y), similarity) + 1
-    return np.stack([np.minimum(a, b), np.maximum(a, b), need])
+def _pairs(rows: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
+    """(a, b) of those pairs (i, j) that can reach the similarity if the key is the first they share: by sizes, and by what follows it in both."""
+    x, y = rows[2, i], rows[2, j]
+    follow = np.minimum(x - rows[3, i], y - rows[3, j])
+    ok = (np.minimum(x, y) >= similarity * np.maximum(x, y) - 1e-9) & (follow >= _least(x + y, similarity / (1 + similarity)))
+    a, b = rows[4, i[ok]], rows[4, j[ok]]
+    return np.stack([np.minimum(a, b), np.maximum(a, b)])
 
 
 def _across(rows: np.ndarray, similarity: float):
-    """(a, b, need) of pairs of different classes in runs of one key; ``rows``: as ``_HELD``, sorted by key and class."""
+    """(a, b) of pairs of different classes in runs of one key; ``rows``: as ``_HELD``, sorted by key and class."""
     begin = np.flatnonzero(np.r_[True, rows[0, 1:] != rows[0, :-1]])
     length = np.diff(np.r_[begin, rows.shape[1]])
     mixed = rows[1, begin] != rows[1, begin + length - 1]
     for at, n in zip(begin[mixed & (length > SHORT)], length[mixed & (length > SHORT)]):
-        _, cls, size, node = rows[:, at : at + n]
-        for i, j in enumerate(np.searchsorted(cls, cls, "right")):  # whatever comes after its own class
+        run = rows[:, at : at + n]
+        for i, j in enumerate(np.searchsorted(run[1], run[1], "right")):  # whatever comes after its own class
             if j < n:
                 to = np.arange(j, n)
-                yield _pairs(size, node, np.full(len(to), i), to, similarity)
-    key, cls, size, node = rows[:, np.repeat(mixed & (length <= SHORT), length)]
+                yield _pairs(run, np.full(len(to), i), to, similarity)
+    rows = rows[:, np.repeat(mixed & (length <= SHORT), length)]
+    key, cls = rows[:2]
     for d in range(1, SHORT):
         same = np.flatnonzero(key[d:] == key[:-d]) if len(key) > d else ()
         if not len(same):
             break
         same = same[cls[same] != cls[same + d]]
-        yield _pairs(size, node, same, same + d, similarity)
+        yield _pairs(rows, same, same + d, similarity)
 
 
 def _between(x: np.ndarray, y: np.ndarray, similarity: float):
-    """(a, b, need) of pairs of different classes between two blocks of a run."""
-    size, node = np.r_[x[2], y[2]], np.r_[x[3], y[3]]
+    """(a, b) of pairs of different classes between two blocks of a run."""
+    rows = np.concatenate([x, y], 1)
     for i in range(x.shape[1]):
         to = np.flatnonzero(y[1] != x[1, i]) + x.shape[1]
-        yield _pairs(size, node, np.full(len(to), i), to, similarity)
+        yield _pairs(rows, np.full(len(to), i), to, similarity)
 
 
 def _gathered(found, most: int = 1 << 17):
@@ -427,14 +428,14 @@ def _across_runs(batches, similarity: float, block: int):
     def hot(rows: np.ndarray, number: int) -> pa.RecordBatch:
         n = rows.shape[1]
         none = pa.nulls(n, pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(np.ones(n, bool)), pa.array(np.full(n, number)), *map(pa.array, rows), none, none, none], _NAMES)
+        return pa.RecordBatch.from_arrays([pa.array(np.ones(n, bool)), pa.array(np.full(n, number)), *map(pa.array, rows), none, none], _NAMES)
 
     def pairs(rows: np.ndarray):
         for x in _gathered(_across(rows, similarity)):
             none = pa.nulls(x.shape[1], pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(x.shape[1], bool)), *[none] * 5, *map(pa.array, x)], _NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(x.shape[1], bool)), *[none] * 6, *map(pa.array, x)], _NAMES)
 
-    rows, flushed = np.zeros((4, 0), np.int64), 0
+    rows, flushed = np.zeros((5, 0), np.int64), 0
     for batch in batches:
         rows = np.concatenate([rows, np.stack([c.to_numpy() for c in batch.columns])], 1)
         last = int(np.searchsorted(rows[0], rows[0, -1])) if rows.shape[1] else 0
@@ -459,17 +460,17 @@ _NAMES = [x.split()[0] for x in _FOUND.split(", ")]
 
 
 def _across_blocks(batches, similarity: float):
-    """Reads (key, x, y, second, class, size, node) sorted by the first four: rows of block x, then of block y."""
+    """Reads (key, x, y, second, class, size, place, node) sorted by the first five: rows of block x, then of block y."""
 
     def done(first: list, second: list):
         x = np.concatenate(first, 1)
         for p in _gathered(_between(x, np.concatenate(second, 1), similarity) if second else _across(x, similarity)):
-            yield pa.RecordBatch.from_arrays([*map(pa.array, p)], ["a", "b", "need"])
+            yield pa.RecordBatch.from_arrays([*map(pa.array, p)], ["a", "b"])
 
     held, name = ([], []), None
     for b in batches:
         ids = np.stack([b.column(i).to_numpy() for i in range(4)], 1)
-        rows = np.stack([b.column(i).to_numpy() for i in (0, 4, 5, 6)])
+        rows = np.stack([b.column(i).to_numpy() for i in (0, 4, 5, 6, 7)])
         cuts = np.r_[0, np.flatnonzero((ids[1:] != ids[:-1]).any(1)) + 1, len(ids)]
         for s, e in zip(cuts[:-1], cuts[1:]):
             if e > s:
@@ -503,13 +504,14 @@ def unlinked(marks: DataFrame, groups: DataFrame, similarity: float) -> DataFram
                     total += len(firsts[to]) // 8
                     to += 1
                 count = [len(x) // 8 for x in firsts[at:to]]
+                place = np.concatenate([np.arange(x) for x in count])
                 columns = [np.repeat(c.slice(at, to - at).to_numpy(), count) for c in b.columns[:3]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(firsts[at:to]), "<i8")), *map(pa.array, columns)], _HELD)
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(firsts[at:to]), "<i8")), *map(pa.array, columns[:2]), pa.array(place), pa.array(columns[2])], _HELD)
                 at = to
 
-    rows = sets.mapInArrow(keyed, "key long, class long, size long, node long").repartition(n, "key").sortWithinPartitions("key", "class")
+    rows = sets.mapInArrow(keyed, "key long, class long, size long, place long, node long").repartition(n, "key").sortWithinPartitions("key", "class")
     found = checkpoint(rows.mapInArrow(partial(_across_runs, similarity=similarity, block=BLOCK), _FOUND))
-    out = found.where(~F.col("hot")).select("a", "b", "need")
+    out = found.where(~F.col("hot")).select("a", "b")
     hot = found.where("hot")
     if not hot.isEmpty():
         blocks = hot.groupBy("key", "block").agg(F.min("class").alias("lo"), F.max("class").alias("hi"))
@@ -517,11 +519,11 @@ def unlinked(marks: DataFrame, groups: DataFrame, similarity: float) -> DataFram
         cells = x.join(y, "key").where("block_x <= block_y and least(lo_x, lo_y) < greatest(hi_x, hi_y)").select("key", F.col("block_x").alias("x"), F.col("block_y").alias("y"))
         sides = cells.select("key", "x", "y", F.col("x").alias("block"), F.lit(0).cast("long").alias("second"))
         sides = sides.union(cells.where("x < y").select("key", "x", "y", "y", F.lit(1).cast("long")))
-        dealt = hot.join(sides, ["key", "block"]).select("key", "x", "y", "second", "class", "size", "node")
+        dealt = hot.join(sides, ["key", "block"]).select("key", "x", "y", "second", "class", "size", "place", "node")
         dealt = dealt.repartition(n, "key", "x", "y").sortWithinPartitions("key", "x", "y", "second", "class")
-        out = out.unionByName(dealt.mapInArrow(partial(_across_blocks, similarity=similarity), "a long, b long, need long"))
+        out = out.unionByName(dealt.mapInArrow(partial(_across_blocks, similarity=similarity), "a long, b long"))
     # sets whose 64 bits of hash are the same only make more pairs to compare
-    pairs = out.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("need").alias("need")).where("shared >= need")
+    pairs = out.groupBy("a", "b").agg(F.count("*").alias("shared"))
     whole = marks.select("node").distinct().select(F.xxhash64("node").alias("short"), "node")
     for c in "ab":
         pairs = pairs.withColumnRenamed(c, "short").join(whole.withColumnRenamed("node", c), "short").drop("short")

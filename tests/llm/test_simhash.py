@@ -218,7 +218,7 @@ def test_pairs_of_different_classes_come_from_runs_of_any_length(spark, monkeypa
 
 
 def test_frequent_shingles_are_last_in_the_order(spark):
-    texts = spark.createDataFrame([(f"{i} x y z own{i} the same five words here",) for i in range(8)], "text string")
+    texts = spark.createDataFrame([(f"{i} x{i} y z own{i} the same five words here",) for i in range(8)], "text string")
     keys, ranks = S.frequent(texts, 5)
     common = np.unique(S._hashes([b"the same five words here"], 42).view("<u8"))
     assert keys.tolist() == common.tolist() and ranks.tolist() == [0]
