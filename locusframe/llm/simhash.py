@@ -31,6 +31,7 @@ with names used here are carried untouched.
 
 from __future__ import annotations
 
+import gc
 from functools import partial
 
 import numpy as np
@@ -45,7 +46,7 @@ BLOCK = 4096
 #: Runs up to this length are compared all at once; longer ones fingerprint by fingerprint.
 SHORT = 256
 #: Texts from which the frequent shingles are learnt.
-SAMPLE = 50_000
+SAMPLE = 20_000
 _FP = ">u8"
 
 
@@ -326,6 +327,12 @@ def frequent(texts: DataFrame, shingle: int, sample: int = SAMPLE, least: int =
     return keys[by], order[by]
 
 
+def _released(spark) -> None:
+    """Lets Spark delete shuffle files of plans that nothing refers to any more, now and not when the driver's heap fills."""
+    gc.collect()
+    spark._jvm.java.lang.System.gc()
+
+
 def _least(n, share: float):
     """The least number of ``n`` that is that share of them."""
     return np.ceil(share * n - 1e-9).astype(np.int64)
@@ -345,6 +352,7 @@ def signed(docs: DataFrame, id_col: str, text_col: str, shingle: int, words: int
     """(id, digest, fp, node, size, prefix): as ``fingerprints`` of distinct shingles; 128 bits that stand for the set of shingles, how many it has and the hashes of its prefix."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     known = frequent(docs.select(text), shingle)
+    _released(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
@@ -606,7 +614,9 @@ def similar(marks: DataFrame, texts: DataFrame, proposed: DataFrame, shingle: in
     equal = of.join(stands, "fp").where("node <> stands").select(F.col("stands").alias("a"), F.col("node").alias("b"))
     found = checkpoint(alike(checkpoint(pairs.unionByName(equal)), digests, texts, shingle, similarity))
     groups = checkpoint(components(found))
+    _released(marks.sparkSession)
     asked = checkpoint(unlinked(marks.select("node", "size", "prefix"), groups, similarity))
+    _released(marks.sparkSession)
     # one for each node first, as these may join the classes of many others
     best = checkpoint(asked.groupBy("a").agg(F.max_by("b", "shared").alias("b")))
     for some in (best, asked.join(best, ["a", "b"], "left_anti")):
@@ -631,6 +641,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     else:
         marks = checkpoint(signed(docs, id_col, text_col, shingle, words, similarity))
         found = checkpoint(links(marks.select("fp").distinct(), max_distance, words, segments))
+        _released(docs.sparkSession)
         text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
         groups = similar(marks, docs.select(F.md5(text).alias("digest"), text.alias("text")), found, shingle, similarity)
     groups = groups.withColumnRenamed("node", "of")
