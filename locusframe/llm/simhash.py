@@ -538,12 +538,16 @@ def unlinked(marks: DataFrame, groups: DataFrame, similarity: float) -> DataFram
     return pairs.select("a", "b", "shared")
 
 
-def alike(pairs: DataFrame, marks: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The ``pairs`` (a, b) of nodes whose texts reach the similarity; ``marks``: (digest, node), ``texts``: (digest, text)."""
-    ship(pairs.sparkSession)
+def held_texts(pairs: DataFrame, marks: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, text) of the nodes of ``pairs`` (a, b); ``marks``: (digest, node), ``texts``: (digest, text)."""
     asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     asked = marks.join(asked.hint("rebalance"), "node").groupBy("node").agg(F.min("digest").alias("digest"))  # all texts of a node have one set
-    held = checkpoint(texts.join(asked.hint("rebalance"), "digest").groupBy("node").agg(F.min("text").alias("text")))
+    return checkpoint(texts.join(asked.hint("rebalance"), "digest").groupBy("node").agg(F.min("text").alias("text")))
+
+
+def alike(pairs: DataFrame, held: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The ``pairs`` (a, b) of nodes whose texts (``held``: node, text) reach the similarity."""
+    ship(pairs.sparkSession)
 
     def compared(batches):
         for b in batches:
@@ -612,11 +616,16 @@ def similar(marks: DataFrame, texts: DataFrame, proposed: DataFrame, shingle: in
     for c in "ab":
         pairs = pairs.withColumnRenamed(c, "fp").join(stands, "fp").drop("fp").withColumnRenamed("stands", c)
     equal = of.join(stands, "fp").where("node <> stands").select(F.col("stands").alias("a"), F.col("node").alias("b"))
-    found = checkpoint(alike(checkpoint(pairs.unionByName(equal)), digests, texts, shingle, similarity))
+    pairs = checkpoint(pairs.unionByName(equal))
+    held = held_texts(pairs, digests, texts)
+    _released(marks.sparkSession)
+    found = checkpoint(alike(pairs, held, shingle, similarity))
     groups = checkpoint(components(found))
     _released(marks.sparkSession)
     asked = checkpoint(unlinked(marks.select("node", "size", "prefix"), groups, similarity))
     _released(marks.sparkSession)
+    held = held_texts(asked, digests, texts)
+    _released(marks.sparkSession)
     # one for each node first, as these may join the classes of many others
     best = checkpoint(asked.groupBy("a").agg(F.max_by("b", "shared").alias("b")))
     for some in (best, asked.join(best, ["a", "b"], "left_anti")):
@@ -625,7 +634,7 @@ def similar(marks: DataFrame, texts: DataFrame, proposed: DataFrame, shingle: in
             some = some.join(root, c, "left").withColumn(f"root_{c}", F.coalesce(f"root_{c}", c))
         some = checkpoint(some.where("root_a <> root_b").select("a", "b"))
         if not some.isEmpty():
-            found = checkpoint(found.unionByName(alike(some, digests, texts, shingle, similarity)))
+            found = checkpoint(found.unionByName(alike(some, held, shingle, similarity)))
             groups = checkpoint(components(found))
     return groups
 
