@@ -19,9 +19,11 @@ size.
 Where a ``similarity`` is asked for, the forest only proposes links, which are compared as texts. What it leaves out
 (links beside those taken, of lost segments, beyond the distance) is found exactly: in one order of all shingles, two sets
 of that similarity share one of their first n - ceil(similarity * n) + 1 ones (prefix filter), and enough must follow the
-first they share (positional filter); the pairs that remain between different classes are compared as texts too. So
-classes are those of all pairs of texts that reach the similarity. Shingles frequent in a sample come last in the order, which
-only spares pairs; there is no cap on how many texts share one.
+first they share (positional filter). Texts of different classes that meet so are brought together, each company once,
+and compared where they meet, as a run or as pairs of its blocks: no table of pairs is made, which would grow with the
+square of a group of texts just below the similarity; only links that join classes come out. So classes are those of all
+pairs of texts that reach the similarity. Shingles frequent in a sample come last in the order, which only spares
+comparisons; there is no cap on how many texts share one.
 
 Edge cases: null and blank texts have fingerprint 0 and link like any other; texts of fewer words than a shingle are one
 shingle; rows that repeat a doc_id get their own texts' classes; rows with a null doc_id take part in linking but never
@@ -32,6 +34,7 @@ with names used here are carried untouched.
 from __future__ import annotations
 
 import gc
+import time
 from functools import partial
 
 import numpy as np
@@ -39,12 +42,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, partitions, ship
+from .common import checkpoint, mix, partitions, ship
 
 #: Fingerprints of one key that are compared at once; longer runs are dealt out as pairs of blocks.
 BLOCK = 4096
 #: Runs up to this length are compared all at once; longer ones fingerprint by fingerprint.
 SHORT = 256
+#: Shingles of texts that are compared at once, but for a single larger text.
+SHINGLES = 1 << 19
 #: Texts from which the frequent shingles are learnt.
 SAMPLE = 20_000
 _FP = ">u8"
@@ -327,9 +332,14 @@ def frequent(texts: DataFrame, shingle: int, sample: int = SAMPLE, least: int =
     return keys[by], order[by]
 
 
-def _released(spark) -> None:
+def _released(spark, wait: bool = True) -> None:
     """Lets Spark delete shuffle files of plans that nothing refers to any more, now and not when the driver's heap fills."""
     gc.collect()
+    left = getattr(spark.sparkContext._gateway._gateway_client, "finalizer_deque", None)
+    for _ in range(20 * wait):  # py4j's thread tells the JVM within a second what Python has let go of
+        if not left:
+            break
+        time.sleep(0.1)
     spark._jvm.java.lang.System.gc()
 
 
@@ -374,127 +384,140 @@ def signed(docs: DataFrame, id_col: str, text_col: str, shingle: int, words: int
     return docs.select(F.col(id_col).alias("id"), F.md5(text).alias("digest"), text.alias("text")).mapInArrow(run, f"id {kind}, digest string, fp binary, node binary, size long, prefix binary")
 
 
-_HELD = ["key", "class", "size", "place", "node"]
-_FOUND = "hot boolean, block long, key long, class long, size long, place long, node long, a long, b long"
+_HELD = ["key", "class", "size", "place", "short"]
+_MET = ["run", "class", "size", "short"]
+_CELL = "run long, block long, class long, size long, short long"
 
 
-def _pairs(rows: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
-    """(a, b) of those pairs (i, j) that can reach the similarity if the key is the first they share: by sizes, and by what follows it in both."""
+def _can(rows: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
+    """Which pairs (i, j) can reach the similarity if the key is the first they share: by sizes, and by what follows it in both."""
     x, y = rows[2, i], rows[2, j]
     follow = np.minimum(x - rows[3, i], y - rows[3, j])
-    ok = (np.minimum(x, y) >= similarity * np.maximum(x, y) - 1e-9) & (follow >= _least(x + y, similarity / (1 + similarity)))
-    a, b = rows[4, i[ok]], rows[4, j[ok]]
-    return np.stack([np.minimum(a, b), np.maximum(a, b)])
+    return _near(x, y, similarity) & (follow >= _least(x + y, similarity / (1 + similarity)))
+
 
+def _near(x, y, similarity: float):
+    """Whether sets of ``x`` and ``y`` shingles can reach the similarity."""
+    return np.minimum(x, y) >= similarity * np.maximum(x, y) - 1e-9
 
-def _across(rows: np.ndarray, similarity: float):
-    """(a, b) of pairs of different classes in runs of one key; ``rows``: as ``_HELD``, sorted by key and class."""
+
+def _meetings(rows: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of runs of one key (as ``_HELD``, sorted by key and class) that have a pair in another class, and where their runs begin."""
     begin = np.flatnonzero(np.r_[True, rows[0, 1:] != rows[0, :-1]])
     length = np.diff(np.r_[begin, rows.shape[1]])
     mixed = rows[1, begin] != rows[1, begin + length - 1]
-    for at, n in zip(begin[mixed & (length > SHORT)], length[mixed & (length > SHORT)]):
-        run = rows[:, at : at + n]
-        for i, j in enumerate(np.searchsorted(run[1], run[1], "right")):  # whatever comes after its own class
-            if j < n:
-                to = np.arange(j, n)
-                yield _pairs(run, np.full(len(to), i), to, similarity)
-    rows = rows[:, np.repeat(mixed & (length <= SHORT), length)]
-    key, cls = rows[:2]
+    rows, long = rows[:, np.repeat(mixed, length)], np.repeat(length[mixed] > SHORT, length[mixed])
+    met, key, cls = long.copy(), rows[0], rows[1]
+    at = np.flatnonzero(~long)
     for d in range(1, SHORT):
-        same = np.flatnonzero(key[d:] == key[:-d]) if len(key) > d else ()
-        if not len(same):
+        at = at[at < len(key) - d]
+        at = at[key[at] == key[at + d]]
+        if not len(at):
             break
-        same = same[cls[same] != cls[same + d]]
-        yield _pairs(rows, same, same + d, similarity)
-
-
-def _between(x: np.ndarray, y: np.ndarray, similarity: float):
-    """(a, b) of pairs of different classes between two blocks of a run."""
-    rows = np.concatenate([x, y], 1)
-    for i in range(x.shape[1]):
-        to = np.flatnonzero(y[1] != x[1, i]) + x.shape[1]
-        yield _pairs(rows, np.full(len(to), i), to, similarity)
-
-
-def _gathered(found, most: int = 1 << 17):
-    """Fewer, larger arrays of the same columns."""
-    held, n = [], 0
-    for x in found:
-        if x.shape[1]:
-            held.append(x)
-            n += x.shape[1]
-        if n >= most:
-            yield np.concatenate(held, 1)
-            held, n = [], 0
-    if held:
-        yield np.concatenate(held, 1)
-
-
-def _across_runs(batches, similarity: float, block: int):
-    """Reads ``_HELD`` sorted by key and class; gives pairs, and blocks of the rows of very long runs."""
-
-    def hot(rows: np.ndarray, number: int) -> pa.RecordBatch:
-        n = rows.shape[1]
-        none = pa.nulls(n, pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(np.ones(n, bool)), pa.array(np.full(n, number)), *map(pa.array, rows), none, none], _NAMES)
-
-    def pairs(rows: np.ndarray):
-        for x in _gathered(_across(rows, similarity)):
-            none = pa.nulls(x.shape[1], pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(x.shape[1], bool)), *[none] * 6, *map(pa.array, x)], _NAMES)
-
-    rows, flushed = np.zeros((5, 0), np.int64), 0
+        i = at[cls[at] != cls[at + d]]
+        i = i[_can(rows, i, i + d, similarity)]
+        met[i] = met[i + d] = True
+    rows = rows[:, met]
+    return rows, np.flatnonzero(np.r_[True, rows[0, 1:] != rows[0, :-1]]) if rows.shape[1] else np.zeros(0, np.int64)
+
+
+def _runs(batches, similarity: float, most: int):
+    """Reads ``_HELD`` sorted by key and class; gives ``_MET``: texts that share a key and may be similar, each such company once.
+
+    A run's number comes from who is in it, so what many shingles say in the same way is said once for each task. Runs of
+    over ``most`` rows, which are not held, keep their key as their number.
+    """
+    seen: set[int] = set()
+
+    def given(run: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(run), *map(pa.array, rows[[1, 2, 4]])], _MET)
+
+    def met(rows: np.ndarray):
+        rows, begin = _meetings(rows, similarity)
+        if len(begin):
+            company = np.add.reduceat(mix(rows[4].view(np.uint64)), begin).view(np.int64)
+            fresh = np.zeros(len(begin), bool)
+            for i, x in enumerate(company.tolist()):
+                if x not in seen:
+                    if len(seen) >= 1 << 19:
+                        seen.clear()
+                    seen.add(x)
+                    fresh[i] = True
+            length = np.diff(np.r_[begin, rows.shape[1]])
+            yield given(np.repeat(company[fresh], length[fresh]), rows[:, np.repeat(fresh, length)])
+
+    rows, flushed = np.zeros((5, 0), np.int64), False
     for batch in batches:
         rows = np.concatenate([rows, np.stack([c.to_numpy() for c in batch.columns])], 1)
         last = int(np.searchsorted(rows[0], rows[0, -1])) if rows.shape[1] else 0
         if last:
             if flushed:
                 n = int(np.searchsorted(rows[0], rows[0, 0], "right"))
-                yield hot(rows[:, :n], flushed)
-                rows, last, flushed = rows[:, n:], last - n, 0
+                yield given(rows[0, :n], rows[:, :n])
+                rows, last, flushed = rows[:, n:], last - n, False
             if last:
-                yield from pairs(rows[:, :last])
+                yield from met(rows[:, :last])
             rows = rows[:, last:]
-        while rows.shape[1] > 2 * block:
-            yield hot(rows[:, :block], flushed)
-            rows, flushed = rows[:, block:], flushed + 1
+        if rows.shape[1] > most:
+            yield given(rows[0], rows)
+            rows, flushed = rows[:, :0], True
     if flushed:
-        yield hot(rows, flushed)
+        yield given(rows[0], rows)
     elif rows.shape[1]:
-        yield from pairs(rows)
-
-
-_NAMES = [x.split()[0] for x in _FOUND.split(", ")]
-
-
-def _across_blocks(batches, similarity: float):
-    """Reads (key, x, y, second, class, size, place, node) sorted by the first five: rows of block x, then of block y."""
-
-    def done(first: list, second: list):
-        x = np.concatenate(first, 1)
-        for p in _gathered(_between(x, np.concatenate(second, 1), similarity) if second else _across(x, similarity)):
-            yield pa.RecordBatch.from_arrays([*map(pa.array, p)], ["a", "b"])
-
-    held, name = ([], []), None
-    for b in batches:
-        ids = np.stack([b.column(i).to_numpy() for i in range(4)], 1)
-        rows = np.stack([b.column(i).to_numpy() for i in (0, 4, 5, 6, 7)])
-        cuts = np.r_[0, np.flatnonzero((ids[1:] != ids[:-1]).any(1)) + 1, len(ids)]
-        for s, e in zip(cuts[:-1], cuts[1:]):
-            if e > s:
-                if name is not None and tuple(ids[s, :3]) != name:
-                    yield from done(*held)
-                    held = ([], [])
-                name = tuple(ids[s, :3])
-                held[ids[s, 3]].append(rows[:, s:e])
-    if held[0]:
-        yield from done(*held)
+        yield from met(rows)
+
+
+def _numbered(batches, block: int, most: int):
+    """Reads ``_MET`` sorted by run, class and short; gives ``_CELL``, without repeats: -1 where a run is one block, else blocks of
+    at most ``block`` rows and ``most`` shingles (a larger text stands alone). Runs of one class are left out if they are one block."""
+
+    def cut(rows: np.ndarray, number: int) -> np.ndarray:
+        total, out, at = np.cumsum(rows[2]), np.zeros(rows.shape[1], np.int64), 0
+        while at < len(out):
+            to = min(at + block, max(at + 1, int(np.searchsorted(total, total[at] - rows[2, at] + most, "right"))))
+            out[at:to] = number
+            at, number = to, number + 1
+        return out
+
+    def given(rows: np.ndarray, numbers: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (rows[0], numbers, *rows[1:])], ["run", "block", "class", "size", "short"])
+
+    def whole(rows: np.ndarray):
+        begin = np.flatnonzero(np.r_[True, rows[0, 1:] != rows[0, :-1]])
+        length = np.diff(np.r_[begin, rows.shape[1]])
+        mixed = rows[1, begin] != rows[1, begin + length - 1]
+        alone = (length <= block) & (np.add.reduceat(rows[2], begin) <= most)
+        few = rows[:, np.repeat(alone & mixed, length)]
+        yield given(few, np.full(few.shape[1], -1))
+        for at, n in zip(begin[~alone & mixed], length[~alone & mixed]):
+            yield given(rows[:, at : at + n], cut(rows[:, at : at + n], 0))
+
+    rows, number = np.zeros((4, 0), np.int64), 0
+    for batch in batches:
+        rows = np.concatenate([rows, np.stack([c.to_numpy() for c in batch.columns])], 1)
+        rows = rows[:, np.r_[True, (rows[:, 1:] != rows[:, :-1]).any(0)]] if rows.shape[1] else rows
+        last = int(np.searchsorted(rows[0], rows[0, -1])) if rows.shape[1] else 0
+        if last:
+            if number:
+                n = int(np.searchsorted(rows[0], rows[0, 0], "right"))
+                yield given(rows[:, :n], cut(rows[:, :n], number))
+                rows, last, number = rows[:, n:], last - n, 0
+            if last:
+                yield from whole(rows[:, :last])
+            rows = rows[:, last:]
+        while rows.shape[1] > 4 * block:
+            numbers = cut(rows[:, : 2 * block], number)
+            yield given(rows[:, : 2 * block], numbers)
+            rows, number = rows[:, 2 * block :], int(numbers[-1]) + 1
+    if rows.shape[1]:
+        yield from [given(rows, cut(rows, number))] if number else whole(rows)
 
 
-def unlinked(marks: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
-    """(a, b, shared): all pairs of nodes of different classes (``groups``: node, root) that can reach the similarity.
+def companies(marks: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
+    """(run, x, y, second, class, size, short): every pair of nodes of different classes (``groups``: node, root) that can reach
+    the similarity stands in some run, in block x and block y (``second``) or both in x where x = y; short: 64 bits of the node.
 
-    ``marks``: (node, size, prefix), a node in any number of rows.
+    ``marks``: (node, size, prefix), a node in any number of rows. The rows grow with those of the prefixes, not with pairs.
     """
     spark = marks.sparkSession
     ship(spark)
@@ -517,31 +540,124 @@ def unlinked(marks: DataFrame, groups: DataFrame, similarity: float) -> DataFram
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(firsts[at:to]), "<i8")), *map(pa.array, columns[:2]), pa.array(place), pa.array(columns[2])], _HELD)
                 at = to
 
-    rows = sets.mapInArrow(keyed, "key long, class long, size long, place long, node long").repartition(n, "key").sortWithinPartitions("key", "class")
-    found = checkpoint(rows.mapInArrow(partial(_across_runs, similarity=similarity, block=BLOCK), _FOUND))
-    out = found.where(~F.col("hot")).select("a", "b")
-    hot = found.where("hot")
-    if not hot.isEmpty():
-        blocks = hot.groupBy("key", "block").agg(F.min("class").alias("lo"), F.max("class").alias("hi"))
-        x, y = (blocks.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("block", "lo", "hi"))) for side in "xy")
-        cells = x.join(y, "key").where("block_x <= block_y and least(lo_x, lo_y) < greatest(hi_x, hi_y)").select("key", F.col("block_x").alias("x"), F.col("block_y").alias("y"))
-        sides = cells.select("key", "x", "y", F.col("x").alias("block"), F.lit(0).cast("long").alias("second"))
-        sides = sides.union(cells.where("x < y").select("key", "x", "y", "y", F.lit(1).cast("long")))
-        dealt = hot.join(sides, ["key", "block"]).select("key", "x", "y", "second", "class", "size", "place", "node")
-        dealt = dealt.repartition(n, "key", "x", "y").sortWithinPartitions("key", "x", "y", "second", "class")
-        out = out.unionByName(dealt.mapInArrow(partial(_across_blocks, similarity=similarity), "a long, b long"))
-    # sets whose 64 bits of hash are the same only make more pairs to compare
-    pairs = out.groupBy("a", "b").agg(F.count("*").alias("shared"))
-    whole = marks.select("node").distinct().select(F.xxhash64("node").alias("short"), "node")
-    for c in "ab":
-        pairs = pairs.withColumnRenamed(c, "short").join(whole.withColumnRenamed("node", c), "short").drop("short")
-    return pairs.select("a", "b", "shared")
+    rows = sets.mapInArrow(keyed, ", ".join(f"{x} long" for x in _HELD)).repartition(n, "key").sortWithinPartitions("key", "class")
+    runs = rows.mapInArrow(partial(_runs, similarity=similarity, most=8 * BLOCK), ", ".join(f"{x} long" for x in _MET))
+    runs = runs.repartition(n, "run").sortWithinPartitions("run", "class", "short")
+    found = checkpoint(runs.mapInArrow(partial(_numbered, block=BLOCK, most=SHINGLES), _CELL))
+    zero = F.lit(0).cast("long")
+    out = found.where("block < 0").select("run", zero.alias("x"), zero.alias("y"), zero.alias("second"), "class", "size", "short")
+    many = found.where("block >= 0")
+    if not many.isEmpty():
+        blocks = many.groupBy("run", "block").agg(F.min("class").alias("lo"), F.max("class").alias("hi"))
+        x, y = (blocks.select("run", *(F.col(c).alias(f"{c}_{side}") for c in ("block", "lo", "hi"))) for side in "xy")
+        cells = x.join(y, "run").where("block_x <= block_y and least(lo_x, lo_y) < greatest(hi_x, hi_y)").select("run", F.col("block_x").alias("x"), F.col("block_y").alias("y"))
+        sides = cells.select("run", "x", "y", F.col("x").alias("block"), zero.alias("second"))
+        sides = sides.union(cells.where("x < y").select("run", "x", "y", "y", F.lit(1).cast("long")))
+        out = out.unionByName(many.join(sides, ["run", "block"]).select("run", "x", "y", "second", "class", "size", "short"))
+    return out
+
+
+def _cells(batches, read):
+    """What ``read`` gives for the rows of block x and those of block y of each cell; batches: (run, x, y, second, ...) sorted by these."""
+    held, name = ([], []), None
+    for b in batches:
+        ids = np.stack([b.column(i).to_numpy() for i in range(4)], 1)
+        cuts = np.r_[0, np.flatnonzero((ids[1:] != ids[:-1]).any(1)) + 1, len(ids)]
+        for s, e in zip(cuts[:-1], cuts[1:]):
+            if e > s:
+                if name is not None and tuple(ids[s, :3]) != name:
+                    yield held
+                    held = ([], [])
+                name = tuple(ids[s, :3])
+                held[ids[s, 3]].extend(read(b.slice(s, e - s)))
+    if held[0]:
+        yield held
 
 
-def held_texts(pairs: DataFrame, marks: DataFrame, texts: DataFrame) -> DataFrame:
-    """(node, text) of the nodes of ``pairs`` (a, b); ``marks``: (digest, node), ``texts``: (digest, text)."""
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    asked = marks.join(asked.hint("rebalance"), "node").groupBy("node").agg(F.min("digest").alias("digest"))  # all texts of a node have one set
+def _placed(cells: DataFrame, nodes: DataFrame, *more: str) -> DataFrame:
+    """Rows of ``cells`` with their nodes (short, node, ...), a cell in one task; two nodes of the same 64 bits are a row each."""
+    rows = cells.join(nodes, "short").select("run", "x", "y", "second", "class", "size", "node", *more)
+    return rows.repartition(partitions(cells.sparkSession), "run", "x", "y").sortWithinPartitions("run", "x", "y", "second", "class")
+
+
+def unlinked(marks: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): all pairs of nodes of different classes (``groups``: node, root) that meet in ``companies``, which ``confirmed`` compares
+    without listing them: they can grow with the square of a group. ``marks``: (node, size, prefix), a node in any number of rows."""
+
+    def listed(batches):
+        for first, second in _cells(batches, lambda b: list(zip(*(b.column(i).to_pylist() for i in (4, 5, 6))))):
+            for i, (cls, size, node) in enumerate(first):
+                pairs = [sorted((node, y[2])) for y in second or first[i + 1 :] if y[0] != cls and _near(size, y[1], similarity)]
+                if pairs:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*pairs)], ["a", "b"])
+
+    nodes = marks.select(F.xxhash64("node").alias("short"), "node").distinct()
+    return _placed(companies(marks, groups, similarity), nodes).mapInArrow(listed, "a binary, b binary").distinct()
+
+
+def linking(sets: list[np.ndarray], classes: list[int], split: int, similarity: float) -> list[tuple[int, int]]:
+    """Pairs (numbers of ``sets``) of that Jaccard similarity that connect whatever all such pairs of different classes do:
+    pairs of the first ``split`` sets and the others, or of all if there are no others."""
+    n, size = len(sets), np.array([len(x) for x in sets])
+    comp, out = np.unique(classes, return_inverse=True)[1], []
+    tokens = np.concatenate(sets)
+    order = np.argsort(tokens, kind="stable")
+    owner, tokens = np.repeat(np.arange(n), size)[order], tokens[order]
+    begin = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
+    count = np.diff(np.r_[begin, len(tokens)])
+    which = np.empty(len(tokens), np.int64)
+    which[order] = np.repeat(np.arange(len(begin)), count)
+    first = np.r_[0, np.cumsum(size)]
+    for i in range(split):
+        to = np.arange(split if split < n else i + 1, n)
+        to = to[comp[to] != comp[i]]
+        if len(to):
+            t = which[first[i] : first[i + 1]]
+            t = t[count[t] > 1]
+            c = count[t]
+            at = np.repeat(begin[t] - np.cumsum(c) + c, c) + np.arange(c.sum())
+            both = np.bincount(owner[at], minlength=n)[to]
+            to = to[both >= similarity * (size[i] + size[to] - both) - 1e-9]
+            for cls, j in zip(*np.unique(comp[to], return_index=True)):
+                out.append((i, int(to[j])))
+                comp[comp == cls] = comp[i]
+    return out
+
+
+def confirmed(cells: DataFrame, held: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(a, b): links of that similarity between nodes of different classes that connect whatever all such links in ``cells`` (as of
+    ``companies``) connect; ``held``: (node, text). Pairs are compared where they meet; only links leave a task."""
+    ship(cells.sparkSession)
+
+    def compared(batches):
+        known: dict[bytes, np.ndarray] = {}
+        total = 0
+
+        def read(b):
+            nonlocal total
+            for cls, node, text in zip(b.column(4).to_pylist(), b.column(6).to_pylist(), b.column(7)):
+                if node not in known:
+                    if total > SHINGLES:
+                        known.clear()
+                        total = 0
+                    known[node] = shingle_set(text.as_buffer().to_pybytes(), shingle)
+                    total += len(known[node])
+                yield cls, node, known[node]
+
+        for first, second in _cells(batches, read):
+            classes, nodes, sets = zip(*first, *second)
+            pairs = linking(sets, classes, len(first), similarity)
+            if pairs:
+                yield pa.RecordBatch.from_arrays([pa.array([nodes[k] for k in x], pa.binary()) for x in zip(*pairs)], ["a", "b"])
+
+    texts = held.select(F.xxhash64("node").alias("short"), "node", F.col("text").cast("binary").alias("text"))
+    return _placed(cells, texts, "text").mapInArrow(compared, "a binary, b binary")
+
+
+def held_texts(asked: DataFrame, marks: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, text) of the nodes ``asked`` for (short: 64 bits of theirs); ``marks``: (digest, node), ``texts``: (digest, text)."""
+    marks = marks.select("digest", "node", F.xxhash64("node").alias("short"))
+    asked = marks.join(asked.select("short").distinct().hint("rebalance"), "short").groupBy("node").agg(F.min("digest").alias("digest"))  # all texts of a node have one set
     return checkpoint(texts.join(asked.hint("rebalance"), "digest").groupBy("node").agg(F.min("text").alias("text")))
 
 
@@ -593,6 +709,7 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.union(large.select("u", "u")).where("v <= u")
         small = rooted(down, F.lit(True)).where("u <> v").distinct()
         e = checkpoint(small)
+        _released(e.sparkSession, wait=False)  # a round's shuffles are files for each task, however few links there are
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_distance: int = 4) -> DataFrame:
@@ -617,26 +734,18 @@ def similar(marks: DataFrame, texts: DataFrame, proposed: DataFrame, shingle: in
         pairs = pairs.withColumnRenamed(c, "fp").join(stands, "fp").drop("fp").withColumnRenamed("stands", c)
     equal = of.join(stands, "fp").where("node <> stands").select(F.col("stands").alias("a"), F.col("node").alias("b"))
     pairs = checkpoint(pairs.unionByName(equal))
-    held = held_texts(pairs, digests, texts)
+    held = held_texts(pairs.select(F.explode(F.array(F.xxhash64("a"), F.xxhash64("b"))).alias("short")), digests, texts)
     _released(marks.sparkSession)
     found = checkpoint(alike(pairs, held, shingle, similarity))
     groups = checkpoint(components(found))
     _released(marks.sparkSession)
-    asked = checkpoint(unlinked(marks.select("node", "size", "prefix"), groups, similarity))
+    cells = checkpoint(companies(marks.select("node", "size", "prefix"), groups, similarity))
+    _released(marks.sparkSession)
+    held = held_texts(cells, digests, texts)
     _released(marks.sparkSession)
-    held = held_texts(asked, digests, texts)
+    more = checkpoint(confirmed(cells, held, shingle, similarity))
     _released(marks.sparkSession)
-    # one for each node first, as these may join the classes of many others
-    best = checkpoint(asked.groupBy("a").agg(F.max_by("b", "shared").alias("b")))
-    for some in (best, asked.join(best, ["a", "b"], "left_anti")):
-        for c in "ab":
-            root = groups.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-            some = some.join(root, c, "left").withColumn(f"root_{c}", F.coalesce(f"root_{c}", c))
-        some = checkpoint(some.where("root_a <> root_b").select("a", "b"))
-        if not some.isEmpty():
-            found = checkpoint(found.unionByName(alike(some, held, shingle, similarity)))
-            groups = checkpoint(components(found))
-    return groups
+    return groups if more.isEmpty() else checkpoint(components(found.unionByName(more)))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float | None = 0.8, max_distance: int = 26, segments: int | None = 17, words: int = 2) -> DataFrame:

@@ -217,6 +217,74 @@ def test_pairs_of_different_classes_come_from_runs_of_any_length(spark, monkeypa
     assert all(of[i] != of[j] for i, j in got)
 
 
+def test_texts_just_below_the_similarity_are_not_listed_as_pairs(spark, monkeypatch):
+    """What is written between the phases grows with a group of such texts, not with its square."""
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    base = [word() for _ in range(179)]
+    texts = [" ".join(base + [word() for _ in range(25)]) for _ in range(320)]
+    texts += [t.rsplit(" ", 1)[0] for t in texts[::40]]  # some links beside
+    real, made, group = S.checkpoint, [], brute(texts)
+
+    def counted(df):
+        out = real(df)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(S, "checkpoint", counted)
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # of a large table the sample knows few shingles
+    monkeypatch.setattr(S, "frequent", lambda *_: none)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {r.doc_id for r in S.deduplicate(docs).collect()} == {group.index(g) for g in group}
+    assert len(set(group)) > 250
+    # proposals of fingerprints, the second table, are a forest for each key; pairs of texts are 51,040
+    assert max(made[:1] + made[2:]) < 20 * len(texts), made
+
+
+def test_links_of_a_cell_join_whatever_its_pairs_join():
+    rng = random.Random(15)
+    texts = list(families(rng, [9, 30, 100], 30))
+    rng.shuffle(texts)
+    sets = [S.shingle_set(t.encode(), 5) for t in texts]
+    n = len(sets)
+    for classes, split in ((range(n), n), ([i // 3 for i in range(n)], n), ([i // 3 for i in range(n)], 40), ([0] * n, n)):
+        def joined(links):
+            group = list(range(n))
+            for i, j in [*links, *((i, j) for j in range(n) for i in range(j) if classes[i] == classes[j])]:
+                group = [group[i] if g == group[j] else g for g in group]
+            return {frozenset(i for i in range(n) if group[i] == g) for g in group}
+
+        alike = lambda i, j: len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j])) - 1e-9
+        want = [(i, j) for i in range(split) for j in range(split if split < n else i + 1, n) if classes[i] != classes[j] and alike(i, j)]
+        got = S.linking(sets, list(classes), split, 0.8)
+        assert set(got) <= set(want) and joined(got) == joined(want)
+        assert len(got) < max(1, len(want))
+
+
+def test_runs_are_met_once_and_numbered_in_blocks():
+    import pyarrow as pa
+
+    def read(batches):
+        return [tuple(r.values()) for b in batches for r in b.to_pylist()]
+
+    held = [(k, c, 10, 0, 100 * c + i) for k in (1, 2) for c in range(2) for i in range(3)]  # the same company for two keys
+    held += [(3, 5, 10, 0, i) for i in range(4)]  # one class
+    held += [(4, 6, 10, 0, 1), (4, 7, 30, 0, 2)]  # sizes too far apart
+    batch = pa.RecordBatch.from_pylist([dict(zip(S._HELD, x)) for x in held])
+    met = read(S._runs([batch.slice(0, 5), batch.slice(5)], 0.8, 100))
+    assert len(met) == 6 and len({x[0] for x in met}) == 1 and {x[3] for x in met} == {x[4] for x in held[:6]}
+    long = read(S._runs([batch.slice(0, 4), batch.slice(4, 8), batch.slice(12)], 0.8, 3))
+    assert {(1, *x[1:3], x[4]) for x in held[:6]} <= set(long)
+    rows = [(1, c, 10, i) for c in range(2) for i in range(20) for _ in range(2)] + [(2, 0, 10, 1), (2, 1, 10, 2), (3, 0, 10, 1), (3, 0, 10, 2)]
+    batch = pa.RecordBatch.from_pylist([dict(zip(S._MET, x)) for x in rows])
+    for cuts in ([0, len(rows)], [0, 7, 50, 60, len(rows)]):
+        for block, most in ((4, 1000), (40, 35), (16, 1000)):
+            got = read(S._numbered([batch.slice(s, e - s) for s, e in zip(cuts, cuts[1:])], block, most))
+            assert sorted((x[0], *x[2:]) for x in got) == sorted(set(rows[:-2]))
+            assert {x[1] for x in got if x[0] == 2} == {-1} and {x[1] for x in got if x[0] == 1} == set(range(max(x[1] for x in got) + 1))
+            assert all(sum(y[:2] == x[:2] for y in got) <= min(block, most // 10) for x in got if x[1] >= 0)
+
+
 def test_frequent_shingles_are_last_in_the_order(spark):
     texts = spark.createDataFrame([(f"{i} x{i} y z own{i} the same five words here",) for i in range(8)], "text string")
     keys, ranks = S.frequent(texts, 5)
