@@ -19,8 +19,8 @@ size.
 Where a ``similarity`` is asked for, the forest only proposes links, which are compared as texts. What it leaves out
 (links beside those taken, of lost segments, beyond the distance) is found exactly: in one order of all shingles, two sets
 of that similarity share one of their first n - ceil(similarity * n) + 1 ones (prefix filter), and enough must follow the
-first they share (positional filter). Texts of different classes that meet so are brought together, each company once,
-and compared where they meet, as a run or as pairs of its blocks: no table of pairs is made, which would grow with the
+first they share (positional filter). Texts of different classes that meet so are brought together, each company once, and
+compared where they meet, by sketches whose distance is never over that of the sets, then those that stay by their texts, as a run or as pairs of its blocks: no table of pairs is made, which would grow with the
 square of a group of texts just below the similarity; only links that join classes come out. So classes are those of all
 pairs of texts that reach the similarity. Shingles frequent in a sample come last in the order, which only spares
 comparisons; there is no cap on how many texts share one.
@@ -359,7 +359,7 @@ def prefix(hashes: np.ndarray, similarity: float, known: tuple[np.ndarray, np.nd
 
 
 def signed(docs: DataFrame, id_col: str, text_col: str, shingle: int, words: int, similarity: float) -> DataFrame:
-    """(id, digest, fp, node, size, prefix): as ``fingerprints`` of distinct shingles; 128 bits that stand for the set of shingles, how many it has and the hashes of its prefix."""
+    """(id, digest, fp, node, size, prefix, sketch): as ``fingerprints`` of distinct shingles; 128 bits that stand for the set of shingles, how many it has, the hashes of its prefix and its sketch."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     known = frequent(docs.select(text), shingle)
     _released(docs.sparkSession)
@@ -369,7 +369,7 @@ def signed(docs: DataFrame, id_col: str, text_col: str, shingle: int, words: int
         from xxhash import xxh3_128_digest
 
         for b in batches:
-            fps, nodes, sizes, firsts = [], [], [], []
+            fps, nodes, sizes, firsts, drawn = [], [], [], [], []
             for t in b.column(2).cast(pa.large_binary()):
                 data = t.as_buffer().to_pybytes()
                 grams = set(_grams(data, shingle))
@@ -379,9 +379,10 @@ def signed(docs: DataFrame, id_col: str, text_col: str, shingle: int, words: int
                 nodes.append(xxh3_128_digest(own.tobytes()))
                 sizes.append(len(own))
                 firsts.append(prefix(own, similarity, known).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.binary()), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(firsts, pa.binary())], ["id", "digest", "fp", "node", "size", "prefix"])
+                drawn.append(sketch(own))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.binary()), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(firsts, pa.binary()), pa.array(drawn, pa.binary())], ["id", "digest", "fp", "node", "size", "prefix", "sketch"])
 
-    return docs.select(F.col(id_col).alias("id"), F.md5(text).alias("digest"), text.alias("text")).mapInArrow(run, f"id {kind}, digest string, fp binary, node binary, size long, prefix binary")
+    return docs.select(F.col(id_col).alias("id"), F.md5(text).alias("digest"), text.alias("text")).mapInArrow(run, f"id {kind}, digest string, fp binary, node binary, size long, prefix binary, sketch binary")
 
 
 _HELD = ["key", "class", "size", "place", "short"]
@@ -580,6 +581,49 @@ def _placed(cells: DataFrame, nodes: DataFrame, *more: str) -> DataFrame:
     return rows.repartition(partitions(cells.sparkSession), "run", "x", "y").sortWithinPartitions("run", "x", "y", "second", "class")
 
 
+def sketch(hashes: np.ndarray, most: int = 2048) -> bytes:
+    """The parity of how many of the distinct ``hashes`` fall on each of so many bits as there are hashes (a power of two, 64 to ``most``).
+
+    Two sketches differ in no more bits than their sets do in members; the longer one, folded, is one of the shorter length.
+    """
+    bits = min(most, 1 << max(6, (len(hashes) - 1).bit_length()))
+    return np.packbits(np.bincount((hashes >> np.uint64(17) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
+
+
+def close(sketches: list[bytes], sizes: np.ndarray, classes: np.ndarray, split: int, similarity: float) -> np.ndarray:
+    """Which sets have one of another class that can be that similar by ``sketch``; pairs as of ``linking``."""
+    length, met = np.array([len(x) for x in sketches]), np.zeros(len(sketches), bool)
+    for n in np.unique(length):  # pairs whose shorter sketch has that length; of similar sizes the other has twice that at most
+        at = np.flatnonzero((length == n) | (length == 2 * n))
+        x = np.stack([np.bitwise_xor.reduce(np.frombuffer(sketches[i], "<u8").reshape(-1, n // 8), 0) for i in at])
+        for k, i in enumerate(at):
+            to = np.flatnonzero((at >= split if i < split else at < split) if split < len(sketches) else at > i)
+            to = to[(classes[at[to]] != classes[i]) & ((length[i] == n) | (length[at[to]] == n))]
+            to = to[_near(sizes[i], sizes[at[to]], similarity)]
+            if len(to):
+                apart = np.bitwise_count(x[to] ^ x[k]).sum(1, dtype=np.int64)
+                to = to[apart <= (sizes[i] + sizes[at[to]]) * (1 - similarity) / (1 + similarity) + 1e-6]
+                met[at[to]] = True
+                met[i] |= len(to) > 0
+    return met
+
+
+def closer(cells: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """The rows of ``cells`` (as of ``companies``) that may have a link in their cell by ``sketches`` (node, sketch)."""
+    ship(cells.sparkSession)
+
+    def compared(batches):
+        for first, second in _cells(batches, lambda b: list(zip(*(c.to_pylist() for c in b.columns)))):
+            *ids, classes, sizes, nodes, made = zip(*first, *second)
+            met = close(made, np.array(sizes), np.array(classes), len(first), similarity)
+            if met.any():
+                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (*ids, classes, sizes)), pa.array(nodes, pa.binary())], ["run", "x", "y", "second", "class", "size", "node"]).filter(pa.array(met))
+
+    made = sketches.groupBy("node").agg(F.first("sketch").alias("sketch")).withColumn("short", F.xxhash64("node"))
+    left = _placed(cells, made, "sketch").mapInArrow(compared, "run long, x long, y long, second long, class long, size long, node binary")
+    return left.withColumn("short", F.xxhash64("node")).drop("node")
+
+
 def unlinked(marks: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
     """(a, b): all pairs of nodes of different classes (``groups``: node, root) that meet in ``companies``, which ``confirmed`` compares
     without listing them: they can grow with the square of a group. ``marks``: (node, size, prefix), a node in any number of rows."""
@@ -739,7 +783,9 @@ def similar(marks: DataFrame, texts: DataFrame, proposed: DataFrame, shingle: in
     found = checkpoint(alike(pairs, held, shingle, similarity))
     groups = checkpoint(components(found))
     _released(marks.sparkSession)
-    cells = checkpoint(companies(marks.select("node", "size", "prefix"), groups, similarity))
+    cells = companies(marks.select("node", "size", "prefix"), groups, similarity)
+    _released(marks.sparkSession)
+    cells = checkpoint(closer(cells, marks.select("node", "sketch"), similarity))
     _released(marks.sparkSession)
     held = held_texts(cells, digests, texts)
     _released(marks.sparkSession)

@@ -261,6 +261,28 @@ def test_links_of_a_cell_join_whatever_its_pairs_join():
         assert len(got) < max(1, len(want))
 
 
+def test_sketches_lose_no_pair_of_the_similarity():
+    rng = random.Random(16)
+    texts = list(families(rng, [9, 14, 60, 63, 100, 250, 2000, 5000], 15))
+    rng.shuffle(texts)
+    sets = [S.shingle_set(t.encode(), 5) for t in texts]
+    made, n = [S.sketch(x) for x in sets], len(sets)
+    assert {len(x) for x in made} >= {8, 16, 32, 256} and max(len(x) for x in made) == 256
+    sizes, alike = np.array([len(x) for x in sets]), np.zeros((n, n), bool)
+    for i in range(n):
+        for j in range(i):
+            alike[i, j] = alike[j, i] = len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j])) - 1e-9
+    for classes, split in ((np.arange(n), n), (np.arange(n) // 3, n), (np.arange(n) // 3, 50)):
+        asked = alike & (classes[:, None] != classes)
+        if split < n:
+            asked[:split, :split] = asked[split:, split:] = False
+        met = S.close(made, sizes, classes, split, 0.8)
+        assert met[asked.any(1)].all() and asked.any(1).sum() > 20
+    assert not S.close(made, sizes, np.zeros(n), n, 0.8).any()
+    apart = [S.shingle_set(" ".join(str(rng.random()) for _ in range(size)).encode(), 5) for size in [100] * 20 + [600] * 20]
+    assert not S.close([S.sketch(x) for x in apart], np.array([len(x) for x in apart]), np.arange(40), 40, 0.8).any()
+
+
 def test_runs_are_met_once_and_numbered_in_blocks():
     import pyarrow as pa
 
